@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .near_dup import op8_near_dup
 from .packing import op6_best_fit_packing
 from .sharding import op9_sharding
+from .suffix_dedup import op1_suffix_dedup
 from .token_files import op7_token_files
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_files": op7_token_files,
+    "op8_near_dup": op8_near_dup,
     "op9_sharding": op9_sharding,
 }
 ORACLE: dict[str, str] = {}
