@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from .decontamination import OP10_SQL, op10_decontamination
 from .near_dup import op8_near_dup
 from .packing import op6_best_fit_packing
+from .quality import op2_quality_rules
 from .sharding import op9_sharding
 from .suffix_dedup import op1_suffix_dedup
 from .token_files import op7_token_files
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_quality_rules": op2_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_files": op7_token_files,
     "op8_near_dup": op8_near_dup,
     "op9_sharding": op9_sharding,
+    "op10_decontamination": op10_decontamination,
+}
+ORACLE: dict[str, str] = {
+    "op10_decontamination": OP10_SQL,
 }
-ORACLE: dict[str, str] = {}
