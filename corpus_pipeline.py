@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import stored, table
+from folioforge.llm.common import broadcast_if_small, stored, table
 from folioforge.llm.decontamination import decontaminate
 from folioforge.llm.near_dup import near_duplicates
 from folioforge.llm.packing import pack_documents
@@ -31,9 +31,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = stored(near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    unnamed = kept.filter("doc_id is null")
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(unnamed)
+    kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    repeated = stored(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return kept
+    repeated = broadcast_if_small(repeated)
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
