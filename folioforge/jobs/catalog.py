@@ -1,6 +1,272 @@
-"""Every registered query of the form jobs with its SQL twin."""
+"""Every registered query of the form jobs with its SQL twin.
+
+Queries return scalar columns only (arrays joined to strings), so that both sides can be compared.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import keys as K
+from ..functions import text as T
+from ..operators import fields, library, patches, pdf, structure, validate
+from ..sources.fixtures import view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None, *views: str):
+    """Registers a function of the named views."""
+
+    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(*(view(spark, sf_dir, v) if v.startswith("fx_") else spark.read.parquet(f"{sf_dir}/{v}.parquet") for v in views))
+        if sql:
+            shared = [v for v in views if v.startswith("fx_")]
+            ORACLE[name] = with_views(sql, *shared) if shared else sql
+        return f
+
+    return add
+
+
+def scalar(name: str, table: str, keys: str, made: Callable[[], Column], sql: str, distinct: bool = False) -> None:
+    """Registers one column function over a table as column ``out``."""
+    names = [k.strip() for k in keys.split(",")]
+
+    def run(df: DataFrame) -> DataFrame:
+        out = df.select(*names, made().alias("out"))
+        return out.distinct() if distinct else out
+
+    query(name, f"SELECT {'DISTINCT ' if distinct else ''}{keys}, {sql} AS out FROM {table}", table)(run)
+
+
+_BASE = r"regexp_extract({0}, '^((?:.*/)?\.*[^/]*?)(\.[^./]*)?$', 1)"
+_MOVED = "'{1}' || CASE WHEN starts_with(" + _BASE + ", 'uploads/') THEN substr(" + _BASE + ", 9) ELSE " + _BASE + " END || {2}"
+_SLASHED = "regexp_extract({0}, '^((?:.*/)?)[^/]*$', 1)"
+C = F.col
+
+# Keys -----------------------------------------------------------------------------------------------------------------
+scalar("converted_html_key", "fx_objects", "key", lambda: K.converted_html_key(C("key")), _MOVED.format("key", "converted/", "'.html'"))
+scalar("pdf_model_key", "fx_objects", "key", lambda: K.pdf_model_key(C("key")), _MOVED.format("key", "pdf-extracted/", "'/model.json'"))
+scalar("pdf_page_image_key", "fx_objects", "key", lambda: K.pdf_page_image_key(C("key"), F.length("key") % 7), _MOVED.format("key", "pdf-extracted/", "'/page-' || CAST(length(key) % 7 AS VARCHAR) || '.png'"))
+scalar("extracted_fields_key", "fx_objects", "key", lambda: K.extracted_fields_key(C("key")), _MOVED.format("key", "extracted/", "'.json'"))
+scalar("export_key", "fx_objects", "key", lambda: K.export_key(C("key")), f"regexp_replace({_SLASHED.format('key')}, '^(.*?)uploads/', '\\1exported/') || {_BASE.format(chr(34) + 'key' + chr(34)).replace(chr(34) + 'key' + chr(34), 'regexp_extract(key, ' + chr(39) + '[^/]*$' + chr(39) + ', 0)')} || CASE WHEN lower(key) LIKE '%.pdf' THEN '-filled.pdf' ELSE '-exported.docx' END")
+scalar("file_name", "pages", "page_id", lambda: K.file_name(C("url")), "regexp_extract(url, '[^/]*$', 0)")
+scalar("doc_title", "fx_objects", "key", lambda: K.doc_title(C("key")), "regexp_replace(regexp_extract(key, '[^/]*$', 0), '\\.[^.]+$', '')")
+scalar("split_ext", "pages", "page_id", lambda: F.concat_ws("|", *K.split_ext(C("url"))), _BASE.format("url") + " || '|' || " + _BASE.format("url").replace(", 1)", ", 2)"))
+scalar("classify_storage_error", "fx_edits", "edit_id", lambda: K.classify_storage_error(F.element_at(F.array(*map(F.lit, ("404", "403", "NoSuchKey", "AccessDenied", "500"))), (C("edit_id") % 5 + 1).cast("int"))), "CASE edit_id % 5 WHEN 0 THEN 'not found' WHEN 2 THEN 'not found' WHEN 4 THEN 'storage error: 500' ELSE 'access denied' END")
+
+# Text -----------------------------------------------------------------------------------------------------------------
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)"
+_STRIP = f"trim({{0}}, {_WS})"
+_DATE = r"regexp_matches({0}, '(?i)\bdate\b') OR regexp_matches({1}, '\b\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}\b')"
+_NUMBER = r"regexp_matches({0}, '(?i)\b(amount|qty|quantity|total|number|no\.)\b')"
+
+
+def _guess(label: str, value: str) -> str:
+    both = f"({label} || ' ' || {value})"
+    return f"CASE WHEN {_DATE.format(both, value)} THEN 'date' WHEN {_NUMBER.format(both)} THEN 'number' ELSE 'text' END"
+
+
+_NORMAL_LABEL = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+scalar("py_strip", "fx_tokens", "doc_key, block_ix, run_ix", lambda: T.py_strip(F.concat(F.lit("\t\xa0"), C("text"), F.lit(" \n"))), f"trim(chr(9) || chr(160) || text || ' ' || chr(10), {_WS})")
+scalar("tokens_to_text", "fx_tokens", "doc_key, block_ix, run_ix", lambda: T.token_piece(C("kind"), C("text")), "CASE kind WHEN 'text' THEN text WHEN 'tab' THEN chr(9) WHEN 'checkbox' THEN ' ' ELSE '' END")
+scalar("has_placeholder", "fx_cells", "doc_key, row_ix, cell_ix", lambda: T.has_placeholder(C("text")), "regexp_matches(text, '_{3,}')")
+scalar("guess_type", "fx_cells", "doc_key, row_ix, cell_ix", lambda: T.guess_type(C("text"), C("text")), _guess("text", "text"))
+scalar("normalize_value", "fx_cells", "doc_key, row_ix, cell_ix", lambda: T.normalize_value(C("text")), "CASE WHEN text <> '' AND NOT regexp_matches(text, '_{3,}') THEN text END")
+scalar("normalize_label", "fx_cells", "doc_key, row_ix, cell_ix", lambda: T.normalize_label(C("text")), _NORMAL_LABEL.format("text"))
+scalar("strip_checkbox_glyphs", "documents", "doc_id", lambda: F.length(T.strip_checkbox_glyphs(F.concat(F.lit("☐ ☑"), F.coalesce("text", F.lit("")), F.lit("☒")))), "length(translate('☐ ☑' || coalesce(text, '') || '☒', '☐☑☒', '   '))")
+scalar("field_id", "fx_edits", "edit_id", lambda: T.field_id(C("edit_id") % 2000), "'field_' || CASE WHEN edit_id % 2000 < 1000 THEN lpad(CAST(edit_id % 2000 AS VARCHAR), 3, '0') ELSE CAST(edit_id % 2000 AS VARCHAR) END")
+scalar("merge_key", "fx_cells", "doc_key, row_ix, cell_ix", lambda: T.merge_key(C("text"), C("block_ix"), C("row_ix")), _NORMAL_LABEL.format("text") + " || '|' || block_ix || '|' || row_ix")
+scalar("heading_level", "fx_blocks", "doc_id, block_ix", lambda: T.heading_level(C("style_name")), "TRY_CAST(nullif(regexp_extract(lower(style_name), 'heading\\s*([1-6])', 1), '') AS INTEGER)")
+scalar("html_escape", "pages", "page_id", lambda: F.md5(F.encode(T.html_escape(C("html"), True), "utf-8")), "md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'))")
+scalar("nbsp_spaces", "documents", "doc_id", lambda: F.md5(F.encode(T.nbsp_spaces(C("text"), C("doc_id") % 2 == 0), "utf-8")), "md5(CASE WHEN doc_id % 2 = 0 THEN replace(text, ' ', chr(160)) ELSE regexp_replace(replace(text, '  ', chr(160) || chr(160)), chr(160) || ' ', chr(160) || chr(160), 'g') END)")
+scalar("twips_to_px", "fx_blocks", "doc_id, block_ix", lambda: T.twips_to_px((C("n_rows") * 7 - 20).cast("string")), "CAST(greatest(1, round((n_rows * 7 - 20) / 15.0)) AS INTEGER)")
+scalar("validate_field", "fx_cells", "doc_key, row_ix, cell_ix", lambda: T.validate_field(F.when(C("cell_ix") == 1, "number").otherwise("date"), C("text")), "CASE WHEN text = '' THEN NULL WHEN cell_ix = 1 AND NOT regexp_full_match(text, '[+-]?(\\d+\\.?\\d*)') THEN 'invalid number' WHEN cell_ix <> 1 THEN 'invalid date' END")
+scalar("provenance", "fx_edits", "edit_id", lambda: F.concat_ws(" ", T.provenance(C("edit_id") % 101 / 100), T.percent(C("edit_id") % 101 / 100).cast("string")), "CASE WHEN (edit_id % 101) / 100.0 <= 0.5 THEN 'AI' ELSE 'rule' END || ' ' || (edit_id % 101)")
+scalar("extract_json", "fx_responses", "doc_key", lambda: F.get_json_object(T.extract_json(C("raw")), "$.fields[0].label"), "CASE WHEN instr(raw, '{') > 0 THEN json_extract_string(regexp_extract(raw, '(?s)\\{.*\\}', 0), '$.fields[0].label') END")
+scalar("infer_patch_op", "fx_patches", "doc_id, patch_ord", lambda: T.infer_patch_op(C("operation"), C("checked"), C("text")), "CASE WHEN operation IS NOT NULL THEN operation WHEN checked IS NOT NULL THEN 'toggle_checkbox' WHEN text IS NOT NULL THEN 'replace_text' END")
+scalar("stamp_value", "fx_pdf_widgets", "doc_id, page, widget_ord", lambda: T.stamp_value(C("field_type"), F.when(C("x") % 3 != 0, C("field_name")).otherwise("")), "CASE WHEN x % 3 = 0 THEN NULL WHEN field_type = 'checkbox' THEN '☑' ELSE field_name END")
+scalar("region_percent_box", "fx_pdf_widgets", "doc_id, page, widget_ord", lambda: F.round(C("x") / 595.0 * 100, 6), "round(x / 595.0 * 100, 6)")
+
+# Fields ---------------------------------------------------------------------------------------------------------------
+_PARAGRAPHS = f"""
+piece AS (
+  SELECT *, CASE kind WHEN 'text' THEN text WHEN 'tab' THEN chr(9) WHEN 'checkbox' THEN ' ' ELSE '' END AS piece FROM fx_tokens),
+para AS (
+  SELECT doc_key, block_ix, string_agg(piece, '' ORDER BY run_ix) AS text, count(*) FILTER (kind = 'checkbox') AS checkbox_count,
+         bool_or(kind = 'tab') AS has_tab, min(para_node_id) || '|' || string_agg(node_id, '|' ORDER BY run_ix) AS node_ids
+  FROM piece GROUP BY 1, 2),
+parts AS (
+  SELECT *, {_STRIP.format("translate(text, '☐☑☒', '   ')")} AS ticked, {_STRIP.format("text")} AS t FROM para),
+cut AS (
+  SELECT *, {_STRIP.format("split_part(t, ':', 1)")} AS l, split_part(t, ':', 1) AS rawl, CASE WHEN instr(t, ':') > 0 THEN substr(t, instr(t, ':') + 1) ELSE '' END AS r,
+         {_STRIP.format("regexp_extract(t, '(?s)^(.*?)_{3,}', 1)")} AS before, regexp_matches(t, '_{{3,}}') AS under FROM parts WHERE t <> ''),
+val AS (SELECT *, {_STRIP.format("r")} AS v, instr(t, ':') > 0 AND l <> '' AS colon FROM cut),
+pf AS (
+  SELECT doc_key, block_ix AS block, 0 AS row, 1 AS rule, ticked AS label, CASE WHEN checkbox_count > 1 THEN 'choice' ELSE 'checkbox' END AS type, NULL AS value, 0.9 AS confidence, t AS raw_label, NULL AS raw_value
+  FROM val WHERE checkbox_count > 0 AND ticked <> ''
+  UNION ALL
+  SELECT doc_key, block_ix, 0, 2, l, {_guess("l", "v")}, CASE WHEN v <> '' AND NOT regexp_matches(v, '_{{3,}}') THEN v END, CASE WHEN regexp_matches(r, '_{{3,}}') OR has_tab THEN 0.85 ELSE 0.6 END, rawl || ':', v
+  FROM val WHERE colon
+  UNION ALL
+  SELECT doc_key, block_ix, 0, 3, before, {_guess("before", "''")}, NULL, 0.8, before, {_STRIP.format("substr(t, length(regexp_extract(t, '(?s)^(.*?)_{3,}', 1)) + 1)")}
+  FROM val WHERE NOT colon AND under AND before <> '')""".replace("{3,}}", "{3,}").replace("_{{3,}", "_{3,}")
+_TABLES = f"""
+pair AS (
+  SELECT doc_key, block_ix, row_ix, count(*) AS n, {_STRIP.format("max(text) FILTER (cell_ix = 0)")} AS label, {_STRIP.format("coalesce(max(text) FILTER (cell_ix = 1), '')")} AS v, max(checkbox_count) FILTER (cell_ix = 1) AS boxes
+  FROM fx_cells GROUP BY 1, 2, 3),
+tf AS (
+  SELECT doc_key, block_ix AS block, row_ix AS row, 0 AS rule, label, CASE WHEN boxes > 1 THEN 'choice' WHEN boxes > 0 THEN 'checkbox' ELSE {_guess("label", "v")} END AS type,
+         CASE WHEN boxes = 0 AND v <> '' AND NOT regexp_matches(v, '_{{3,}}') THEN v END AS value, CASE WHEN boxes > 0 THEN 0.85 WHEN v = '' OR regexp_matches(v, '_{{3,}}') THEN 0.8 ELSE 0.6 END AS confidence, label AS raw_label, v AS raw_value
+  FROM pair WHERE n >= 2 AND label <> '' AND (contains(label, ':') OR contains(label, '?') OR boxes > 0 OR regexp_matches(v, '_{{3,}}')))"""
+_SHOWN = "doc_key, block, row, rule, label, type, value, confidence::DOUBLE AS confidence, raw_label, raw_value"
+_COLUMNS = ["doc_key", "block", "row", "rule", "label", "type", "value", "confidence", "raw_label", "raw_value"]
+_EVERY = f"""{_PARAGRAPHS}, {_TABLES},
+every AS (SELECT * FROM pf UNION ALL SELECT * FROM tf),
+ef AS (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY block, row, rule) AS field_ord FROM every)"""
+
+query("paragraph_texts", f"WITH {_PARAGRAPHS} SELECT doc_key, block_ix, text, checkbox_count, has_tab, node_ids FROM para", "fx_tokens")(lambda t: fields.paragraph_texts(t).withColumn("node_ids", F.array_join("node_ids", "|")))
+query("collect_node_ids", f"WITH {_PARAGRAPHS} SELECT doc_key, block_ix, node_ids FROM para", "fx_tokens")(lambda t: fields.paragraph_texts(t).select("doc_key", "block_ix", F.array_join("node_ids", "|").alias("node_ids")))
+query("fields_from_paragraphs", f"WITH {_PARAGRAPHS} SELECT {_SHOWN} FROM pf", "fx_tokens")(lambda t: fields.fields_from_paragraphs(fields.paragraph_texts(t)).select(*_COLUMNS))
+query("fields_from_tables", f"WITH {_TABLES} SELECT {_SHOWN} FROM tf", "fx_cells")(lambda c: fields.fields_from_tables(c).select(*_COLUMNS))
+query("extract_fields", f"WITH {_EVERY} SELECT {_SHOWN}, field_ord FROM ef", "fx_tokens", "fx_cells")(lambda t, c: fields.extract_fields(t, c).select(*_COLUMNS, "field_ord"))
+query("fill_progress", f"WITH {_EVERY} SELECT doc_key, count(*) FILTER (coalesce(value, '') <> '') AS filled, count(*) AS total FROM ef GROUP BY 1", "fx_tokens", "fx_cells")(lambda t, c: fields.fill_progress(fields.extract_fields(t, c)))
+query("field_errors", None, "fx_tokens", "fx_cells")(lambda t, c: fields.field_errors(fields.extract_fields(t, c)))
+query("field_prompt", None, "fx_tokens", "fx_cells")(lambda t, c: fields.field_prompt(fields.paragraph_texts(t), c))
+_AI = """
+js AS (SELECT doc_key, CASE WHEN instr(raw, '{') > 0 THEN regexp_extract(raw, '(?s)\\{.*\\}', 0) END AS j FROM fx_responses),
+it AS (SELECT doc_key, i - 1 AS ord, json_extract(j, '$.fields[' || (i - 1) || ']') AS x FROM js, range(1, 20) r(i) WHERE i <= coalesce(json_array_length(j, '$.fields'), 0)),
+ai AS (
+  SELECT doc_key, ord, trim(coalesce(x->>'$.label', '')) AS label, CASE WHEN x->>'$.type' IN ('text', 'date', 'checkbox', 'choice', 'number', 'multiline') THEN x->>'$.type' ELSE 'text' END AS type,
+         CASE WHEN json_type(x, '$.block') IN ('UBIGINT', 'BIGINT') THEN CAST(x->>'$.block' AS INTEGER) ELSE -1 END AS block, CASE WHEN json_type(x, '$.para') IN ('UBIGINT', 'BIGINT') THEN CAST(x->>'$.para' AS INTEGER) ELSE 0 END AS para,
+         round(least(greatest(coalesce(TRY_CAST(x->>'$.confidence' AS DOUBLE), 0.45), 0.0), 1.0), 3) AS confidence
+  FROM it WHERE trim(coalesce(x->>'$.label', '')) <> '')"""
+_MERGED = f"""{_EVERY}, {_AI},
+keyed AS (SELECT *, {_NORMAL_LABEL.format("label")} || '|' || block || '|' || para AS merge_key FROM ai),
+fresh AS (SELECT * FROM keyed k WHERE NOT EXISTS (SELECT 1 FROM ef WHERE ef.doc_key = k.doc_key AND {_NORMAL_LABEL.format("ef.label")} || '|' || ef.block || '|0' = k.merge_key)),
+one AS (SELECT * FROM fresh QUALIFY row_number() OVER (PARTITION BY doc_key, merge_key ORDER BY ord) = 1),
+merged AS (
+  SELECT doc_key, 0 AS kind, field_ord AS ord, label, type, value, confidence::DOUBLE AS confidence, block, 0 AS para, 'rule' AS origin FROM ef
+  UNION ALL SELECT doc_key, 1, ord, label, type, NULL, confidence, block, para, 'ai' FROM one),
+mf AS (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY kind, ord) AS field_ord FROM merged)"""
+query("parse_field_suggestions", f"WITH {_AI} SELECT doc_key, ord, label, type, block, para, confidence FROM ai", "fx_responses")(lambda r: fields.parse_field_suggestions(r).drop("raw_label", "raw_value"))
+query("merge_fields", f"WITH {_MERGED} SELECT doc_key, field_ord, label, type, value, confidence, block, para, origin FROM mf", "fx_tokens", "fx_cells", "fx_responses")(
+    lambda t, c, r: fields.merge_fields(fields.extract_fields(t, c), fields.parse_field_suggestions(r)).select("doc_key", "field_ord", "label", "type", "value", "confidence", "block", "para", "origin")
+)
+query("extraction_gain", f"WITH {_MERGED} SELECT doc_key, count(*) FILTER (origin = 'rule') AS rule_fields, count(*) AS all_fields FROM mf GROUP BY 1", "fx_tokens", "fx_cells", "fx_responses")(
+    lambda t, c, r: fields.extraction_gain(fields.merge_fields(fields.extract_fields(t, c), fields.parse_field_suggestions(r)))
+)
+query("value_target", "WITH " + _PARAGRAPHS + " SELECT doc_key, block_ix, CASE WHEN regexp_extract(node_ids, '[^|]*$', 0) LIKE 'p\\_%' ESCAPE '\\' THEN regexp_extract(node_ids, '[^|]*$', 0) ELSE nullif(regexp_extract(node_ids, '.*\\b(r_\\d+)', 1), '') END AS value_target, nullif(regexp_extract(node_ids, '\\bsdt_\\d+', 0), '') AS checkbox_target FROM para", "fx_tokens")(
+    lambda t: fields.paragraph_texts(t).select("doc_key", "block_ix", T.value_target(C("node_ids")).alias("value_target"), T.checkbox_target(C("node_ids")).alias("checkbox_target"))
+)
+
+# Library --------------------------------------------------------------------------------------------------------------
+query("library_listing", f"SELECT u.key, 'order.' || split_part(u.key, '.', 2) AS name, u.last_modified, CASE WHEN c.key IS NULL THEN 'pending' ELSE 'ready' END AS status FROM fx_objects u LEFT JOIN (SELECT DISTINCT key FROM fx_objects) c ON c.key = {_MOVED.format('u.key', 'converted/', chr(39) + '.html' + chr(39))} WHERE u.key LIKE 'uploads/%'", "fx_objects")(library.library_listing)
+query("pending_extractions", f"SELECT u.key, CASE WHEN u.key LIKE '%.pdf' THEN {_MOVED.format('u.key', 'pdf-extracted/', chr(39) + '/model.json' + chr(39))} ELSE {_MOVED.format('u.key', 'extracted/', chr(39) + '.json' + chr(39))} END AS result_key FROM fx_objects u WHERE u.key LIKE 'uploads/%' AND result_key NOT IN (SELECT key FROM fx_objects)", "fx_objects")(library.pending_extractions)
+query("latest_draft", "SELECT session_id AS title, arg_max(text, (ts, edit_id)) AS html, max(ts) AS ts FROM fx_edits GROUP BY 1", "fx_edits")(lambda e: library.latest_draft(e.select(C("session_id").alias("title"), C("text").alias("html"), "ts", C("edit_id").alias("draft_id"))))
+
+# Structure ------------------------------------------------------------------------------------------------------------
+_GRID = "grid AS (SELECT *, coalesce(sum(greatest(colspan, 1)) OVER (PARTITION BY doc_key, block_ix, row_ix ORDER BY cell_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grid_col FROM fx_cells)"
+query("table_grid", f"WITH {_GRID} SELECT doc_key, block_ix, row_ix, cell_ix, grid_col FROM grid", "fx_cells")(lambda c: structure.table_grid(c).select("doc_key", "block_ix", "row_ix", "cell_ix", "grid_col"))
+query(
+    "resolve_vmerge",
+    f"""WITH {_GRID},
+    marked AS (SELECT *, CASE WHEN vmerge <> 'continue' OR row_ix <> coalesce(lag(row_ix) OVER w, -2) + 1 THEN 1 ELSE 0 END AS b FROM grid WINDOW w AS (PARTITION BY doc_key, block_ix, grid_col, colspan ORDER BY row_ix)),
+    island AS (SELECT *, sum(b) OVER (PARTITION BY doc_key, block_ix, grid_col, colspan ORDER BY row_ix) AS i FROM marked),
+    spans AS (SELECT *, CASE WHEN vmerge = 'restart' THEN count(*) OVER (PARTITION BY doc_key, block_ix, grid_col, colspan, i) ELSE 1 END AS rowspan FROM island)
+    SELECT doc_key, block_ix, row_ix, cell_ix, rowspan FROM spans WHERE vmerge <> 'continue'""",
+    "fx_cells",
+)(lambda c: structure.resolve_vmerge(structure.table_grid(c)).select("doc_key", "block_ix", "row_ix", "cell_ix", "rowspan"))
+query("paginate", None, "fx_blocks")(lambda b: structure.paginate(b).select("doc_id", "block_ix", "part", "row_from", "row_to", "page_no"))
+query(
+    "list_groups",
+    """WITH m AS (SELECT *, CASE WHEN num_id IS NOT NULL AND num_id IS DISTINCT FROM lag(num_id) OVER (PARTITION BY doc_id ORDER BY block_ix) THEN 1 ELSE 0 END AS s FROM fx_blocks),
+    g AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY block_ix) AS list_no FROM m)
+    SELECT doc_id, block_ix, num_id, list_no, row_number() OVER (PARTITION BY doc_id, list_no ORDER BY block_ix) AS item_no FROM g WHERE num_id IS NOT NULL""",
+    "fx_blocks",
+)(lambda b: structure.list_groups(b).select("doc_id", "block_ix", "num_id", "list_no", "item_no"))
+query("column_widths_pct", "SELECT doc_id, block_ix, round_even(n_rows * 100.0::DOUBLE / sum(n_rows) OVER (PARTITION BY doc_id), 2) AS width_pct FROM fx_blocks", "fx_blocks")(lambda b: structure.column_widths_pct(b.withColumn("width", C("n_rows"))).select("doc_id", "block_ix", "width_pct"))
+query(
+    "resolve_table_styles",
+    """WITH RECURSIVE s AS (FROM fx_styles),
+    chain AS (
+      SELECT style_id, style_id AS at_style, based_on, 0 AS depth, [style_id] AS seen, margin_left, margin_top FROM s
+      UNION ALL SELECT c.style_id, s.style_id, s.based_on, c.depth + 1, list_append(c.seen, s.style_id), s.margin_left, s.margin_top FROM chain c JOIN s ON s.style_id = c.based_on WHERE NOT list_contains(c.seen, s.style_id))
+    SELECT style_id, arg_min(margin_left, depth) FILTER (margin_left IS NOT NULL) AS margin_left, arg_min(margin_top, depth) FILTER (margin_top IS NOT NULL) AS margin_top, max(depth) AS chain_length FROM chain GROUP BY 1""",
+    "fx_styles",
+)(lambda s: structure.resolve_table_styles(s, ["margin_left", "margin_top"]))
+query("structure_counts", "SELECT doc_id, count(*) FILTER (block_type = 'paragraph') AS paragraphs, count(*) FILTER (block_type = 'table') AS tables FROM fx_blocks GROUP BY 1", "fx_blocks")(structure.structure_counts)
+query("assign_node_ids", None, "fx_blocks")(
+    lambda b: structure.assign_node_ids(b.select("doc_id", F.lit(0).alias("part_ord"), C("block_ix").alias("seq"), F.when(C("block_type") == "table", "sdt").otherwise("p").alias("prefix"), F.when(C("n_rows") % 7 == 0, F.concat(F.when(C("block_type") == "table", "sdt_").otherwise("p_"), C("n_rows").cast("string"))).alias("existing")))
+)
+
+# Patches and edits ------------------------------------------------------------------------------------------------------
+query(
+    "effective_patches",
+    """WITH t AS (SELECT *, CASE WHEN operation IS NOT NULL THEN operation WHEN checked IS NOT NULL THEN 'toggle_checkbox' WHEN text IS NOT NULL THEN 'replace_text' END AS op FROM fx_patches)
+    SELECT doc_id, node_id, op, patch_ord, text, checked FROM t WHERE op IS NOT NULL AND node_id <> 'r_999' QUALIFY row_number() OVER (PARTITION BY doc_id, node_id, op ORDER BY patch_ord DESC) = 1""",
+    "fx_patches",
+)(lambda p: patches.effective_patches(p, p.filter("node_id <> 'r_999'")))
+query("echo_filter", "SELECT edit_id, session_id, node_id FROM fx_edits WHERE origin <> 'sync'", "fx_edits")(lambda e: patches.echo_filter(e).select("edit_id", "session_id", "node_id"))
+query("field_state", "SELECT session_id, node_id, arg_max(text, (ts, edit_id)) AS text, max(ts) AS ts FROM fx_edits WHERE origin <> 'sync' GROUP BY 1, 2", "fx_edits")(lambda e: patches.field_state(patches.echo_filter(e)))
+query(
+    "debounce_edits",
+    """WITH b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts, edit_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM fx_edits WHERE origin <> 'sync'),
+    g AS (SELECT *, sum(s) OVER (PARTITION BY session_id ORDER BY ts, edit_id) AS i FROM b)
+    SELECT session_id, max(ts) AS ts, count(*) AS edits, arg_max(node_id, (ts, edit_id)) AS node_id, arg_max(text, (ts, edit_id)) AS text FROM g GROUP BY session_id, i""",
+    "fx_edits",
+)(lambda e: patches.debounce_edits(patches.echo_filter(e), "30 minutes"))
+
+# Page layouts -----------------------------------------------------------------------------------------------------------
+query("pdf_route", "SELECT DISTINCT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM fx_pdf_widgets) THEN 'acroform' ELSE 'flat' END AS route FROM fx_pdf_pages", "fx_pdf_pages", "fx_pdf_widgets")(pdf.pdf_route)
+_ACRO = "SELECT doc_id, page, 'p' || page || '_w' || (row_number() OVER (PARTITION BY doc_id, page ORDER BY widget_ord) - 1) AS id, CASE WHEN field_type = 'checkbox' THEN 'checkbox' ELSE 'text' END AS type, x, y, w, h, '' AS value, field_name AS acro_field_name FROM fx_pdf_widgets WHERE field_type <> 'signature'"
+_FLAT = """SELECT doc_id, page, 'p' || page || '_r' || (row_number() OVER (PARTITION BY doc_id, page ORDER BY block, line) - 1) AS id, 'text' AS type, r + 4 AS x, top AS y, width_pt - r - 10 AS w, greatest(bottom - top, 12.0) AS h, '' AS value, NULL::VARCHAR AS acro_field_name
+    FROM (SELECT doc_id, page, block, line, string_agg(text, '' ORDER BY span_ord) AS t, arg_max(x1, span_ord) AS r, min(y0) AS top, max(y1) AS bottom FROM fx_pdf_spans GROUP BY 1, 2, 3, 4) l JOIN fx_pdf_pages USING (doc_id, page)
+    WHERE trim(t) LIKE '%:' AND width_pt - r - 10 >= width_pt * 0.15"""
+query("acroform_regions", _ACRO, "fx_pdf_widgets")(pdf.acroform_regions)
+query("flat_regions", _FLAT, "fx_pdf_pages", "fx_pdf_spans")(pdf.flat_regions)
+_REGIONS = f"a AS ({_ACRO}), f AS ({_FLAT}), regions AS (SELECT * FROM a UNION ALL SELECT * FROM f WHERE doc_id NOT IN (SELECT doc_id FROM fx_pdf_widgets))"
+query("pdf_regions", f"WITH {_REGIONS} FROM regions", "fx_pdf_pages", "fx_pdf_spans", "fx_pdf_widgets")(pdf.pdf_regions)
+
+
+def _filled(pages: DataFrame, spans: DataFrame, widgets: DataFrame) -> DataFrame:
+    regions = pdf.pdf_regions(pages, spans, widgets)
+    return pdf.fill_regions(regions, regions.filter("doc_id % 3 <> 0").select("doc_id", "page", "id", F.concat(F.lit("value "), "id").alias("value")))
+
+
+_VALUE = "CASE WHEN doc_id % 3 <> 0 THEN 'value ' || id ELSE '' END"
+query("fill_regions", f"WITH {_REGIONS} SELECT doc_id, page, id, {_VALUE} AS value FROM regions", "fx_pdf_pages", "fx_pdf_spans", "fx_pdf_widgets")(lambda *v: _filled(*v).select("doc_id", "page", "id", "value"))
+query("filled_regions", f"WITH {_REGIONS} SELECT doc_id, count(*) FILTER ({_VALUE} <> '') AS filled, count(*) AS total FROM regions GROUP BY 1", "fx_pdf_pages", "fx_pdf_spans", "fx_pdf_widgets")(lambda *v: pdf.filled_regions(_filled(*v)))
+query("stamp_plan", None, "fx_pdf_pages", "fx_pdf_spans", "fx_pdf_widgets")(lambda p, s, w: pdf.stamp_plan(_filled(p, s, w), p))
+
+# Checks -----------------------------------------------------------------------------------------------------------------
+_COUNTS = "len(regexp_extract_all(html, '(?i)<(?:{0})\\b'))"
+query("html_structure_counts", f"SELECT page_id AS doc_id, {_COUNTS.format('p|h[1-6]')} AS paragraphs, {_COUNTS.format('table')} AS tables, {_COUNTS.format('img')} AS images FROM pages", "pages")(lambda p: validate.html_structure_counts(p.withColumnRenamed("page_id", "doc_id")))
+
+
+def _structures(pages: DataFrame) -> DataFrame:
+    html = pages.select(C("page_id").alias("doc_id"), "html")
+    less = html.withColumn("html", F.when(C("doc_id") % 3 == 0, F.regexp_replace("html", "(?i)<h1[^>]*>", "")).otherwise(C("html")))
+    return validate.validate_structure(validate.html_structure_counts(html), validate.html_structure_counts(less))
+
+
+_LESS = _COUNTS.format("p|h[1-6]").replace("html", "CASE WHEN page_id % 3 = 0 THEN regexp_replace(html, '(?i)<h1[^>]*>', '', 'g') ELSE html END", 1)
+query("validate_structure", f"SELECT doc_id, a = b AS valid, CASE WHEN a = b THEN '' ELSE 'paragraphs=' || a || '/' || b END AS mismatches FROM (SELECT page_id AS doc_id, {_COUNTS.format('p|h[1-6]')} AS a, {_LESS} AS b FROM pages)", "pages")(_structures)
+query("render_stability", "SELECT page_id AS doc_id, page_id % 5 <> 0 AS stable, sha256(html) AS sha256 FROM pages", "pages")(
+    lambda p: validate.render_stability(p.select(C("page_id").alias("doc_id"), "html"), p.select(C("page_id").alias("doc_id"), F.when(C("page_id") % 5 == 0, F.concat("html", F.lit(" "))).otherwise(C("html")).alias("html")))
+)
+
+
+def _rasters(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate and reference pages: 63 values of a vector as channel bytes of 21 pixels."""
+    byte = F.transform(F.slice("embedding", 1, 63), lambda v: F.lpad(F.hex(F.least(F.greatest(F.floor((v + 1) * 127), F.lit(0)), F.lit(255)).cast("long")), 2, "0"))
+    pages = vectors.select("vec_id", F.floor(C("vec_id") / 2).alias("page"), F.unhex(F.array_join(byte, "")).alias("data"))
+    return pages.filter("vec_id % 2 = 0"), pages.filter("vec_id % 2 = 1")
+
+
+query("page_diff", None, "embeddings")(lambda v: validate.page_diff(*_rasters(v)))
+query("diff_summary", None, "embeddings")(lambda v: validate.diff_summary(validate.page_diff(*_rasters(v))))
