@@ -3,7 +3,8 @@
 Words and pairs of neighbouring words are hashed into BUCKETS buckets.  Two add-one-smoothed multinomials are counted,
 one over all documents (raw) and one over the documents labelled as trusted (target).  A document's score is the mean
 over its n-grams of log(target / raw), in whole millionths, so that all sums are exact and every run gives the same
-verdicts.  The threshold is a fixed number of standard deviations below the mean score of the trusted documents.
+verdicts.  One trusted document in CALIBRATION, by a hash of its id, is not counted as target: such documents score as
+unseen ones do, and the threshold is a fixed number of standard deviations below their mean score.
 Documents without words have no score; the base rules fail them.
 
 Everything is built from SQL functions: texts are split and hashed inside one projection, the counts of a bucket are
@@ -26,6 +27,8 @@ from .common import broadcast_if_small, stored, table
 BUCKETS = 10_000
 #: Standard deviations below the trusted mean at which a document is dropped.
 DEVIATIONS = 4.0
+#: Share of the trusted documents that set the threshold, one in so many.
+CALIBRATION = 4
 SCALE = 1_000_000
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -48,7 +51,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def gram_ratios(docs: DataFrame, trusted: DataFrame) -> list[int]:
-    """Millionths of log(target / raw) by bucket: a model of fixed size, counted over all documents."""
+    """Millionths of log(target / raw) by bucket: a model of fixed size, counted over all documents; all 0 without ``trusted``."""
     marked = docs.select("doc_id", "text").join(broadcast_if_small(trusted.withColumn("_target", F.lit(1))), "doc_id", "left")
     # Not explode(): the filter that it infers would be pushed below the arrays and build them anew for each element.
     rows = _hashed(marked).select(F.coalesce("_target", F.lit(0)).alias("_target"), F.explode_outer("grams").alias("bucket")).filter("bucket is not null")
@@ -95,9 +98,9 @@ def threshold(scored: DataFrame, trusted: DataFrame) -> float | None:
 
 def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and score."""
-    trusted = stored(trusted_ids(labels), "trusted")
-    scored = stored(score_documents(docs, gram_ratios(docs, trusted)), "scored")
-    least = threshold(scored, trusted)
+    trusted = stored(trusted_ids(labels).withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION))), "trusted")
+    scored = stored(score_documents(docs, gram_ratios(docs, trusted.filter("_part > 0").select("doc_id"))), "scored")
+    least = threshold(scored, trusted.filter("_part = 0").select("doc_id"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = scored.withColumn("base_failed", failed)
     passed = F.lit(True) if least is None else F.coalesce(F.col("score") >= least, F.lit(False))
