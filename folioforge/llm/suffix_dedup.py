@@ -41,8 +41,8 @@ BLOCK = 16
 #: Bytes looked at together; positions in them fit in POSITION bits.
 POSITION = 20
 CHUNK = (1 << POSITION) - 4096
-#: Documents with spans up to which the spans are broadcast rather than texts shuffled.
-SPAN_ROWS = 400_000
+#: Spans, of all documents together, up to which they are broadcast rather than texts shuffled: some 30 MB.
+SPAN_ROWS = 500_000
 
 _LOW = np.uint64((1 << POSITION) - 1)
 _NO_ID = -(1 << 63)
@@ -152,8 +152,9 @@ def _hash(gram: int, at: int, text: bytes) -> int:
 
 
 def _repeated(rows: DataFrame, core: str, whole: str) -> DataFrame:
-    """The cores that occur twice or more, and whether all their wholes are equal."""
-    return rows.groupBy(core).agg(F.count("*").alias("_n"), F.min(whole).alias("_least"), F.max(whole).alias("_most")).filter("_n > 1").select(core, (F.col("_least") != F.col("_most")).alias("open"))
+    """The cores that occur twice or more, and whether all their wholes are equal; stored, so that a join with them can split a hot core."""
+    found = rows.groupBy(core).agg(F.count("*").alias("_n"), F.min(whole).alias("_least"), F.max(whole).alias("_most")).filter("_n > 1").select(core, (F.col("_least") != F.col("_most")).alias("open"))
+    return broadcast_if_small(stored(found, "repeated"), SPAN_ROWS)
 
 
 def _distinct(rows: DataFrame, core: str, whole: str, kept: list[str]) -> DataFrame:
@@ -172,7 +173,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spans = hits.filter("not open").select(*span).unionByName(open_runs.join(one.filter("copied").select("gram", "whole"), ["gram", "whole"], "left_semi").select(*span))
 
     wanted = stored(one.groupBy(*name).agg(F.collect_list(F.struct("gram", "lo", "hi", "anchor")).alias("wanted")), "wanted")
-    texts = docs.select(*_keyed(docs), "text").join(_small(wanted), name)
+    texts = docs.select(*_keyed(docs), "text").join(_small(wanted, "wanted"), name)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Core, whole, gram, first and last window, distance of the first from the anchor, and the bytes that the windows cover."""
@@ -210,22 +211,28 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     distinct = _distinct(open_blocks, "core", "whole", ["gram", *name, "lo", "hi", "distance", "covered"]).select("gram", *name, "lo", "hi", "distance", "covered")
     single = distinct.mapInArrow(windows, "window long, _id long, _text_key long, begin long")
     single = stored(single, "windows")
-    twice = single.groupBy("window").count().filter("count > 1").select("window")
+    twice = stored(single.groupBy("window").count().filter("count > 1").select("window"), "repeated-windows")
     return spans.unionByName(single.join(twice, "window", "left_semi").select(*name, "begin", (F.col("begin") + LENGTH).alias("end")))
 
 
-def _small(spans: DataFrame) -> DataFrame:
-    """Broadcast if few documents are concerned, else hashed beside shuffled texts."""
-    hinted = broadcast_if_small(spans, SPAN_ROWS)
-    return hinted if hinted is not spans else spans.hint("shuffle_hash")
+def _small(rows: DataFrame, spans: str) -> DataFrame:
+    """A stored table of documents with their spans: broadcast if there are few spans, else hashed beside shuffled texts."""
+    few = (rows.agg(F.sum(F.size(spans))).first()[0] or 0) <= SPAN_ROWS
+    return F.broadcast(rows) if few else rows.hint("shuffle_hash")
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with _spans, the spans to remove (null if none)."""
+    """``docs`` with _spans, the maximal runs to remove in order (null if none)."""
+    pair = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [[{"begin": b, "end": e} for b, e in merged(found)] for found in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pair))], names=["_id", "_text_key", "_spans"])
+
     spans = repeated_spans(docs).groupBy("_id", "_text_key").agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
-    spans = _small(stored(spans, "spans"))
-    keyed = docs.select("*", *_keyed(docs))
-    return keyed.join(spans, ["_id", "_text_key"], "left").drop("_id", "_text_key")
+    spans = stored(spans.mapInArrow(merge, "_id long, _text_key long, _spans array<struct<begin: long, end: long>>"), "spans")
+    return docs.select("*", *_keyed(docs)).join(_small(spans, "_spans"), ["_id", "_text_key"], "left").drop("_id", "_text_key")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
