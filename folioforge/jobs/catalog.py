@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions import text as T
-from ..operators import fields, library, patches, pdf, structure, validate
+from ..operators import fields, library, patches, pdf, render, structure, styles, validate
 from ..sources.fixtures import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -270,3 +270,33 @@ def _rasters(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 query("page_diff", None, "embeddings")(lambda v: validate.page_diff(*_rasters(v)))
 query("diff_summary", None, "embeddings")(lambda v: validate.diff_summary(validate.page_diff(*_rasters(v))))
+
+# Rendering and styles -----------------------------------------------------------------------------------------------------
+_NBSP = "regexp_replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '  ', chr(160) || chr(160)), chr(160) || ' ', chr(160) || chr(160), 'g')"
+_BOX = render.BOX + "☐</span>"
+_RENDERED = f"""
+tok AS (
+  SELECT *, '<span data-run="' || run_ix || '" data-node-id="' || node_id || '" data-node-kind="run">' || CASE kind WHEN 'text' THEN {_NBSP.format("text")} WHEN 'tab' THEN '&emsp;' WHEN 'checkbox' THEN '{_BOX}' ELSE '' END || '</span>' AS html FROM fx_tokens),
+ph AS (
+  SELECT doc_key, block_ix, '<p data-node-id="' || min(para_node_id) || '" data-node-kind="paragraph" data-block="' || block_ix || '" data-para="0">' || string_agg(html, '' ORDER BY run_ix) || '</p>' AS html FROM tok GROUP BY 1, 2),
+rh AS (
+  SELECT doc_key, block_ix, row_ix, '<tr>' || string_agg('<td' || CASE WHEN colspan > 1 THEN ' colspan="' || colspan || '"' ELSE '' END || '><p>' || {_NBSP.format("text")} || '</p></td>', '' ORDER BY cell_ix) || '</tr>' AS html FROM fx_cells GROUP BY 1, 2, 3),
+th AS (
+  SELECT doc_key, block_ix, '<table data-block="' || block_ix || '" style="width: 100%; border-collapse: collapse; table-layout: fixed;">' || string_agg(html, '' ORDER BY row_ix) || '</table>' AS html FROM rh GROUP BY 1, 2),
+bh AS (FROM ph UNION ALL FROM th)"""
+_WRAPPED = "'<div class=\"document\">' || chr(10) || '<div class=\"docx-page\"><div class=\"docx-page-content\" style=\"padding-top:48px;padding-bottom:48px\">' || string_agg(html, '' ORDER BY block_ix) || '</div></div>' || chr(10) || '</div>'"
+query("paragraph_html", f"WITH {_RENDERED} SELECT * FROM ph", "fx_tokens", "fx_cells")(lambda t, c: render.paragraph_html(t))
+query("render_html", f"WITH {_RENDERED} SELECT doc_key, md5({_WRAPPED}) AS html_md5 FROM bh GROUP BY 1", "fx_tokens", "fx_cells")(lambda t, c: render.render_html(t, c.withColumn("rowspan", F.lit(1))).select("doc_key", F.md5(F.encode("html", "utf-8")).alias("html_md5")))
+query(
+    "resolve_lists",
+    """SELECT doc_id, block_ix, CASE WHEN num_id = '1' THEN doc_id % 3 = 0 ELSE false END AS list_ordered, CASE WHEN num_id = '1' AND doc_id % 3 = 0 THEN 'upper-roman' WHEN num_id = '1' THEN 'disc' ELSE 'square' END AS list_marker
+    FROM fx_blocks WHERE num_id IS NOT NULL""",
+    "fx_blocks",
+)(lambda b: styles.resolve_lists(b.filter("num_id is not null").withColumn("ilvl", F.lit(None).cast("int")), b.select("doc_id").distinct().select("doc_id", F.lit("1").alias("num_id"), F.lit(0).alias("ilvl"), F.when(C("doc_id") % 3 == 0, "upperRoman").otherwise("bullet").alias("num_fmt"), F.lit("•").alias("lvl_text"))).select("doc_id", "block_ix", "list_ordered", "list_marker"))
+query("image_geometry", "SELECT doc_id, block_ix, greatest(1, CAST(round_even(n_rows * 100000 / 914400.0::DOUBLE * 96, 0) AS INTEGER)) AS width_px, block_type = 'table' AND n_rows * 100000 >= 3200000 AS right_anchored FROM fx_blocks", "fx_blocks")(
+    lambda b: b.select("doc_id", "block_ix", styles.image_geometry(C("n_rows") * 100000, C("n_rows") * 100000, F.when(C("block_type") == "table", "anchor").otherwise("inline"), C("n_rows") * 100000).alias("g")).select("doc_id", "block_ix", "g.width_px", "g.right_anchored")
+)
+query("block_summaries", "SELECT doc_id, 0 AS block_ix, text[:300] AS text, NULL::INTEGER AS heading, false AS is_list FROM documents", "documents")(lambda d: styles.block_summaries(d.select("doc_id", F.lit(0).alias("block_ix"), "text", F.lit("Normal").alias("style_name"), F.lit(None).cast("string").alias("num_id"))))
+query("parse_annotations", None, "fx_objects")(
+    lambda o: styles.parse_annotations(o.select(C("key").alias("doc_id"), F.concat(F.lit('{"document_type": "form", "annotations": {"s0:b1": {"heading_weight": '), (F.length("key") % 9).cast("string"), F.lit(', "emphasis": "low", "suppress": true}, "s0:b2": {"emphasis": "wild"}, "bad": {"group": "g"}}}')).alias("raw")))
+)
