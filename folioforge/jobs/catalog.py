@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions import text as T
 from ..operators import fields, library, patches, pdf, render, structure, styles, validate
+from ..sources import docx_io
 from ..sources.fixtures import view, with_views
+from ..streaming import jobs as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -300,3 +302,49 @@ query("block_summaries", "SELECT doc_id, 0 AS block_ix, text[:300] AS text, NULL
 query("parse_annotations", None, "fx_objects")(
     lambda o: styles.parse_annotations(o.select(C("key").alias("doc_id"), F.concat(F.lit('{"document_type": "form", "annotations": {"s0:b1": {"heading_weight": '), (F.length("key") % 9).cast("string"), F.lit(', "emphasis": "low", "suppress": true}, "s0:b2": {"emphasis": "wild"}, "bad": {"group": "g"}}}')).alias("raw")))
 )
+
+
+# Write-back ----------------------------------------------------------------------------------------------------------------
+def _node_patches(tokens: DataFrame) -> DataFrame:
+    """A patch for every third text run and every box."""
+    box = C("kind") == "checkbox"
+    some = tokens.filter(box | ((C("kind") == "text") & (C("run_ix") % 2 == 0)))
+    return some.select("doc_key", "node_id", F.when(box, "toggle_checkbox").otherwise("replace_text").alias("op"), F.when(~box, F.lit("new")).alias("text"), F.when(box, C("run_ix") % 2 == 0).alias("checked"))
+
+
+query("apply_text_patches", "SELECT doc_key, block_ix, run_ix, CASE WHEN kind = 'text' AND run_ix % 2 = 0 THEN 'new' ELSE text END AS text FROM fx_tokens", "fx_tokens")(lambda t: patches.apply_text_patches(t, _node_patches(t)).select("doc_key", "block_ix", "run_ix", "text"))
+query("apply_checkbox_patches", "SELECT doc_key, block_ix, run_ix, CASE WHEN kind = 'checkbox' THEN CASE WHEN run_ix % 2 = 0 THEN '☒' ELSE '☐' END ELSE text END AS text FROM fx_tokens", "fx_tokens")(lambda t: patches.apply_checkbox_patches(t, _node_patches(t)).select("doc_key", "block_ix", "run_ix", "text"))
+query("resolve_positional_patches", "SELECT doc_key, block_ix AS block, 0 AS run, node_id FROM fx_tokens WHERE run_ix = 0", "fx_tokens")(lambda t: patches.resolve_positional_patches(t.select("doc_key", C("block_ix").alias("block")).distinct().withColumn("run", F.lit(None).cast("int")), t).select("doc_key", "block", "run", "node_id"))
+query("patches_from_html", "SELECT doc_key, node_id, CASE WHEN kind = 'checkbox' THEN 'toggle_checkbox' ELSE 'replace_text' END AS op, CASE kind WHEN 'text' THEN text WHEN 'tab' THEN chr(8195) END AS text FROM fx_tokens WHERE NOT regexp_matches(text, '  ')", "fx_tokens")(
+    lambda t: patches.patches_from_html(render.paragraph_html(t.filter("text not like '%  %'")).select("doc_key", "html")).select("doc_key", "node_id", "op", "text")
+)
+_TARGET = "CASE WHEN type = 'checkbox' THEN nullif(regexp_extract(node_ids, '\\bsdt_\\d+', 0), '') WHEN regexp_extract(node_ids, '[^|]*$', 0) LIKE 'p\\_%' ESCAPE '\\' THEN regexp_extract(node_ids, '[^|]*$', 0) ELSE nullif(regexp_extract(node_ids, '.*\\b(r_\\d+)', 1), '') END"
+_TARGETED = f"{_PARAGRAPHS}, tg AS (SELECT pf.doc_key, pf.block, pf.rule, pf.type, pf.value, {_TARGET} AS node_id FROM pf JOIN para ON para.doc_key = pf.doc_key AND para.block_ix = pf.block)"
+query("fields_to_patches", f"WITH {_TARGETED} SELECT doc_key, node_id, CASE WHEN type = 'checkbox' THEN 'toggle_checkbox' ELSE 'replace_text' END AS op, CASE WHEN type <> 'checkbox' THEN value END AS text FROM tg WHERE value IS NOT NULL AND node_id IS NOT NULL", "fx_tokens")(
+    lambda t: patches.fields_to_patches(fields.fields_from_paragraphs(fields.paragraph_texts(t))).drop("checked")
+)
+query("sync_field_values", f"WITH {_TARGETED} SELECT doc_key, block, rule, CASE WHEN node_id LIKE '%0' THEN CASE WHEN type = 'checkbox' THEN 'true' ELSE '☒' END ELSE value END AS value FROM tg", "fx_tokens")(
+    lambda t: patches.sync_field_values(fields.fields_from_paragraphs(fields.paragraph_texts(t)), t.filter("node_id like '%0'").select("doc_key", "node_id", F.lit("☒").alias("text")).distinct()).select("doc_key", "block", "rule", "value")
+)
+query(
+    "conversion_status",
+    """WITH u AS (SELECT event_id, ts FROM events), c AS (SELECT event_id, ts + to_seconds(event_id % 200) AS done FROM events WHERE event_id % 3 <> 0)
+    SELECT CAST(u.event_id AS VARCHAR) AS key, CASE WHEN c.done BETWEEN u.ts AND u.ts + INTERVAL 120 SECOND THEN 'ready' ELSE 'timed out' END AS status FROM u LEFT JOIN c USING (event_id)""",
+    "events",
+)(lambda e: streams.conversion_status(e.select(C("event_id").cast("string").alias("key"), "ts"), e.filter("event_id % 3 <> 0").select(C("event_id").cast("string").alias("key"), (C("ts") + F.make_interval(secs=C("event_id") % 200)).alias("ts"))).select("key", "status"))
+query("media_data_uris", "SELECT page_id AS doc_key, 'data:text/octet;' AS kind, md5('data:application/octet-stream;base64,' || base64(encode(html))) AS uri FROM pages", "pages")(
+    lambda p: docx_io.media_data_uris(p.select(C("page_id").alias("doc_key"), F.lit("word/media/a.bin").alias("media_path"), F.encode("html", "utf-8").alias("content"))).select("doc_key", F.lit("data:text/octet;").alias("kind"), F.md5(F.encode("uri", "utf-8")).alias("uri"))
+)
+query("resolve_hyperlinks", "SELECT doc_key, block_ix, run_ix, CASE WHEN run_ix < 2 THEN 'http://x/' || run_ix END AS href FROM fx_tokens", "fx_tokens")(
+    lambda t: styles.resolve_hyperlinks(t.select(C("doc_key").alias("doc_id"), "block_ix", "run_ix", F.lit("word/document.xml").alias("part_name"), C("run_ix").alias("rel_id")), t.select("doc_key", "run_ix").distinct().filter("run_ix < 2").select(C("doc_key").alias("doc_id"), F.lit("word/document.xml").alias("part_name"), C("run_ix").alias("rel_id"), F.concat(F.lit("http://x/"), C("run_ix").cast("string")).alias("target"))).select(C("doc_id").alias("doc_key"), "block_ix", "run_ix", "href")
+)
+query(
+    "resolve_images",
+    """SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'word/media/a.png' ELSE 'word/other/b.png' END AS media_path FROM orders WHERE o_orderkey % 3 <> 2""",
+    "orders",
+)(lambda o: styles.resolve_images(
+    o.select(C("o_orderkey").alias("doc_id"), F.lit(0).alias("token_id"), F.lit("d").alias("part_name"), F.lit("r").alias("rel_id")),
+    o.select(C("o_orderkey").alias("doc_id"), F.lit("d").alias("part_name"), F.lit("r").alias("rel_id"), F.element_at(F.array(F.lit("media/a.png"), F.lit("gone/b.png"), F.lit("gone/c.png")), (C("o_orderkey") % 3 + 1).cast("int")).alias("target")),
+    o.select(C("o_orderkey").alias("doc_id"), F.explode(F.array(*map(F.lit, ("word/media/a.png", "word/other/b.png", "word/x/c.png", "word/y/c.png")))).alias("media_path")),
+).select("doc_id", "media_path"))
+query("split_page_breaks", None, "fx_tokens")(lambda t: structure.split_page_breaks(t.withColumn("kind", F.when((C("run_ix") == 1) & (C("block_ix") == 1), "page").otherwise(C("kind")))).select("doc_key", "block_ix", "run_ix", "seg"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
@@ -63,3 +67,65 @@ def field_state(edits: DataFrame) -> DataFrame:
 def debounce_edits(edits: DataFrame, gap: str = "300 milliseconds") -> DataFrame:
     """The last edit of each burst of a session; a burst ends after ``gap`` without an edit.  Batch twin of the stream."""
     return edits.groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(F.max_by(F.struct("node_id", "text"), F.struct("ts", "edit_id")).alias("e"), F.max("ts").alias("ts"), F.count("*").alias("edits")).select("session_id", "ts", "edits", "e.node_id", "e.text")
+
+
+class _Nodes(HTMLParser):
+    """Texts of elements that have a node id, whether they hold a checkbox, and which paragraphs hold runs."""
+
+    VOID = frozenset(("br", "img", "hr", "input", "meta", "link", "col"))
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.open: list[dict | None] = []
+        self.found: list[dict] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        a = dict(attrs)
+        own = {"id": a["data-node-id"], "kind": a.get("data-node-kind", ""), "text": [], "box": False, "runs": False} if a.get("data-node-id") else None
+        for node in filter(None, self.open):
+            node["box"] |= a.get("data-type") == "checkbox"
+            node["runs"] |= own is not None and own["kind"] == "run"
+        if own:
+            self.found.append(own)
+        if tag not in self.VOID:
+            self.open.append(own)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag not in self.VOID and self.open:
+            self.open.pop()
+
+    def handle_data(self, data: str) -> None:
+        for node in filter(None, self.open):
+            node["text"].append(data)
+
+    def patches(self) -> list[tuple]:
+        out = []
+        for node in self.found:
+            text = "".join(node["text"])
+            if node["kind"] == "run":
+                out.append((node["id"], "toggle_checkbox", None, "☒" in text) if node["box"] else (node["id"], "replace_text", text, None))
+            elif node["kind"] == "paragraph" and not node["runs"]:
+                out.append((node["id"], "replace_text", text, None))
+        return out
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("node_id", StringType()), StructField("op", StringType()), StructField("text", StringType()), StructField("checked", BooleanType())])))
+def _html_patches(pages: pd.Series) -> pd.Series:
+    def read(page: str | None) -> list[tuple]:
+        nodes = _Nodes()
+        nodes.feed(page or "")
+        return [dict(zip(("node_id", "op", "text", "checked"), p, strict=True)) for p in nodes.patches()]
+
+    return pages.map(read)
+
+
+def patches_from_html(html: DataFrame) -> DataFrame:
+    """doc_key, patch_ord, node_id, op, text and checked of edited pages: a patch for each run, and for paragraphs without runs."""
+    made = html.select("doc_key", F.posexplode(_html_patches("html")).alias("patch_ord", "p"))
+    return made.select("doc_key", "patch_ord", "p.*")
+
+
+def resolve_positional_patches(patches: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Patches that name a block and a run, with the node that is there; positions out of range go."""
+    at = tokens.select("doc_key", F.col("block_ix").alias("block"), F.col("run_ix").alias("run"), "node_id")
+    return patches.withColumn("run", F.coalesce("run", F.lit(0))).join(at, ["doc_key", "block", "run"])
