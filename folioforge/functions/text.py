@@ -72,7 +72,9 @@ def nbsp_spaces(text: Column, preserve: Column) -> Column:
 
 
 def twips_to_px(twips: Column) -> Column:
-    return F.greatest(F.lit(1), F.round(twips.try_cast("int") / 15).cast("int"))
+    """At least 1; null for what is no number."""
+    px = F.round(twips.try_cast("int") / 15).cast("int")
+    return F.when(px.isNotNull(), F.greatest(F.lit(1), px))
 
 
 def validate_field(type_: Column, value: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions import text as T
 from ..operators import fields, library, patches, pdf, render, structure, styles, validate
-from ..sources import docx_io
+from ..sources import docx_io, tables
 from ..sources.fixtures import view, with_views
 from ..streaming import jobs as streams
 
@@ -348,3 +348,13 @@ query(
     o.select(C("o_orderkey").alias("doc_id"), F.explode(F.array(*map(F.lit, ("word/media/a.png", "word/other/b.png", "word/x/c.png", "word/y/c.png")))).alias("media_path")),
 ).select("doc_id", "media_path"))
 query("split_page_breaks", None, "fx_tokens")(lambda t: structure.split_page_breaks(t.withColumn("kind", F.when((C("run_ix") == 1) & (C("block_ix") == 1), "page").otherwise(C("kind")))).select("doc_key", "block_ix", "run_ix", "seg"))
+query("corpus_report", "SELECT doc_id, count(*) AS blocks, count(*) FILTER (block_type = 'table') AS table_blocks, count(num_id) AS list_items FROM fx_blocks GROUP BY 1", "fx_blocks")(validate.corpus_report)
+query("write_pdf_model", f"WITH {_REGIONS} SELECT doc_id, count(*) AS regions FROM regions GROUP BY 1", "fx_pdf_pages", "fx_pdf_spans", "fx_pdf_widgets")(
+    lambda p, s, w: tables.pdf_models(pdf.pdf_route(p, w), p, pdf.pdf_regions(p, s, w)).select("doc_id", F.regexp_count("model", F.lit('"box":')).cast("long").alias("regions")).filter("regions > 0")
+)
+query("run_css", "SELECT doc_id, block_ix, 'font-size: ' || n_rows || 'pt' || CASE WHEN n_rows % 2 = 0 THEN '; color: #FF0000' ELSE '' END || CASE WHEN n_rows % 3 = 0 THEN '; text-decoration: line-through' ELSE '' END AS out FROM fx_blocks", "fx_blocks")(
+    lambda b: b.select("doc_id", "block_ix", styles.run_css({"font_size_pt": C("n_rows"), "font_family": F.lit(""), "color": F.when(C("n_rows") % 2 == 0, "FF0000"), "strike": C("n_rows") % 3 == 0}).alias("out"))
+)
+query("rendered_break_hints", "SELECT doc_key, block_ix, 1 AS run_ix, length(text) = 0 AS at_start FROM fx_tokens t WHERE run_ix = 0 AND kind = 'text' AND EXISTS (SELECT 1 FROM fx_tokens o WHERE o.doc_key = t.doc_key AND o.block_ix = t.block_ix AND o.run_ix = 1)", "fx_tokens")(
+    lambda t: structure.rendered_break_hints(t.filter("kind <> 'checkbox'").withColumn("kind", F.when(C("run_ix") == 1, "rendered").otherwise(C("kind"))))
+)

@@ -54,7 +54,7 @@ def resolve_images(tokens: DataFrame, rels: DataFrame, media: DataFrame) -> Data
 
 
 def image_geometry(width_emu: Column, height_emu: Column, kind: Column, offset_h: Column) -> Column:
-    px = lambda c: F.greatest(F.lit(1), F.bround(c / EMU_PER_INCH * 96).cast("int"))
+    px = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(1), F.bround(c / EMU_PER_INCH * 96).cast("int")))
     return F.struct(px(width_emu).alias("width_px"), px(height_emu).alias("height_px"), ((kind == "anchor") & (F.coalesce(offset_h, F.lit(0)) >= RIGHT_ANCHOR)).alias("right_anchored"))
 
 
@@ -126,3 +126,16 @@ def annotation_css(c: dict[str, Column]) -> Column:
     space = lambda name, side: F.concat(F.lit(f"margin-{side}: "), lookup({k: str(v) for k, v in SPACINGS.items()}, c[name]), F.lit("px"))
     opacity = F.when(c["suppress"], "opacity: 0.3").when(c["emphasis"] == "low", "opacity: 0.7")
     return F.concat_ws("; ", space("spacing_before", "top"), space("spacing_after", "bottom"), opacity)
+
+
+def run_css(c: dict[str, Column]) -> Column:
+    """font_size_pt, font_family, color and strike as CSS; weight and slant are tags."""
+    color = F.when(c["color"].startswith("#"), c["color"]).otherwise(F.concat(F.lit("#"), c["color"]))
+    return F.concat_ws("; ", F.concat(F.lit("font-size: "), c["font_size_pt"].cast("string"), F.lit("pt")), F.concat(F.lit("font-family: '"), F.nullif(c["font_family"], F.lit("")), F.lit("'")), F.concat(F.lit("color: "), F.when(c["color"] != "", color)), F.when(c["strike"], "text-decoration: line-through"))
+
+
+def cell_css(c: dict[str, Column]) -> Column:
+    """v_align, alignment, fill and width in percent as CSS."""
+    align = F.when(c["alignment"].isin("both", "start"), "left").when(c["alignment"] == "end", "right").otherwise(c["alignment"])
+    middle = F.when(c["v_align"] == "center", "middle").otherwise(c["v_align"])
+    return F.concat_ws("; ", F.concat(F.lit("vertical-align: "), middle), F.concat(F.lit("text-align: "), align), F.concat(F.lit("background-color: #"), c["fill"]), F.concat(F.lit("width: "), c["width_pct"].cast("string"), F.lit("%")))

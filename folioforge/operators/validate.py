@@ -54,3 +54,11 @@ def page_diff(candidate: DataFrame, reference: DataFrame) -> DataFrame:
 def diff_summary(diffs: DataFrame, limit: float = 15.0) -> DataFrame:
     mean = F.bround(F.avg("mean_diff"), 4)
     return diffs.agg(F.count("*").alias("pages"), F.count_if(~F.col("missing")).alias("compared"), F.count_if(F.col("changed_pct") > 0).alias("changed"), mean.alias("mean_diff"), (mean < limit).alias("passed"))
+
+
+def corpus_report(blocks: DataFrame, *parts: DataFrame) -> DataFrame:
+    """Blocks by kind of each document, with any further table of one row a document."""
+    out = blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("block_type") == "table").alias("table_blocks"), F.count_if(F.col("num_id").isNotNull()).alias("list_items"))
+    for part in parts:
+        out = out.join(part, "doc_id", "left")
+    return out

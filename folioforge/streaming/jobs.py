@@ -46,3 +46,18 @@ def latest_draft_stream(drafts: DataFrame, checkpoint: str, out: str):
         latest_draft(rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return drafts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def live_fill_progress(edits: DataFrame, fields: DataFrame, checkpoint: str, out: str):
+    """Filled and all fields of the documents that a batch of edits touches, written by batch number.
+
+    ``fields`` is the current field table; only the documents of the batch are read from it.
+    """
+    from ..operators.fields import fill_progress
+
+    def batch(rows: DataFrame, number: int) -> None:
+        last = rows.groupBy("doc_key", "node_id").agg(F.max_by("text", F.struct("ts", "edit_id")).alias("text"))
+        touched = fields.join(last.select("doc_key").distinct(), "doc_key", "left_semi")
+        fill_progress(patches.sync_field_values(touched, last)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return edits.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
