@@ -3,56 +3,72 @@
 Both tokenizers cut a text before they look for merges, so the ids of a text are those of its chunks in order.
 Chunks here are coarser than the tokenizers' own: a run of non-space with at most one space before it and runs of
 white space (byte level), or what stands between spaces and line ends (word ends; white space is dropped).  Each
-distinct chunk is encoded once by the library.  A text that holds the mark of a special token is encoded whole.
+distinct chunk is encoded by the library, plain words by its model alone.  A text that holds the mark of a special token is encoded whole.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
-import numpy as np
-
 #: Chunks kept by a worker, about 150 bytes each.
-CACHE = 400_000
+CACHE = 500_000
 
 #: Unicode's White_Space property, which the byte-level tokenizer cuts at.
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BYTE_LEVEL = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
 _BETWEEN_SPACES = re.compile("[^ \n]+")
+_LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "ªµº")
+#: A word of letters whose class, case and composed form no version of Unicode has changed, then marks.
+_PLAIN = re.compile(f"( ?[{_LETTERS}]+)([!-&(-/:-@[-`{{-~]*)")
+#: The rule of byte-level tokenizers: a visible Latin-1 character stands for itself, the other bytes follow from 256 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = "".join(chr(b if b in _VISIBLE else 256 + sum(x not in _VISIBLE for x in range(b))) for b in range(256))
 _held: dict[str, Encoder] = {}
 
 
-class Encoder:
-    """Ids as little-endian unsigned 32-bit integers in bytes."""
+class Encoder(dict):
+    """Ids by chunk as little-endian unsigned 32-bit integers in bytes; ``encode`` for whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.byte_level = self.tokenizer.normalizer is None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks = (_BYTE_LEVEL if self.byte_level else _BETWEEN_SPACES).findall
-        self.known: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) > CACHE:
+            self.clear()
+        if plain := _PLAIN.fullmatch(chunk):
+            # One word for the tokenizer, then perhaps a run of marks: the library's model is all that is needed.
+            word, marks = plain.groups()
+            ids = array("I", [t.id for t in self.model.tokenize(_spelt(word if self.byte_level else word.strip().lower()))]).tobytes()
+            if marks:
+                ids += self[marks]
+        else:
+            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self[chunk] = ids
+        return ids
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        texts = list(texts)
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        parts = [[] if i in whole else self.chunks(t) for i, t in enumerate(texts)]
-        new = list(set().union(*parts).difference(self.known))
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list(set().union(*parts))
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
-        got = self.known.__getitem__
-        out = [b"".join(map(got, p)) for p in parts]
-        for i in whole:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+        get = self.__getitem__
+        return [get_whole(self, t) if any(s in t for s in self.special) else b"".join(map(get, self.chunks(t))) for t in texts]
+
+
+def _spelt(word: str) -> str:
+    return codecs.charmap_decode(word.encode(), "strict", _BYTES)[0]
+
+
+def get_whole(encoder: Encoder, text: str) -> bytes:
+    return array("I", encoder.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def encoder(path: str) -> Encoder:
