@@ -39,7 +39,7 @@ GRAM = 128
 #: Windows of a block.
 BLOCK = 16
 #: Bytes looked at together; positions in them fit in POSITION bits.
-POSITION = 20
+POSITION = 18
 CHUNK = (1 << POSITION) - 4096
 #: Spans, of all documents together, up to which they are broadcast rather than texts shuffled: some 30 MB.
 SPAN_ROWS = 500_000

@@ -35,6 +35,9 @@ SAMPLE = 10_000
 #: Voters and features (the lexicon included), at most.
 VOTERS = 48
 FEATURES = 400
+#: Words that a task remembers, and terms that it counts before it hands them on.
+CACHE = 100_000
+COUNTED = 100_000
 #: Sampled documents that a term needs.
 SUPPORT = 5
 THRESHOLD = 0.7
@@ -55,7 +58,7 @@ def terms_of(word: bytes) -> list[bytes]:
 
 
 class TermNumbers(dict):
-    """The numbers of the known terms of a word, remembered for some hundred thousand words."""
+    """The numbers of the known terms of a word, remembered for CACHE words."""
 
     def __init__(self, terms: list[bytes]):
         super().__init__()
@@ -63,7 +66,7 @@ class TermNumbers(dict):
         self.once = {t.removesuffix(TWICE) for t in terms}
 
     def __missing__(self, word: bytes) -> list[bytes]:
-        if len(self) > 300_000:
+        if len(self) > CACHE:
             self.clear()
         found = self[word] = [t for t in terms_of(word) if t in self.once]
         return found
@@ -97,8 +100,14 @@ def telling_terms(sample: DataFrame, most: int) -> list[bytes]:
     """Terms of toxic texts, most telling first; of words and beginnings that say the same the shortest is kept."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[bytes, list[int]] = {}
+
+        def counted() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array([n[0] for n in rows.values()], pa.int64()), pa.array([n[1] for n in rows.values()], pa.int64())], names=["term", "n", "bad"])
+            rows.clear()
+            return found
+
         for batch in batches:
-            rows: dict[bytes, list[int]] = {}
             for text, toxic in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 here: dict[bytes, int] = {}
                 for word in set(words(text or b"")):
@@ -108,7 +117,9 @@ def telling_terms(sample: DataFrame, most: int) -> list[bytes]:
                     n = rows.setdefault(term, [0, 0])
                     n[0] += 1
                     n[1] += toxic
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array([n[0] for n in rows.values()], pa.int64()), pa.array([n[1] for n in rows.values()], pa.int64())], names=["term", "n", "bad"])
+                if len(rows) > COUNTED:
+                    yield counted()
+        yield counted()
 
     all_, bad = sample.agg(F.count("*"), F.sum("toxic")).first()
     if not bad or bad == all_:
