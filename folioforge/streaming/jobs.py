@@ -39,7 +39,7 @@ def stream_uploads(spark: SparkSession, folder: str, checkpoint: str, handle: Ca
 
 
 def latest_draft_stream(drafts: DataFrame, checkpoint: str, out: str):
-    """The newest draft of each title, merged batch by batch into a table of drafts."""
+    """The newest draft of each title in each batch, by batch number; ``latest_draft`` over the folder gives that of all batches."""
     from ..operators.library import latest_draft
 
     def batch(rows: DataFrame, number: int) -> None:
