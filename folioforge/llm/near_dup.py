@@ -5,12 +5,17 @@ class's least doc_id goes on.  The forest has TREES orders of the signature.  A
 DEPTH values:
 
 *   Where few share them (a bucket of up to BUCKET classes), all pairs are candidates.
-*   Where many do, the region is sorted by the order's further values (its depth adapts to how far neighbours agree)
-    and each class is a candidate with the next NEAR ones in the order and with the region's least class.
+*   Where many do, the region is sorted by the order's further values and each class is a candidate with the next NEAR
+    ones in the order and with the region's least class.  This only saves work: what a region still has of different
+    components after that is compared in full, all pairs of them (``region_links``).
 
-At a similarity of 0.75 a pair shares no bucket in any tree with a probability of 2 in a million.  Candidates are
-confirmed on full sets (nearest ones and region heads first, then the rest that does not yet hang together) and
-components come from the confirmed links.
+At a similarity of 0.75 a pair shares no bucket in any tree with a probability of 2 in a million; that is the only loss.
+Candidates are confirmed on full sets (nearest ones and region heads first, then the rest that does not yet hang
+together, then the regions) and components come from the confirmed links.
+
+A region is compared by pairs of blocks of about BLOCK classes, each pair a group of its own.  Classes of like size are
+in a block, as sizes that rule 0.75 out need no comparison, and so are those of a large component, as they need none with
+each other.  A region of n classes that hang together in no way costs n^2 comparisons: no bound is set on that.
 
 Null doc_id: linked with nothing, component null, kept.  Null or wordless text: empty set, linked with nothing.
 Rows with equal doc_id are one node.  Empty table: no rows.  Extra columns are ignored.
@@ -35,6 +40,11 @@ DEPTH = 3
 BUCKET = 16
 NEAR = 4
 PERCENT = 75
+#: Classes of a block of a region, and shingles that a block's table holds at a time.
+BLOCK = 256
+COLUMNS = 4096
+
+_POOLED = -(1 << 63)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -76,10 +86,14 @@ def forest(signed: DataFrame) -> DataFrame:
     return signed.select("doc_id", "n_shingles", "signature").mapInArrow(file, "bucket long, further long, node long, n_shingles long")
 
 
-def candidates(filed: DataFrame) -> DataFrame:
-    """Pairs a < b, trees that named them, and whether one heads a crowded region; sizes that rule 0.75 out are left out."""
+def buckets(filed: DataFrame) -> DataFrame:
+    """The rows of buckets that have several, and how many (many)."""
     shared = filed.groupBy("bucket").agg(F.count("*").alias("many")).filter("many > 1")
-    rows = stored(filed.join(shared, "bucket"), "buckets")
+    return stored(filed.join(shared, "bucket"), "buckets")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Pairs a < b, trees that named them, and whether one heads a crowded region; sizes that rule 0.75 out are left out."""
     item = F.struct("node", "n_shingles")
 
     few = rows.filter(F.col("many") <= BUCKET).groupBy("bucket").agg(F.sort_array(F.collect_list(item)).alias("items"))
@@ -130,6 +144,77 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(check, "a long, b long")
 
 
+def linked(members: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
+    """A link for each two components of members (node, component, shingle set) that have one."""
+    components = np.array([m[1] for m in members], np.int64)
+    if not len(components) or (components == components[0]).all():
+        return []
+    sets = [np.frombuffer(m[2], np.uint64) for m in members]
+    sizes = np.array([len(x) for x in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    kept = often[column] > 1
+    row = np.repeat(np.arange(len(sets)), sizes)[kept]
+    column = np.cumsum(often > 1)[column[kept]] - 1
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.int64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [at, at + COLUMNS])
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[row[i:j], column[i:j] - at] = 1
+        common += (held @ held.T).astype(np.int64)
+    alike = 100 * common >= PERCENT * (sizes[:, None] + sizes[None, :] - common)
+    x, y = np.nonzero(alike & (components[:, None] < components[None, :]))
+    _, first = np.unique(np.stack([components[x], components[y]]), axis=1, return_index=True)
+    return [(members[x[i]][0], members[y[i]][0]) for i in first]
+
+
+def region_links(rows: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between the components ``found`` that meet in a crowded bucket, from all pairs of classes there."""
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100 / PERCENT))).alias("band")
+    own = rows.filter(F.col("many") > BUCKET).select("bucket", "node", band).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = stored(own, "regions")
+    several = stored(own.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("bucket"), "several")
+    own = stored(own.join(broadcast_if_small(several), "bucket", "left_semi"), "regions")
+
+    large = own.groupBy("bucket", "band", "component").count().filter(F.col("count") >= BLOCK).select("bucket", "band", "component", F.col("component").alias("pool"))
+    own = own.join(broadcast_if_small(stored(large, "large")), ["bucket", "band", "component"], "left").withColumn("pool", F.coalesce("pool", F.lit(_POOLED)))
+    own = stored(own, "regions")
+    parts = own.groupBy("bucket", "band", "pool").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    own = own.join(broadcast_if_small(stored(parts, "parts")), ["bucket", "band", "pool"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    own = stored(own.select("node", "component", F.struct("bucket", "pool", "band", "part").alias("block")), "regions")
+
+    blocks = stored(own.select("block").distinct(), "blocks")
+    side = lambda x: blocks.select(F.col("block.bucket").alias("bucket"), F.col("block").alias(x))
+    meet = (F.abs(F.col("x.band") - F.col("y.band")) <= 1) & ((F.col("x.pool") != F.col("y.pool")) | (F.col("x.pool") == _POOLED)) & (F.col("x") <= F.col("y"))
+    pairs = side("x").join(side("y"), "bucket").filter(meet).select(F.xxhash64("x", "y").alias("pair"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    pairs = stored(pairs, "block-pairs")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "held"])
+
+    nodes = broadcast_if_small(stored(own.select("node").distinct(), "nodes"))
+    texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
+    held = stored(texts.mapInArrow(sets, "node long, held binary").filter(F.octet_length("held") > 0).distinct(), "sets")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, members = None, []
+        for batch in batches:
+            links = []
+            for pair, *member in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if pair != last:
+                    links += linked(members)
+                    last, members = pair, []
+                members.append(member)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in linked(members)], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    members = own.join(pairs, "block").join(held, "node").select("pair", "node", "component", "held")
+    return members.repartition("pair").sortWithinPartitions("pair").mapInArrow(judge, "a long, b long").distinct()
+
+
 def _own_links(signed: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between an id and its classes where rows of one id have several sets."""
     key = F.xxhash64("set_key")
@@ -143,7 +228,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stored(shingle_sets(docs), "signed")
     classes = stored(signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id")), "classes")
     heads = signed.join(classes, ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
-    pairs = stored(candidates(forest(heads)), "candidates")
+    filed = buckets(forest(heads))
+    pairs = stored(candidates(filed), "candidates")
 
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     ends = broadcast_if_small(stored(ends, "ends"))
@@ -161,6 +247,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = stored(rest.filter("coalesce(_a, a) <> coalesce(_b, b)").select("a", "b"), "rest")
     more = stored(confirmed(rest, texts), "links")
+    if not more.isEmpty():
+        found = stored(components(more.union(found.select(*same))), "components")
+    more = stored(region_links(filed, found.select(*same), docs), "links")
     if not more.isEmpty():
         found = stored(components(more.union(found.select(*same))), "components")
 

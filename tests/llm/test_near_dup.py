@@ -84,3 +84,27 @@ def test_components_of_chains_stars_and_rings(spark):
     assert got == {i: 1 for i in range(1, 61)} | {i: 100 for i in range(100, 180)} | {200 + i: 200 for i in range(9)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert isinstance(pd.Series(got), pd.Series)
+
+
+def test_crowded_regions_are_compared_in_full(spark, monkeypatch):
+    draw = random.Random(3)
+    prose = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+
+    def changed(own, n):
+        out = list(own)
+        for i in draw.sample(range(len(own) // 10), n):
+            out[10 * i + 5] = f"e{draw.randrange(10**9)}"
+        return " ".join(out)
+
+    # Copies that are like their original, which has not the least id, and unlike each other.
+    original = prose(400)
+    rows = [(i, changed(original, 8)) for i in range(150)] + [(150, " ".join(original))] + [(151 + i, changed(original, 8)) for i in range(150)]
+    # Pairs of copies in a crowd of texts that share most, but too little, with all others.
+    hot = prose(400)
+    for i in range(150):
+        own = changed(hot, 12)
+        rows += [(400 + i, own), (1000 - i, own + " end")]
+    want = brute(rows)
+    assert sum(r[2] == 0 for r in want) == 301 and len({r[2] for r in want}) == 151
+    monkeypatch.setattr(near_dup, "BLOCK", 64)
+    assert sorted(tuple(r) for r in near_duplicates(frame(spark, rows)).collect()) == sorted(want)
