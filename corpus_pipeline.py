@@ -5,7 +5,8 @@ Each stage takes (spark, docs, sf_dir) and returns a table; all but the last ret
 1.  toxicity: documents judged toxic go.
 2.  near_dedup: of each group of near-duplicates the document with the least id stays.  Rows that repeat an id are
     one document; documents without an id are in no group and stay.
-3.  suffix_dedup: bytes of repeated 400-byte strings are cut out of the texts; no row goes, n_chars is counted anew.
+3.  suffix_dedup: bytes of repeated 400-byte strings and of repeated passages of over 50 words are cut out of the
+    texts; no row goes, n_chars is counted anew.
 4.  decontamination: documents that hold a benchmark item go.
 5.  packing: what is left is encoded and packed into sequences; a row for each piece.
 
@@ -25,6 +26,10 @@ from folioforge.llm.suffix_dedup import without_repeats
 from folioforge.llm.toxicity import without_toxic
 
 
+#: Words of a passage that may not repeat.
+PASSAGE_WORDS = 51
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
@@ -40,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = without_repeats(docs)
+    left = without_repeats(docs, words=PASSAGE_WORDS)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 

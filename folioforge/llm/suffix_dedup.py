@@ -16,6 +16,11 @@ strings, exactly, in a fixed number of passes:
 Hot groups are only ever aggregated: equal contexts are reduced to one before they are looked into, so a passage that
 a third of all documents share costs a few rows for each of them.
 
+Passages of so many words (``words``) are found in the same way: each word is replaced by a code of WORD_BYTES bytes, so
+that a passage is a string of fixed length whatever its words' lengths and the white space between them.  Windows that
+do not begin with a code hold one word less in full and are equal by chance only, and what a span has of a code in part
+is left out.
+
 Null text: no bytes.  Texts under 400 bytes: unchanged.  Rows with equal doc_id are judged each by its own text.
 Empty table: no rows.  Extra columns are passed through by ``without_repeats`` and ignored by ``repeat_digests``.
 """
@@ -23,6 +28,7 @@ Empty table: no rows.  Extra columns are passed through by ``without_repeats`` a
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +44,10 @@ LENGTH = 400
 GRAM = 128
 #: Windows of a block.
 BLOCK = 16
+#: Bytes of a word's code, bytes of the k-grams over codes, and words whose codes a worker keeps.
+WORD_BYTES = 5
+WORD_GRAM = 16 * WORD_BYTES
+CACHE = 200_000
 #: Bytes looked at together; positions in them fit in POSITION bits.
 POSITION = 18
 CHUNK = (1 << POSITION) - 4096
@@ -111,8 +121,43 @@ def _keyed(docs: DataFrame) -> list:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"), F.xxhash64("text").alias("_text_key")]
 
 
-def text_runs(docs: DataFrame) -> DataFrame:
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """_id, _text_key and the bytes of the text."""
+    return docs.filter("text is not null").select(*_keyed(docs), F.col("text").cast("binary").alias("text"))
+
+
+class _Codes(dict):
+    def __missing__(self, word: bytes) -> bytes:
+        value = self[word] = hashlib.blake2b(word, digest_size=WORD_BYTES).digest()
+        return value
+
+
+def word_codes(texts: DataFrame) -> DataFrame:
+    """``texts`` with the codes of the words in place of their bytes."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Codes()
+        for batch in batches:
+            coded = []
+            for text in batch.column(2).to_pylist():
+                coded.append(b"".join(map(known.__getitem__, text.split())))
+                if len(known) > CACHE:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(coded, pa.binary())], names=["_id", "_text_key", "text"])
+
+    return texts.mapInArrow(code, "_id long, _text_key long, text binary")
+
+
+def word_places(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of the codes as spans of the text, from the first byte of a word to the last of another."""
+    at = [m.span() for m in re.finditer(rb"\S+", text)] if spans else []
+    whole = [(-(-b // WORD_BYTES), e // WORD_BYTES) for b, e in spans]
+    return [(at[b][0], at[e - 1][1]) for b, e in whole if b < e]
+
+
+def text_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The runs of every text: gram, whole, _id, _text_key, lo, hi, anchor."""
+    width = gram
     names = ["gram", "whole", "_id", "_text_key", "lo", "hi", "anchor"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,17 +168,16 @@ def text_runs(docs: DataFrame) -> DataFrame:
             for i, j in slices(sizes.tolist(), CHUNK // 2):
                 held = texts.slice(i, j - i).to_pylist()
                 # A text longer than a chunk is seen in chunks that overlap by all but one byte of a window.
-                parts = [(i + n, at, t[at : at + CHUNK]) for n, t in enumerate(held) for at in range(0, max(1, len(t) - LENGTH + 1), CHUNK - LENGTH + 1)]
+                parts = [(i + n, at, t[at : at + CHUNK]) for n, t in enumerate(held) for at in range(0, max(1, len(t) - length + 1), CHUNK - length + 1)]
                 for some in _packed([len(p[2]) for p in parts]):
                     own = parts[some]
                     data = np.frombuffer(b"".join(p[2] for p in own), np.uint8)
                     bounds = np.cumsum([0, *(len(p[2]) for p in own)])
-                    n, lo, hi, anchor, gram, whole = runs_of(data, bounds)
+                    n, lo, hi, anchor, gram, whole = runs_of(data, bounds, length, width)
                     row, shift = np.array([p[0] for p in own], np.int64)[n], np.array([p[1] for p in own], np.int64)[n] - bounds[:-1][n]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram.view(np.int64), whole.view(np.int64), ids[row], keys[row], lo + shift, hi + shift, anchor + shift)], names=names)
 
-    texts = docs.select(*_keyed(docs), "text").filter(F.octet_length("text") >= LENGTH)
-    return texts.mapInArrow(find, ", ".join(f"{x} long" for x in names))
+    return texts.filter(F.octet_length("text") >= length).mapInArrow(find, ", ".join(f"{x} long" for x in names))
 
 
 def _packed(sizes: list[int]) -> list[slice]:
@@ -162,33 +206,33 @@ def _distinct(rows: DataFrame, core: str, whole: str, kept: list[str]) -> DataFr
     return rows.groupBy(core, whole).agg(F.count("*").alias("_n"), F.min(F.struct(*kept)).alias("_one")).select(core, whole, (F.col("_n") > 1).alias("copied"), "_one.*")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """_id, _text_key, begin and end of spans whose union is what the text has of repeated windows."""
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """_id, _text_key, begin and end of spans whose union is what ``texts(_id, _text_key, text)`` have of repeated windows."""
     name = ["_id", "_text_key"]
-    runs = stored(text_runs(docs), "runs")
+    runs = stored(text_runs(texts, length, gram), "runs")
     hits = stored(runs.join(_repeated(runs, "gram", "whole"), "gram"), "hits")
-    span = [*name, F.col("lo").alias("begin"), (F.col("hi") + LENGTH).alias("end")]
+    span = [*name, F.col("lo").alias("begin"), (F.col("hi") + length).alias("end")]
     open_runs = hits.filter("open")
     one = stored(_distinct(open_runs, "gram", "whole", [*name, "lo", "hi", "anchor"]), "contexts")
     spans = hits.filter("not open").select(*span).unionByName(open_runs.join(one.filter("copied").select("gram", "whole"), ["gram", "whole"], "left_semi").select(*span))
 
     wanted = stored(one.groupBy(*name).agg(F.collect_list(F.struct("gram", "lo", "hi", "anchor")).alias("wanted")), "wanted")
-    texts = docs.select(*_keyed(docs), "text").join(_small(wanted, "wanted"), name)
+    texts = texts.join(_small(wanted, "wanted"), name)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Core, whole, gram, first and last window, distance of the first from the anchor, and the bytes that the windows cover."""
         for batch in batches:
             columns = batch.to_pydict()
             for doc_id, key, text, wanted in zip(columns["_id"], columns["_text_key"], columns["text"], columns["wanted"], strict=True):
-                text, rows = text.encode(), []
+                rows = []
                 for x in wanted:
                     gram, anchor = x["gram"], x["anchor"]
                     for q in range((x["lo"] - anchor) // BLOCK, (x["hi"] - anchor) // BLOCK + 1):
                         at = anchor + q * BLOCK
                         lo, hi = max(at, x["lo"]), min(at + BLOCK - 1, x["hi"])
-                        covered = text[lo : hi + LENGTH]
+                        covered = text[lo : hi + length]
                         shape = (lo - at) * BLOCK + hi - at
-                        rows.append((_hash(gram, q, text[at + BLOCK - 1 : at + LENGTH]), _hash(gram, q * BLOCK * BLOCK + shape, covered), gram, doc_id, key, lo, hi, lo - anchor, covered))
+                        rows.append((_hash(gram, q, text[at + BLOCK - 1 : at + length]), _hash(gram, q * BLOCK * BLOCK + shape, covered), gram, doc_id, key, lo, hi, lo - anchor, covered))
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
     longs = ["core", "whole", "gram", *name, "lo", "hi", "distance"]
@@ -205,14 +249,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             rows = []
             for x in batch.to_pylist():
                 for i in range(x["hi"] - x["lo"] + 1):
-                    rows.append({"window": _hash(x["gram"], x["distance"] + i, x["covered"][i : i + LENGTH]), "_id": x["_id"], "_text_key": x["_text_key"], "begin": x["lo"] + i})
+                    rows.append({"window": _hash(x["gram"], x["distance"] + i, x["covered"][i : i + length]), "_id": x["_id"], "_text_key": x["_text_key"], "begin": x["lo"] + i})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, pa.int64()) for n in ("window", *name, "begin")]))
 
     distinct = _distinct(open_blocks, "core", "whole", ["gram", *name, "lo", "hi", "distance", "covered"]).select("gram", *name, "lo", "hi", "distance", "covered")
     single = distinct.mapInArrow(windows, "window long, _id long, _text_key long, begin long")
     single = stored(single, "windows")
     twice = stored(single.groupBy("window").count().filter("count > 1").select("window"), "repeated-windows")
-    return spans.unionByName(single.join(twice, "window", "left_semi").select(*name, "begin", (F.col("begin") + LENGTH).alias("end")))
+    return spans.unionByName(single.join(twice, "window", "left_semi").select(*name, "begin", (F.col("begin") + length).alias("end")))
 
 
 def _small(rows: DataFrame, spans: str) -> DataFrame:
@@ -221,18 +265,28 @@ def _small(rows: DataFrame, spans: str) -> DataFrame:
     return F.broadcast(rows) if few else rows.hint("shuffle_hash")
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with _spans, the maximal runs to remove in order (null if none)."""
+def _merged_spans(texts: DataFrame, length: int, gram: int, name: str) -> DataFrame:
+    """_id, _text_key and, as ``name``, the maximal runs of repeated windows in order."""
     pair = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = [[{"begin": b, "end": e} for b, e in merged(found)] for found in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pair))], names=["_id", "_text_key", "_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pair))], names=["_id", "_text_key", name])
 
-    spans = repeated_spans(docs).groupBy("_id", "_text_key").agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
-    spans = stored(spans.mapInArrow(merge, "_id long, _text_key long, _spans array<struct<begin: long, end: long>>"), "spans")
-    return docs.select("*", *_keyed(docs)).join(_small(spans, "_spans"), ["_id", "_text_key"], "left").drop("_id", "_text_key")
+    spans = repeated_spans(texts, length, gram).groupBy("_id", "_text_key").agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
+    return stored(spans.mapInArrow(merge, f"_id long, _text_key long, {name} array<struct<begin: long, end: long>>"), "spans")
+
+
+def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
+    """``docs`` with _spans, the maximal runs to remove in order (null if none), and those of repeated passages of ``words`` words as _word_spans, in codes."""
+    texts = keyed_texts(docs)
+    marked = docs.select("*", *_keyed(docs)).join(_small(_merged_spans(texts, length, gram, "_spans"), "_spans"), ["_id", "_text_key"], "left")
+    if words:
+        wide = words * WORD_BYTES
+        passages = _merged_spans(stored(word_codes(texts), "codes"), wide, min(WORD_GRAM, wide), "_word_spans")
+        marked = marked.join(_small(passages, "_word_spans"), ["_id", "_text_key"], "left")
+    return marked.drop("_id", "_text_key")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -269,22 +323,30 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
     return marked.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with what is left of each text; parts of a character that a cut leaves are dropped."""
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
+    """``docs`` with what is left of each text; parts of a character that a cut leaves are dropped.
+
+    Strings of ``length`` bytes that repeat go and, if ``words`` is given, passages of so many words that do.
+    """
 
-    at = docs.columns.index("text")
+    at, extra = docs.columns.index("text"), 2 if words else 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            for i, found in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                if found:
-                    texts[i] = kept_bytes(texts[i].encode(), merged(found)).decode("utf-8", "ignore")
-            columns = batch.columns[:-1]
+            for i, found in enumerate(zip(*(x.to_pylist() for x in batch.columns[-extra:]), strict=True)):
+                if any(found):
+                    text = texts[i].encode()
+                    spans = merged(found[0])
+                    if words:
+                        spans = merged([{"begin": b, "end": e} for b, e in spans + word_places(text, merged(found[1]))])
+                    texts[i] = kept_bytes(text, spans).decode("utf-8", "ignore")
+            columns = batch.columns[:-extra]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-extra])
 
-    return with_spans(docs).select(*docs.columns, "_spans").mapInArrow(cut, docs.schema)
+    marks = ["_spans", "_word_spans"][:extra]
+    return with_spans(docs, length, gram, words).select(*docs.columns, *marks).mapInArrow(cut, docs.schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+import corpus_pipeline
 from folioforge.llm import suffix_dedup
 from folioforge.llm.suffix_dedup import LENGTH, repeat_digests, without_repeats
 
@@ -88,3 +89,25 @@ def test_cut_characters_are_dropped(spark):
     rows.append((3, "bĩ" + rows[0][1][2:]))  # é and ĩ end in the same byte
     got = {r["doc_id"]: r["text"] for r in without_repeats(frame(spark, rows)).collect()}
     assert got == {1: "a", 2: None, 3: "b"}
+
+
+def test_passages_of_51_words_go_and_those_of_50_stay(spark):
+    draw = random.Random(6)
+    prose = lambda n: [f"{draw.choice('abcdefgh')}{draw.randrange(1000)}" for _ in range(n)]
+    short, long, edited = prose(50), prose(51), prose(120)
+    other = [*edited[:55], "EDIT", *edited[56:]]
+    texts = [" ".join([*prose(30), *part, *prose(40)]) for part in (short, short, long, long, edited, other, prose(200))]
+    texts += ["\n".join([*prose(5), *long]), " ".join(["x"] * 51), " ".join(["y"] * 52), None, ""]
+    assert all(len(" ".join(x)) < LENGTH for x in (short, long))
+    count = Counter(tuple(w[i : i + 51]) for w in ((t or "").split() for t in texts) for i in range(len(w) - 50))
+    want = []
+    for text in texts:
+        words = (text or "").split()
+        gone = {j for i in range(len(words) - 50) if count[tuple(words[i : i + 51])] > 1 for j in range(i, i + 51)}
+        want.append([w for j, w in enumerate(words) if j not in gone])
+    docs = frame(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: r["text"] for r in without_repeats(docs, words=51).collect()}
+    assert [(got[i] or "").split() for i in range(len(texts))] == want and got[10] is None
+    assert [len(x) for x in want] == [120, 120, 70, 70, 71, 71, 270, 5, 51, 0, 0, 0]
+    staged = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_dedup(spark, docs, "").collect()}
+    assert staged == got
