@@ -6,7 +6,10 @@ the longest piece that fits; while a gap is left, take out its smallest piece an
 the expanded gap more tightly.  The group count follows the piece count, so a group's memory is bounded, and what
 grouping loses is at most a partly filled sequence or so for each group.
 
-Null text: only the end id, one piece of length 1.  Empty table: no rows.  Rows with equal doc_id are packed each.
+A piece's group comes from its place in the stored table too, so that many equal rows are spread over all groups.
+
+Null text: only the end id, one piece of length 1.  Null or repeated doc_id: rows like any others, each packed.  Very
+long texts: as many pieces as they need.  Pieces of one length are interchangeable.  Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import small_batches, stored, table
 from .tokens import encoder, slices
 
 LENGTH = 2048
@@ -52,7 +55,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    keyed = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return keyed.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -116,7 +119,7 @@ def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
 def pack(pieces: DataFrame, size: int = LENGTH, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to a stored table of pieces."""
     n = max(1, round(pieces.count() / group))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_row"), F.lit(n))).drop("_row")
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
@@ -127,7 +130,8 @@ def pack(pieces: DataFrame, size: int = LENGTH, group: int = GROUP) -> DataFrame
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = LENGTH) -> DataFrame:
-    return pack(stored(token_pieces(docs, tokenizer or default_path(), size), "pieces"), size)
+    pieces = token_pieces(docs, tokenizer or default_path(), size).withColumn("_row", F.monotonically_increasing_id())
+    return pack(stored(pieces, "pieces"), size)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
