@@ -108,3 +108,44 @@ def test_crowded_regions_are_compared_in_full(spark, monkeypatch):
     assert sum(r[2] == 0 for r in want) == 301 and len({r[2] for r in want}) == 151
     monkeypatch.setattr(near_dup, "BLOCK", 64)
     assert sorted(tuple(r) for r in near_duplicates(frame(spark, rows)).collect()) == sorted(want)
+
+
+def boilerplate(pairs, crowd, seed=11):
+    """One template of 204 words: ``pairs`` texts with a partner over 0.75, and ``crowd`` more that are just under it with all."""
+    draw = random.Random(seed)
+    template = [f"t{i}" for i in range(204)]
+
+    def own(changes):
+        out = list(template)
+        for i in draw.sample(range(20), changes):
+            out[10 * i + 4] = f"u{draw.randrange(10**9)}"
+        return out
+
+    rows = []
+    for i in range(pairs):
+        first = own(7)
+        second = list(first)
+        for j in draw.sample(range(204), 3):
+            second[j] = f"v{draw.randrange(10**9)}"
+        rows += [(2 * i, " ".join(first)), (10**6 - i, " ".join(second))]
+    return rows + [(10**5 + i, " ".join(own(8))) for i in range(crowd)]
+
+
+def test_links_on_boilerplate_are_those_of_brute_force(spark, monkeypatch):
+    rows = boilerplate(150, 150)
+    want = sorted(brute(rows))
+    assert sum(r[3] for r in want) > 100
+    for pairs in (near_dup.PAIRS, 1):  # with 1 most shingles go by blocks
+        monkeypatch.setattr(near_dup, "PAIRS", pairs)
+        assert sorted(tuple(r) for r in near_duplicates(frame(spark, rows)).collect()) == want
+
+
+def test_partitions_do_not_change_results(spark):
+    rows = boilerplate(60, 60) + [(5 * 10**5, "long " * 40000 + "text"), (5 * 10**5 + 1, "long " * 40000 + "text text")]
+    want, before = sorted(brute(rows)), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("2", "53"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert sorted(tuple(r) for r in near_duplicates(frame(spark, rows)).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
