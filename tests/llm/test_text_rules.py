@@ -107,16 +107,47 @@ def test_toxicity_without_labels_and_rows(spark):
 
 
 # Licenses ---------------------------------------------------------------------------------------------------------------
+def blocks_by_brute_force(found):
+    out = {}
+    for t, (_, text) in enumerate(TEMPLATES):
+        own = words(text.encode())
+        best = max(((len(set(own) & set(found[i : i + len(own)])), -i) for i in range(len(found))), default=(0, 0))
+        if best[0] >= CONTAINED * len(set(own)) - 1e-9:
+            out[t] = (best[0] / len(set(own)), best[0])
+    return out
+
+
 def test_template_index_is_exact():
     draw = random.Random(5)
     frequency = {w: draw.randint(0, 50) for _, t in TEMPLATES for w in words(t.encode())}
     index = TemplateIndex(TEMPLATES, frequency, CONTAINED)
-    vocabulary = list(frequency)
-    for _ in range(3000):
+    vocabulary = [*frequency, *(b"x%d" % i for i in range(40))]
+    seen = set()
+    for _ in range(600):
         own = words(draw.choice(TEMPLATES)[1].encode())
-        block = [w for w in own if draw.random() < 0.9] + draw.sample(vocabulary, draw.randint(0, 8))
-        want = [t for t, (_, text) in enumerate(TEMPLATES) if len(set(words(text.encode())) & set(block)) >= CONTAINED * len(set(words(text.encode()))) - 1e-9]
-        assert [t for t, _ in index.matches(block)] == want
+        block = [w for w in own if draw.random() < 0.93]
+        for _ in range(draw.randint(0, 4)):
+            block.insert(draw.randrange(len(block) + 1), draw.choice(vocabulary))
+        found = [draw.choice(vocabulary) for _ in range(draw.randint(0, 60))] + block + [draw.choice(vocabulary) for _ in range(draw.randint(0, 60))]
+        want = blocks_by_brute_force(found)
+        got = {t: c for t, _, c in index.matches(found)}
+        assert got == {t: c for t, (c, _) in want.items()}
+        seen |= got.keys()
+        for t, i, c in index.matches(found):
+            own = set(words(TEMPLATES[t][1].encode()))
+            assert len(own & set(found[i : i + index.lengths[t]])) == round(c * len(own))
+    assert seen == set(range(len(TEMPLATES)))
+
+
+def test_license_blocks_of_wrapped_notices_and_long_lines(spark):
+    mit = next(t for _, t in TEMPLATES if t.startswith("permission is hereby granted") and len(t) > 500)
+    wrapped = "\n * ".join(" ".join(mit.split()[i : i + 9]) for i in range(0, len(mit.split()), 9))
+    far = " and then ".join("licensed under cc by nc 4 0".split()) + " filler" * 30
+    scattered = " ".join(f"{w} " + "filler " * 40 for w in "licensed under the gnu general public license version 3 this work is".split())
+    long = "lorem ipsum " * 30000 + "This work is licensed under the\nGNU General Public License, version 3"
+    rows = [(1, wrapped), (2, scattered), (3, long), (3, long), (4, far), (None, wrapped)]
+    got = [(r["doc_id"], sorted({m["label"] for m in r["matches"]}), max((m["word"] for m in r["matches"]), default=None)) for r in scan_licenses(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, ["mit"], 0), (2, [], None), (3, ["gpl-3"], 60000), (3, ["gpl-3"], 60000), (4, [], None), (None, ["mit"], 0)], key=str)
 
 
 def test_license_phrases_and_blocks(spark):
@@ -124,7 +155,7 @@ def test_license_phrases_and_blocks(spark):
     got = {r["doc_id"]: r for r in scan_licenses(frame(spark, list(enumerate(texts)))).collect()}
     assert (got[0]["n_words"], got[0]["n_base"], got[0]["first_word"]) == (0, 0, None)
     assert (got[2]["n_base"], got[2]["first_word"], got[2]["last_word"], got[2]["base_labels"]) == (3, 1, 8, ["cc-by-nc", "mit"])
-    assert [(m["block"], m["label"]) for m in got[3]["matches"]] == [(1, "gpl-3")] and got[4]["n_base"] == 0
+    assert [(m["word"], m["label"]) for m in got[3]["matches"]] == [(1, "gpl-3")] and got[4]["n_base"] == 0
     assert got[5]["base_labels"] == ["apache-2"] and got[5]["first_word"] == 3
     assert scan_licenses(frame(spark, [(1, "x")]).limit(0)).count() == 0
 
