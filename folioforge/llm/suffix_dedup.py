@@ -21,6 +21,9 @@ that a passage is a string of fixed length whatever its words' lengths and the w
 do not begin with a code hold one word less in full and are equal by chance only, and what a span has of a code in part
 is left out.
 
+Whether a text shares such a passage with another document (``across``) is found in the same way, but documents are
+counted instead of places.  A string that only one document repeats then stands for that document once.
+
 Null text: no bytes.  Texts under 400 bytes: unchanged.  Rows with equal doc_id are judged each by its own text.
 Empty table: no rows.  Extra columns are passed through by ``without_repeats`` and ignored by ``repeat_digests``.
 """
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stored, table
@@ -44,6 +47,8 @@ LENGTH = 400
 GRAM = 128
 #: Windows of a block.
 BLOCK = 16
+#: Words of a passage that ``repeat_digests`` looks for in other documents: the least count over 50.
+PASSAGE_WORDS = 51
 #: Bytes of a word's code, bytes of the k-grams over codes, and words whose codes a worker keeps.
 WORD_BYTES = 5
 WORD_GRAM = 16 * WORD_BYTES
@@ -195,26 +200,37 @@ def _hash(gram: int, at: int, text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8, key=gram.to_bytes(8, "little", signed=True) + at.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
 
 
-def _repeated(rows: DataFrame, core: str, whole: str) -> DataFrame:
+def _several(across: bool) -> Column:
+    """Whether a group has two places or more or, with ``across``, two documents or more."""
+    document = F.xxhash64("_id", "_text_key")
+    return F.min(document) != F.max(document) if across else F.count("*") > 1
+
+
+def _repeated(rows: DataFrame, core: str, whole: str, across: bool) -> DataFrame:
     """The cores that occur twice or more, and whether all their wholes are equal; stored, so that a join with them can split a hot core."""
-    found = rows.groupBy(core).agg(F.count("*").alias("_n"), F.min(whole).alias("_least"), F.max(whole).alias("_most")).filter("_n > 1").select(core, (F.col("_least") != F.col("_most")).alias("open"))
+    found = rows.groupBy(core).agg(_several(across).alias("_several"), F.min(whole).alias("_least"), F.max(whole).alias("_most")).filter("_several").select(core, (F.col("_least") != F.col("_most")).alias("open"))
     return broadcast_if_small(stored(found, "repeated"), SPAN_ROWS)
 
 
-def _distinct(rows: DataFrame, core: str, whole: str, kept: list[str]) -> DataFrame:
+def _distinct(rows: DataFrame, core: str, whole: str, kept: list[str], across: bool) -> DataFrame:
     """One row for each whole of the open cores, and whether it has copies."""
-    return rows.groupBy(core, whole).agg(F.count("*").alias("_n"), F.min(F.struct(*kept)).alias("_one")).select(core, whole, (F.col("_n") > 1).alias("copied"), "_one.*")
+    return rows.groupBy(core, whole).agg(_several(across).alias("copied"), F.min(F.struct(*kept)).alias("_one")).select(core, whole, "copied", "_one.*")
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """_id, _text_key, begin and end of spans whose union is what ``texts(_id, _text_key, text)`` have of repeated windows."""
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, across: bool = False) -> DataFrame:
+    """_id, _text_key, begin and end of spans whose union is what ``texts(_id, _text_key, text)`` have of repeated windows.
+
+    With ``across`` the documents of the spans are those that share a window with another one; of windows that a
+    document holds twice not every place need be there.
+    """
     name = ["_id", "_text_key"]
     runs = stored(text_runs(texts, length, gram), "runs")
-    hits = stored(runs.join(_repeated(runs, "gram", "whole"), "gram"), "hits")
+    hits = stored(runs.join(_repeated(runs, "gram", "whole", across), "gram"), "hits")
     span = [*name, F.col("lo").alias("begin"), (F.col("hi") + length).alias("end")]
     open_runs = hits.filter("open")
-    one = stored(_distinct(open_runs, "gram", "whole", [*name, "lo", "hi", "anchor"]), "contexts")
-    spans = hits.filter("not open").select(*span).unionByName(open_runs.join(one.filter("copied").select("gram", "whole"), ["gram", "whole"], "left_semi").select(*span))
+    one = stored(_distinct(open_runs, "gram", "whole", [*name, "lo", "hi", "anchor"], across), "contexts")
+    copied = broadcast_if_small(one.filter("copied").select("gram", "whole"), SPAN_ROWS)
+    spans = hits.filter("not open").select(*span).unionByName(open_runs.join(copied, ["gram", "whole"], "left_semi").select(*span))
 
     wanted = stored(one.groupBy(*name).agg(F.collect_list(F.struct("gram", "lo", "hi", "anchor")).alias("wanted")), "wanted")
     texts = texts.join(_small(wanted, "wanted"), name)
@@ -238,11 +254,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     longs = ["core", "whole", "gram", *name, "lo", "hi", "distance"]
     schema = pa.schema([*((x, pa.int64()) for x in longs), ("covered", pa.binary())])
     cut = stored(texts.mapInArrow(blocks, ", ".join(f"{x} long" for x in longs) + ", covered binary"), "blocks")
-    pairs = cut.select("core", "whole").groupBy("core", "whole").count()  # as a copied context stands for several, its own count is not one
-    seen = cut.join(_repeated(cut, "core", "whole"), "core")
+    seen = cut.join(_repeated(cut, "core", "whole", across), "core")
     spans = spans.unionByName(seen.filter("not open").select(*span))
     open_blocks = seen.filter("open")
-    spans = spans.unionByName(open_blocks.join(pairs.filter("count > 1").select("core", "whole"), ["core", "whole"], "left_semi").select(*span))
+    pairs = stored(cut.groupBy("core", "whole").agg(_several(across).alias("_several")).filter("_several").select("core", "whole"), "repeated-blocks")
+    spans = spans.unionByName(open_blocks.join(broadcast_if_small(pairs, SPAN_ROWS), ["core", "whole"], "left_semi").select(*span))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,11 +268,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                     rows.append({"window": _hash(x["gram"], x["distance"] + i, x["covered"][i : i + length]), "_id": x["_id"], "_text_key": x["_text_key"], "begin": x["lo"] + i})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, pa.int64()) for n in ("window", *name, "begin")]))
 
-    distinct = _distinct(open_blocks, "core", "whole", ["gram", *name, "lo", "hi", "distance", "covered"]).select("gram", *name, "lo", "hi", "distance", "covered")
+    distinct = _distinct(open_blocks, "core", "whole", ["gram", *name, "lo", "hi", "distance", "covered"], across).select("gram", *name, "lo", "hi", "distance", "covered")
     single = distinct.mapInArrow(windows, "window long, _id long, _text_key long, begin long")
     single = stored(single, "windows")
-    twice = stored(single.groupBy("window").count().filter("count > 1").select("window"), "repeated-windows")
-    return spans.unionByName(single.join(twice, "window", "left_semi").select(*name, "begin", (F.col("begin") + length).alias("end")))
+    twice = stored(single.groupBy("window").agg(_several(across).alias("_several")).filter("_several").select("window"), "repeated-windows")
+    return spans.unionByName(single.join(broadcast_if_small(twice, SPAN_ROWS), "window", "left_semi").select(*name, "begin", (F.col("begin") + length).alias("end")))
 
 
 def _small(rows: DataFrame, spans: str) -> DataFrame:
@@ -305,22 +321,35 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[b:e] for b, e in zip(ends, [*(b for b, _ in spans), len(text)], strict=True))
 
 
+def passage_documents(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
+    """_id and _text_key of the documents that share a passage of ``words`` words with another document; stored."""
+    wide = words * WORD_BYTES
+    codes = stored(word_codes(keyed_texts(docs)), "codes")
+    return stored(repeated_spans(codes, wide, min(WORD_GRAM, wide), across=True).select("_id", "_text_key").distinct(), "passages")
+
+
 def repeat_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and shares_passage of every document.
+
+    shares_passage: it has PASSAGE_WORDS words in a row that another document has, too.  Such a passage can be shorter
+    than LENGTH bytes; it is reported, and what is removed follows from the bytes alone.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for doc_id, text, found, shares in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 text = text or b""
                 spans = merged(found)
                 kept = kept_bytes(text, spans)
-                rows.append((doc_id, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+                rows.append((doc_id, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), shares))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-    marked = with_spans(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_spans")
-    return marked.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("shares_passage", pa.bool_())])
+    sharing = broadcast_if_small(passage_documents(docs).withColumn("_shares", F.lit(True)))
+    marked = with_spans(docs.select("doc_id", "text")).select("*", *_keyed(docs)).join(sharing, ["_id", "_text_key"], "left")
+    marked = marked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_spans", F.coalesce("_shares", F.lit(False)).alias("_shares"))
+    return marked.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
