@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_batches, table
 
 #: Phrase and label: fixed values of the base scan.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -64,7 +64,7 @@ def document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[
                     total[word] = total.get(word, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
-    counts = docs.select("text").filter("text is not null").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = map_batches(docs.select("text").filter("text is not null"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r["word"]): r["n"] for r in counts.collect()}
 
 
@@ -154,7 +154,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, schema.types, strict=True)], schema=schema)
 
     returned = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, matches array<struct<word: long, label: string, template: string, containment: double>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, returned)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scan, returned)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

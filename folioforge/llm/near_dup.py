@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, small_batches, stored, table
+from .common import broadcast_if_small, map_batches, stored, table
 from .components import components
 from .shingles import MinHash, mix, shingle_set
 
@@ -73,7 +73,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 rows[2].append(sketch(found).tobytes() if some else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t.type) for x, t in zip(rows, list(schema)[1:], strict=True))], schema=schema)
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, signature binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sign, "doc_id long, n_shingles long, set_key binary, signature binary")
 
 
 def forest(signed: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def forest(signed: DataFrame) -> DataFrame:
                     further = further << np.uint64(16) | values[:, i] >> np.uint64(16)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(further.view(np.int64)), pa.array(nodes), pa.array(sizes)], names=["bucket", "further", "node", "n_shingles"])
 
-    return signed.select("doc_id", "n_shingles", "signature").mapInArrow(file, "bucket long, further long, node long, n_shingles long")
+    return map_batches(signed.select("doc_id", "n_shingles", "signature"), file, "bucket long, further long, node long, n_shingles long")
 
 
 def buckets(filed: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def candidates(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*pairs, strict=True) if pairs else [[]] * 4)], names=["a", "na", "b", "nb"])
 
     ordered = crowded.select("bucket", "further", "node", "n_shingles").repartitionByRange("bucket", "further", "node").sortWithinPartitions("bucket", "further", "node")
-    chain = ordered.mapInArrow(near, "a long, na long, b long, nb long").select(F.struct(F.col("a").alias("node"), F.col("na").alias("n_shingles")).alias("x"), F.struct(F.col("b").alias("node"), F.col("nb").alias("n_shingles")).alias("y"), F.lit(False).alias("head"))
+    chain = map_batches(ordered, near, "a long, na long, b long, nb long").select(F.struct(F.col("a").alias("node"), F.col("na").alias("n_shingles")).alias("x"), F.struct(F.col("b").alias("node"), F.col("nb").alias("n_shingles")).alias("y"), F.lit(False).alias("head"))
 
     every = few.unionByName(star).unionByName(chain)
     fit = (F.col("x.node") != F.col("y.node")) & (100 * F.least("x.n_shingles", "y.n_shingles") >= PERCENT * F.greatest("x.n_shingles", "y.n_shingles"))
@@ -142,7 +142,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "held"])
 
     texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
-    return texts.mapInArrow(sets, "node long, held binary").filter(F.octet_length("held") > 0).distinct()
+    return map_batches(texts, sets, "node long, held binary").filter(F.octet_length("held") > 0).distinct()
 
 
 def confirmed(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def confirmed(pairs: DataFrame, held: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     one, two = (held.select(F.col("node").alias(a), F.col("held").alias(s)) for a, s in (("a", "s"), ("b", "t")))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(check, "a long, b long")
+    return map_batches(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "s", "t"), check, "a long, b long")
 
 
 def linked(members: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
@@ -206,7 +206,7 @@ def shingle_counts(members: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["counter", "n"])
 
-    sums = members.select("held").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # a row for each counter at most
+    sums = map_batches(members.select("held"), count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # a row for each counter at most
     out = np.zeros(1 << SKETCH_BITS, np.uint32)
     out[np.asarray(sums["counter"])] = np.minimum(np.asarray(sums["n"]), (1 << 32) - 1)
     return out
@@ -230,7 +230,7 @@ def leading_shingles(members: DataFrame, counts: np.ndarray) -> DataFrame:
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["shingle", "place", "short", "node", "component", "n_shingles"])
 
-    return members.select("node", "component", "held").mapInArrow(lead, "shingle long, place long, short boolean, node long, component long, n_shingles long")
+    return map_batches(members.select("node", "component", "held"), lead, "shingle long, place long, short boolean, node long, component long, n_shingles long")
 
 
 def crowded_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -290,7 +290,7 @@ def block_links(rows: DataFrame, found: DataFrame, held: DataFrame) -> DataFrame
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in linked(members)], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     members = own.join(pairs, "block").join(held, "node").select("pair", "node", "component", "held")
-    return members.repartition("pair").sortWithinPartitions("pair").mapInArrow(judge, "a long, b long").distinct()
+    return map_batches(members.repartition("pair").sortWithinPartitions("pair"), judge, "a long, b long").distinct()
 
 
 def _own_links(signed: DataFrame, classes: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import map_batches, stored, table
 from .tokens import encoder, slices
 
 LENGTH = 2048
@@ -55,8 +55,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    keyed = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return keyed.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return map_batches(keyed, cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

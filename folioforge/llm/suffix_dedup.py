@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored, table
+from .common import broadcast_if_small, map_batches, stored, table
 from .tokens import slices
 
 LENGTH = 400
@@ -150,7 +150,7 @@ def word_codes(texts: DataFrame) -> DataFrame:
                     known.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(coded, pa.binary())], names=["_id", "_text_key", "text"])
 
-    return texts.mapInArrow(code, "_id long, _text_key long, text binary")
+    return map_batches(texts, code, "_id long, _text_key long, text binary")
 
 
 def word_places(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -182,7 +182,7 @@ def text_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataF
                     row, shift = np.array([p[0] for p in own], np.int64)[n], np.array([p[1] for p in own], np.int64)[n] - bounds[:-1][n]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram.view(np.int64), whole.view(np.int64), ids[row], keys[row], lo + shift, hi + shift, anchor + shift)], names=names)
 
-    return texts.filter(F.octet_length("text") >= length).mapInArrow(find, ", ".join(f"{x} long" for x in names))
+    return map_batches(texts.filter(F.octet_length("text") >= length), find, ", ".join(f"{x} long" for x in names))
 
 
 def _packed(sizes: list[int]) -> list[slice]:
@@ -253,7 +253,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, acr
 
     longs = ["core", "whole", "gram", *name, "lo", "hi", "distance"]
     schema = pa.schema([*((x, pa.int64()) for x in longs), ("covered", pa.binary())])
-    cut = stored(texts.mapInArrow(blocks, ", ".join(f"{x} long" for x in longs) + ", covered binary"), "blocks")
+    cut = stored(map_batches(texts, blocks, ", ".join(f"{x} long" for x in longs) + ", covered binary"), "blocks")
     seen = cut.join(_repeated(cut, "core", "whole", across), "core")
     spans = spans.unionByName(seen.filter("not open").select(*span))
     open_blocks = seen.filter("open")
@@ -269,7 +269,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, acr
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, pa.int64()) for n in ("window", *name, "begin")]))
 
     distinct = _distinct(open_blocks, "core", "whole", ["gram", *name, "lo", "hi", "distance", "covered"], across).select("gram", *name, "lo", "hi", "distance", "covered")
-    single = distinct.mapInArrow(windows, "window long, _id long, _text_key long, begin long")
+    single = map_batches(distinct, windows, "window long, _id long, _text_key long, begin long")
     single = stored(single, "windows")
     twice = stored(single.groupBy("window").agg(_several(across).alias("_several")).filter("_several").select("window"), "repeated-windows")
     return spans.unionByName(single.join(broadcast_if_small(twice, SPAN_ROWS), "window", "left_semi").select(*name, "begin", (F.col("begin") + length).alias("end")))
@@ -291,7 +291,7 @@ def _merged_spans(texts: DataFrame, length: int, gram: int, name: str) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pair))], names=["_id", "_text_key", name])
 
     spans = repeated_spans(texts, length, gram).groupBy("_id", "_text_key").agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
-    return stored(spans.mapInArrow(merge, f"_id long, _text_key long, {name} array<struct<begin: long, end: long>>"), "spans")
+    return stored(map_batches(spans, merge, f"_id long, _text_key long, {name} array<struct<begin: long, end: long>>"), "spans")
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
@@ -349,7 +349,7 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
     sharing = broadcast_if_small(passage_documents(docs).withColumn("_shares", F.lit(True)))
     marked = with_spans(docs.select("doc_id", "text")).select("*", *_keyed(docs)).join(sharing, ["_id", "_text_key"], "left")
     marked = marked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_spans", F.coalesce("_shares", F.lit(False)).alias("_shares"))
-    return marked.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean")
+    return map_batches(marked, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
@@ -375,7 +375,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wor
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-extra])
 
     marks = ["_spans", "_word_spans"][:extra]
-    return with_spans(docs, length, gram, words).select(*docs.columns, *marks).mapInArrow(cut, docs.schema)
+    return map_batches(with_spans(docs, length, gram, words).select(*docs.columns, *marks), cut, docs.schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch_path, small_batches, table
+from .common import map_batches, scratch_path, table
 from .tokens import encoder, slices
 
 END = 0
@@ -41,7 +41,7 @@ def default_path() -> str:
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     order = ["doc_id", F.crc32("text"), F.octet_length("text")]
     ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -59,7 +59,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(np.full(j - i, part, np.int32)), pa.array(at + ends - sizes), pa.array(sizes), lists], schema=schema)
                 at += int(ends[-1])
 
-    ordered.mapInArrow(encode, FILE_SCHEMA).write.options(**ORC).orc(path)
+    map_batches(ordered, encode, FILE_SCHEMA).write.options(**ORC).orc(path)
 
 
 def read_token_files(spark: SparkSession, path: str, ids: list[int] | None = None) -> DataFrame:
@@ -78,7 +78,7 @@ def document_digests(rows: DataFrame) -> DataFrame:
             crcs = [zlib.crc32(values[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]  # of the ids read, not of what was encoded
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crcs, pa.int64())], names=["doc_id", "part", "local_start", "n_tokens", "ids_crc32"])
 
-    digests = small_batches(rows).select("doc_id", "part", "local_start", "n_tokens", "ids").mapInArrow(digest, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
+    digests = map_batches(rows.select("doc_id", "part", "local_start", "n_tokens", "ids"), digest, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
     parts = rows.groupBy("part").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("_size"))
     before = F.sum("_size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = parts.select("part", F.coalesce(before, F.lit(0)).alias("_before"))  # a row per partition

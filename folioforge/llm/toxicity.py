@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import stored, table
+from .common import map_batches, stored, table
 from .licenses import words
 
 #: Labelled documents that the classifier is fitted on, at most.
@@ -124,7 +124,7 @@ def telling_terms(sample: DataFrame, most: int) -> list[bytes]:
     all_, bad = sample.agg(F.count("*"), F.sum("toxic")).first()
     if not bad or bad == all_:
         return []
-    counts = sample.select("text", "toxic").mapInArrow(count, "term binary, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    counts = map_batches(sample.select("text", "toxic"), count, "term binary, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     ratio = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (all_ - bad + 1))
     best = counts.filter(F.col("bad") >= SUPPORT).select("term", (ratio * F.sqrt("bad")).alias("score"), ratio.alias("ratio")).filter("ratio > 2")
     out: list[bytes] = []
@@ -155,7 +155,7 @@ def vote_counts(docs: DataFrame, voters: list[bytes]) -> tuple[int, np.ndarray]:
         i, j = np.nonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *i], pa.int32()), pa.array([-1, *j], pa.int32()), pa.array([total, *pairs[i, j]], pa.int64())], names=["i", "j", "n"])
 
-    sums = docs.select("text").mapInArrow(count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    sums = map_batches(docs.select("text"), count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
     total, out = 0, np.zeros((len(voters), len(voters)), np.int64)
     for i, j, n in sums.collect():  # a row for each pair of voters at most
         if i < 0:
@@ -230,7 +230,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([known.of(t) for t in batch.column(0).cast(pa.binary()).to_pylist()], pa.list_(pa.int32()))], names=["numbers"])
 
-    numbers = [r[0] for r in sample.orderBy("doc_id").select("text").mapInArrow(number, "numbers array<int>").collect()]  # SAMPLE rows at most
+    numbers = [r[0] for r in map_batches(sample.orderBy("doc_id").select("text"), number, "numbers array<int>").collect()]  # SAMPLE rows at most
     if not numbers:
         numbers = [[i] for i in range(len(voters))] + [[]] * max(1, 9 * len(voters))
     soft = np.array([posterior([n for n in own if n < len(voters)], bad, good, correlated, none, prior) for own in numbers])
@@ -248,7 +248,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
             sums = np.array([bias + weights[numbers.of(t)].sum() for t in batch.column(at).cast(pa.binary()).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(sums, -30, 30))))], names=[*batch.schema.names, "_score"])
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    return map_batches(docs, score, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
