@@ -54,9 +54,14 @@ def fields_from_paragraphs(paragraphs: DataFrame) -> DataFrame:
 
 
 def fields_from_tables(cells: DataFrame) -> DataFrame:
-    """A field for each row of two cells or more whose first is a label and that is no heading row."""
+    """A field for each row of two cells or more whose first is a label and that is no heading row.
+
+    The field's nodes are those of the label and the value, if the cells have node_ids.
+    """
     of = lambda ix, c: F.max(F.when(F.col("cell_ix") == ix, F.col(c)))
-    rows = cells.groupBy("doc_key", "block_ix", "row_ix").agg(F.count("*").alias("_n"), T.py_strip(of(0, "text")).alias("label"), T.py_strip(F.coalesce(of(1, "text"), F.lit(""))).alias("_value"), of(1, "checkbox_count").alias("_boxes"))
+    none = F.array().cast("array<string>")
+    ids = [F.array_distinct(F.concat(F.coalesce(of(0, "node_ids"), none), F.coalesce(of(1, "node_ids"), none)))] if "node_ids" in cells.columns else [F.first(none)]
+    rows = cells.groupBy("doc_key", "block_ix", "row_ix").agg(F.count("*").alias("_n"), T.py_strip(of(0, "text")).alias("label"), T.py_strip(F.coalesce(of(1, "text"), F.lit(""))).alias("_value"), of(1, "checkbox_count").alias("_boxes"), ids[0].alias("node_ids"))
     placed = T.has_placeholder(F.col("_value"))
     label, value = F.col("label"), F.col("_value")
     rows = rows.filter((F.col("_n") >= 2) & (label != "") & (label.contains(":") | label.contains("?") | (F.col("_boxes") > 0) | placed))
@@ -65,12 +70,16 @@ def fields_from_tables(cells: DataFrame) -> DataFrame:
     confidence = F.when(boxed, 0.85).when((value == "") | placed, 0.8).otherwise(0.6)
     return rows.select(
         "doc_key", F.col("block_ix").alias("block"), F.col("row_ix").alias("row"), F.lit(0).alias("para"), F.lit(0).alias("rule"), "label", kind.alias("type"), F.when(~boxed, T.normalize_value(value)).alias("value"),
-        confidence.alias("confidence"), label.alias("raw_label"), value.alias("raw_value"), F.array().cast("array<string>").alias("node_ids"),
+        confidence.alias("confidence"), label.alias("raw_label"), value.alias("raw_value"), "node_ids",
     )
 
 
 def extract_fields(tokens: DataFrame, cells: DataFrame) -> DataFrame:
-    """All rule fields of a document in order of block, row and rule, numbered from 1."""
+    """All rule fields of a document in order of block, row and rule, numbered from 1.
+
+    Both tables are dealt by document once; groups by paragraph and row and the numbering need no further shuffle.
+    """
+    tokens, cells = tokens.repartition("doc_key"), cells.repartition("doc_key")
     every = fields_from_paragraphs(paragraph_texts(tokens)).unionByName(fields_from_tables(cells))
     order = Window.partitionBy("doc_key").orderBy("block", "row", "rule")
     return every.withColumn("field_ord", F.row_number().over(order)).withColumn("id", T.field_id(F.col("field_ord"))).withColumn("origin", F.lit("rule"))
@@ -90,15 +99,18 @@ def parse_field_suggestions(responses: DataFrame) -> DataFrame:
 
 
 def merge_fields(rules: DataFrame, suggested: DataFrame) -> DataFrame:
-    """All rule fields, then suggestions whose merge key is new, numbered anew."""
-    key = T.merge_key(F.col("label"), F.col("block"), F.col("para"))
-    ruled, more = rules.withColumn("merge_key", key), suggested.withColumn("merge_key", key)
-    first = more.withColumn("_n", F.row_number().over(Window.partitionBy("doc_key", "merge_key").orderBy("ord"))).filter("_n = 1")
-    new = first.join(ruled.select("doc_key", "merge_key"), ["doc_key", "merge_key"], "left_anti")
-    one = ruled.select("doc_key", F.lit(0).alias("_kind"), F.col("field_ord").alias("_ord"), "label", "type", "value", "confidence", "block", "para", "merge_key", F.lit("rule").alias("origin"))
-    two = new.select("doc_key", F.lit(1).alias("_kind"), F.col("ord").alias("_ord"), "label", "type", _text("value"), "confidence", "block", "para", "merge_key", F.lit("ai").alias("origin"))
-    every = one.unionByName(two).withColumn("field_ord", F.row_number().over(Window.partitionBy("doc_key").orderBy("_kind", "_ord")))
-    return every.withColumn("id", T.field_id(F.col("field_ord"))).drop("_kind", "_ord")
+    """All rule fields, then suggestions whose merge key is new, numbered anew.
+
+    Rules and suggestions are one table from the start, so that the rules are made once; a suggestion is new if it is the
+    first row of its merge key, rules before suggestions.
+    """
+    one = rules.select("doc_key", F.lit(0).alias("_kind"), F.col("field_ord").alias("_ord"), "label", "type", "value", "confidence", "block", "para", F.lit("rule").alias("origin"))
+    two = suggested.select("doc_key", F.lit(1).alias("_kind"), F.col("ord").alias("_ord"), "label", "type", _text("value"), "confidence", "block", "para", F.lit("ai").alias("origin"))
+    every = one.unionByName(two).withColumn("merge_key", T.merge_key(F.col("label"), F.col("block"), F.col("para"))).repartition("doc_key")
+    place = F.row_number().over(Window.partitionBy("doc_key", "merge_key").orderBy("_kind", "_ord"))
+    kept = every.withColumn("_n", place).filter("_kind = 0 or _n = 1")
+    numbered = kept.withColumn("field_ord", F.row_number().over(Window.partitionBy("doc_key").orderBy("_kind", "_ord")))
+    return numbered.withColumn("id", T.field_id(F.col("field_ord"))).drop("_kind", "_ord", "_n")
 
 
 def extraction_gain(fields: DataFrame) -> DataFrame:

@@ -22,20 +22,44 @@ def effective_patches(patches: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def apply_text_patches(tokens: DataFrame, patches: DataFrame) -> DataFrame:
-    """The first text leaf under a patched node gets the text, the others become empty."""
-    texts = patches.filter("op = 'replace_text'").select("doc_key", "node_id", F.col("text").alias("_new"))
-    joined = tokens.join(texts, ["doc_key", "node_id"], "left")
-    leaf = F.row_number().over(Window.partitionBy("doc_key", "node_id", "kind").orderBy("block_ix", "run_ix"))
-    new = F.when(F.col("_new").isNull() | (F.col("kind") != "text"), F.col("text")).when(F.col("_leaf") == 1, F.col("_new")).otherwise("")
-    return joined.withColumn("_leaf", leaf).withColumn("text", new).drop("_leaf", "_new")
+    """The first text leaf under a patched run or paragraph gets the text, the others become empty.
+
+    Of patches of a paragraph and of its runs the last one (patch_ord, if there is one) holds for each leaf.  Where a node
+    has no leaf, one is added behind its tokens.  tokens: doc_key, block_ix, run_ix, kind, text, node_id and para_node_id
+    (if paragraphs may be patched), with a row of kind ``empty`` for runs and paragraphs without tokens.
+    """
+    order = F.col("patch_ord") if "patch_ord" in patches.columns else F.lit(0)
+    texts = patches.filter("op = 'replace_text'").groupBy("doc_key", "node_id").agg(F.max_by("text", order).alias("_text"), F.max(order).alias("_ord"))
+    levels = [c for c in ("node_id", "para_node_id") if c in tokens.columns]
+    out = tokens
+    for level in levels:
+        own = texts.select("doc_key", F.col("node_id").alias(level), F.col("_text").alias(f"_new_{level}"), F.col("_ord").alias(f"_ord_{level}"))
+        w = Window.partitionBy("doc_key", level)
+        leaves = F.count_if(F.col("kind") == "text").over(w)
+        place = F.row_number().over(Window.partitionBy("doc_key", level, "kind").orderBy("block_ix", "run_ix"))
+        last = F.row_number().over(w.orderBy(F.desc("block_ix"), F.desc("run_ix")))
+        out = out.join(own, ["doc_key", level], "left").withColumns({f"_n_{level}": leaves, f"_leaf_{level}": place, f"_last_{level}": last})
+    hit = {x: F.col(f"_new_{x}").isNotNull() for x in levels}
+    value = {x: F.when(F.col(f"_leaf_{x}") == 1, F.col(f"_new_{x}")).otherwise("") for x in levels}
+    best = F.array_max(F.array(*[F.when(hit[x], F.struct(F.col(f"_ord_{x}").alias("o"), value[x].alias("v"))) for x in reversed(levels)]))["v"]
+    changed = out.withColumn("text", F.when(F.col("kind") == "text", F.coalesce(best, F.col("text"))).otherwise(F.col("text")))
+    bare = F.lit(False)
+    added = F.lit(None).cast("string")
+    for x in levels:
+        here = hit[x] & (F.col(f"_n_{x}") == 0) & (F.col(f"_last_{x}") == 1)
+        bare, added = bare | here, F.coalesce(F.when(here, F.col(f"_new_{x}")), added)
+    new = out.filter(bare).withColumn("text", added).withColumn("kind", F.lit("text")).withColumn("run_ix", F.col("run_ix") + F.when(F.col("kind") == "empty", 0).otherwise(1))
+    return changed.select(*tokens.columns).unionByName(new.select(*tokens.columns))
 
 
 def apply_checkbox_patches(tokens: DataFrame, patches: DataFrame) -> DataFrame:
-    """The state of patched checkboxes; other nodes are left alone."""
-    ticks = patches.filter("op = 'toggle_checkbox'").select("doc_key", "node_id", F.col("checked").alias("_new"))
+    """The state of patched checkboxes, the last patch of each; other nodes are left alone."""
+    order = F.col("patch_ord") if "patch_ord" in patches.columns else F.lit(0)
+    ticks = patches.filter("op = 'toggle_checkbox'").groupBy("doc_key", "node_id").agg(F.max_by("checked", order).alias("_new"))
     joined = tokens.join(ticks, ["doc_key", "node_id"], "left")
     ticked = (F.col("kind") == "checkbox") & F.col("_new").isNotNull()
-    return joined.withColumn("text", F.when(ticked, F.when(F.col("_new"), "☒").otherwise("☐")).otherwise(F.col("text"))).drop("_new")
+    out = joined.withColumn("text", F.when(ticked, F.when(F.col("_new"), "☒").otherwise("☐")).otherwise(F.col("text")))
+    return (out.withColumn("checked", F.when(ticked, F.col("_new")).otherwise(F.col("checked"))) if "checked" in tokens.columns else out).select(*tokens.columns)
 
 
 def echo_filter(edits: DataFrame) -> DataFrame:
@@ -44,11 +68,21 @@ def echo_filter(edits: DataFrame) -> DataFrame:
 
 
 def sync_field_values(fields: DataFrame, edits: DataFrame) -> DataFrame:
-    """Field values after node edits: the field whose value target the node is takes the edit's text."""
-    target = fields.withColumn("_target", F.when(F.col("type") == "checkbox", T.checkbox_target(F.col("node_ids"))).otherwise(T.value_target(F.col("node_ids"))))
-    new = edits.select("doc_key", F.col("node_id").alias("_target"), F.col("text").alias("_text"))
-    value = F.when(F.col("_text").isNull(), F.col("value")).when(F.col("type") == "checkbox", F.when(F.col("_text") == "☒", "true").otherwise("false")).otherwise(F.col("_text"))
-    return target.join(new, ["doc_key", "_target"], "left").withColumn("value", value).drop("_text", "_target")
+    """Field values after node edits, the last of each node by ts and edit_id if there are such columns.
+
+    A checkbox field takes the state of any of its boxes, the last edited one; other fields the text of their value target.
+    """
+    order = F.struct(*[c for c in ("ts", "edit_id") if c in edits.columns] or [F.lit(0)])
+    last = edits.groupBy("doc_key", F.col("node_id").alias("_target")).agg(F.max_by("text", order).alias("_text"), F.max(order).alias("_at"))
+    box = F.col("type") == "checkbox"
+    key = [c for c in ("doc_key", "block", "row", "rule", "field_ord", "id", "label") if c in fields.columns]
+    targets = F.when(box, F.filter("node_ids", lambda x: x.startswith("sdt_"))).otherwise(F.array(T.value_target(F.col("node_ids"))))
+    found = fields.select(*key, F.explode(targets).alias("_target")).filter("_target is not null").join(last, ["doc_key", "_target"])
+    new = found.groupBy(*key).agg(F.max_by("_text", "_at").alias("_text"))
+    value = F.when(F.col("n._text").isNull(), F.col("f.value")).when(F.col("f.type") == "checkbox", F.when(F.col("n._text") == "☒", "true").otherwise("false")).otherwise(F.col("n._text"))
+    same = [F.col(f"f.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key if k != "doc_key"]
+    joined = fields.alias("f").join(new.alias("n"), [F.col("f.doc_key") == F.col("n.doc_key"), *same], "left")
+    return joined.select(*[value.alias("value") if c == "value" else F.col(f"f.{c}") for c in fields.columns])
 
 
 def fields_to_patches(fields: DataFrame) -> DataFrame:
@@ -126,6 +160,20 @@ def patches_from_html(html: DataFrame) -> DataFrame:
 
 
 def resolve_positional_patches(patches: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Patches that name a block and a run, with the node that is there; positions out of range go."""
-    at = tokens.select("doc_key", F.col("block_ix").alias("block"), F.col("run_ix").alias("run"), "node_id")
-    return patches.withColumn("run", F.coalesce("run", F.lit(0))).join(at, ["doc_key", "block", "run"])
+    """Patches that name a block (and, in a table, row and cell), a paragraph and a run, with the node that is there.
+
+    Missing paragraph and run are 0; positions out of range go.  A block that is a table needs row and cell.  tokens without
+    row_ix are those of plain paragraphs; a run's place is run_no, else run_ix.
+    """
+    null = F.lit(None).cast("int")
+    at = lambda name, other: F.col(name) if name in tokens.columns else other
+    places = tokens.select("doc_key", F.col("block_ix").alias("block"), at("row_ix", null).alias("row"), at("cell_ix", null).alias("cell"), at("para_ix", F.lit(0)).alias("para"), at("run_no", F.col("run_ix")).alias("run"), "node_id").distinct()
+    named = patches
+    for column, default in (("row", null), ("cell", null), ("para", F.lit(0)), ("run", F.lit(0))):
+        named = named.withColumn(column, F.coalesce(F.col(column), default) if column in patches.columns else default)
+    p, t = named.alias("p"), places.alias("t")
+    same = [F.col("p.doc_key") == F.col("t.doc_key"), F.col("p.block") == F.col("t.block"), F.col("p.para") == F.col("t.para"), F.col("p.run") == F.col("t.run")]
+    inner = F.col("t.row").isNull() | ((F.col("p.row") == F.col("t.row")) & (F.col("p.cell") == F.col("t.cell")))
+    return p.join(t, [*same, inner]).filter("t.node_id is not null").select("p.*", "t.node_id")
+
+

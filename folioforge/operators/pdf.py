@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,14 +47,32 @@ def fill_regions(regions: DataFrame, values: DataFrame) -> DataFrame:
     return regions.join(new, ["doc_id", "page", "id"], "left").withColumn("value", F.coalesce("_new", "value")).drop("_new")
 
 
-def stamp_plan(regions: DataFrame, pages: DataFrame, char_width: float = 0.5) -> DataFrame:
-    """What is stamped where: a widget's value or free text with a font size that fits its box."""
-    stamped = regions.withColumn("stamp", T.stamp_value(F.col("type"), F.col("value"))).filter("stamp is not null").join(pages.select("doc_id", "page"), ["doc_id", "page"], "left_semi")
-    largest = F.least(F.col("h") * 0.7, F.lit(11.0))
-    steps = F.greatest(F.lit(0.0), F.ceil((largest - F.least(F.lit(4.0), largest)) / 0.5))
-    fits = F.greatest(F.lit(0.0), F.ceil((largest - F.col("w") / (F.length("stamp") * char_width)) / 0.5 - F.lit(1e-9)))
-    size = F.greatest(F.lit(4.0), largest - F.least(steps, fits) * 0.5)
-    return stamped.select("doc_id", "page", "id", "stamp", F.when(F.col("acro_field_name").isNotNull(), "widget").otherwise("free_text").alias("way"), size.alias("font_size"), F.when(F.col("type") == "checkbox", "center").otherwise("left").alias("align"))
+def fit_fontsize(unit_width: Column, w: Column, h: Column) -> Column:
+    """From 0.7 of the height, 11 at most, down by halves while a text of ``unit_width`` (at size 1) is wider than the box; 4 at least."""
+    largest = F.least(h * 0.7, F.lit(11.0))
+    sizes = F.transform(F.sequence(F.lit(0), F.lit(14)), lambda n: largest - n * 0.5)
+    fits = F.filter(sizes, lambda s: (s <= 4.0) | (s * unit_width <= w))
+    return F.greatest(F.element_at(fits, 1), F.lit(4.0))
+
+
+def stamp_plan(regions: DataFrame, pages: DataFrame, glyphs: DataFrame, missing: float = 0.5) -> DataFrame:
+    """What is stamped where: a widget's value, or free text with a font size that fits its box and its alignment.
+
+    ``glyphs(char, width)`` are the widths of a font's characters at size 1; characters that it lacks count as ``missing``.
+    """
+    key = ["doc_id", "page", "id"]
+    stamped = regions.withColumn("stamp", T.stamp_value(F.col("type"), F.col("value"))).filter("stamp is not null").join(pages.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
+    free = F.coalesce("acro_field_name", F.lit("")) == ""
+    chars = stamped.filter(free).select(*key, F.explode(F.split("stamp", "")).alias("char")).groupBy(*key, "char").agg(F.count("*").alias("_n"))
+    widths = chars.join(glyphs.groupBy("char").agg(F.max("width").alias("width")), "char", "left").groupBy(*key).agg(F.sum(F.col("_n") * F.coalesce("width", F.lit(missing))).alias("_units"))
+    out = stamped.join(widths, key, "left")
+    return out.select(*key, "stamp", F.when(free, "free_text").otherwise("widget").alias("way"), F.when(free, fit_fontsize(F.col("_units"), F.col("w"), F.col("h"))).alias("font_size"), F.when(free, F.when(F.col("type") == "checkbox", "center").otherwise("left")).alias("align"))
+
+
+def region_percent_box(x: Column, y: Column, w: Column, h: Column, page_width: Column, page_height: Column) -> Column:
+    """A region's box in percent of its page, for overlays."""
+    share = lambda part, whole: part / whole * 100
+    return F.struct(share(x, page_width).alias("left"), share(y, page_height).alias("top"), share(w, page_width).alias("width"), share(h, page_height).alias("height"))
 
 
 def filled_regions(regions: DataFrame) -> DataFrame:

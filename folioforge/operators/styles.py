@@ -84,17 +84,23 @@ def effective_borders(cells: DataFrame, inside: str = "insideH") -> Column:
 
 
 def parse_annotations(responses: DataFrame) -> DataFrame:
-    """Allowed hints by position from a model's answer; hints of nothing but unknown values go."""
-    hint = "STRUCT<heading_weight: STRING, spacing_before: STRING, spacing_after: STRING, emphasis: STRING, image_display: STRING, suppress: STRING, `group`: STRING, group_role: STRING>"
-    answer = responses.select("doc_id", F.from_json(T.extract_json(F.col("raw")), f"document_type STRING, annotations MAP<STRING, {hint}>").alias("a"))
-    rows = answer.select("doc_id", F.when(F.col("a.document_type").isin(*DOC_TYPES), F.col("a.document_type")).alias("document_type"), F.explode_outer("a.annotations").alias("key", "h"))
-    allowed = lambda name, values: F.when(F.col(f"h.{name}").isin(*values), F.col(f"h.{name}")).alias(name)
-    weight = F.when(F.col("h.heading_weight").rlike("^[1-6]$"), F.col("h.heading_weight").try_cast("int")).alias("heading_weight")
+    """Allowed hints by position from a model's answer; hints of nothing but unknown values go.
+
+    Values count as they are spelt in JSON: a heading weight is a whole number, suppress is true and a group a string.
+    """
+    answer = responses.select("doc_id", F.from_json(T.extract_json(F.col("raw")), "document_type STRING, annotations STRING").alias("a"))
+    rows = answer.select("doc_id", F.when(F.col("a.document_type").isin(*DOC_TYPES), F.col("a.document_type")).alias("document_type"), F.explode_outer(F.from_json("a.annotations", "MAP<STRING, STRING>")).alias("key", "h"))
+    typed = rows.withColumn("v", F.try_parse_json("h"))
+    get = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    spelt = lambda name: F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))
+    text = lambda name: F.when(spelt(name) == "STRING", get(name, "string"))
+    allowed = lambda name, values: F.when(text(name).isin(*values), text(name)).alias(name)
+    weight = F.when((spelt("heading_weight") == "BIGINT") & get("heading_weight", "int").between(1, 6), get("heading_weight", "int")).alias("heading_weight")
     names = ["heading_weight", "spacing_before", "spacing_after", "emphasis", "image_display", "suppress", "group", "group_role"]
     part = lambda n: F.regexp_extract("key", r"^s(\d+):b(\d+)$", n).try_cast("int")
-    clean = rows.select(
+    clean = typed.select(
         "doc_id", "document_type", part(1).alias("section_ix"), part(2).alias("block_ix"), weight, allowed("spacing_before", SPACINGS), allowed("spacing_after", SPACINGS), allowed("emphasis", EMPHASIS),
-        allowed("image_display", DISPLAYS), F.when(F.col("h.suppress") == "true", True).alias("suppress"), F.col("h.group").alias("group"), allowed("group_role", ROLES),
+        allowed("image_display", DISPLAYS), F.when((spelt("suppress") == "BOOLEAN") & get("suppress", "boolean"), True).alias("suppress"), text("group").alias("group"), allowed("group_role", ROLES),
     )
     return clean.filter(F.col("section_ix").isNotNull() & F.coalesce(*[F.col(f"`{n}`").cast("string") for n in names]).isNotNull())
 
@@ -108,9 +114,27 @@ def annotate_blocks(page_blocks: DataFrame, annotations: DataFrame) -> DataFrame
     return placed.join(annotations.withColumnRenamed("block_ix", "_pos"), ["doc_id", "section_ix", "_pos"], "left").drop("_pos")
 
 
-def block_summaries(paragraphs: DataFrame) -> DataFrame:
-    """What a layout prompt says of each paragraph: 300 characters of text, heading level and whether it is a list item."""
-    return paragraphs.select("doc_id", "block_ix", F.left(F.col("text"), F.lit(300)).alias("text"), T.heading_level(F.col("style_name")).alias("heading"), F.col("num_id").isNotNull().alias("is_list"))
+def block_summaries(blocks: DataFrame, tokens: DataFrame, cells: DataFrame) -> DataFrame:
+    """What a layout prompt says of each block.
+
+    Paragraphs: 300 characters of text, style, alignment, list level, whether there is an image, and size, weight and
+    colour of the first run.  Tables: rows, the most cells of a row, and 40 characters of each cell of the first row.
+    blocks: doc_id, block_ix, block_type, style_name, alignment, num_id, ilvl; tokens: doc_id, block_ix, run_ix, kind, text,
+    font_size_pt, bold, color; cells: doc_id, block_ix, row_ix, cell_ix, text.
+    """
+    key = ["doc_id", "block_ix"]
+    items = F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("run_ix", "text"))))
+    style = F.min_by(F.struct("font_size_pt", "bold", "color"), "run_ix")
+    texts = tokens.groupBy(*key).agg(F.array_join(items["text"], "").alias("_text"), F.bool_or(F.col("kind") == "image").alias("has_image"), style.alias("run"))
+    rows = cells.groupBy(*key, "row_ix").agg(F.count("*").alias("_cells"), F.array_sort(F.collect_list(F.struct("cell_ix", F.left("text", F.lit(40)).alias("t"))))["t"].alias("_sample"))
+    tables = rows.groupBy(*key).agg(F.count("*").alias("rows"), F.max("_cells").alias("cols"), F.min_by("_sample", "row_ix").alias("header_sample"))
+    listed = F.col("num_id").isNotNull()
+    joined = blocks.join(texts, key, "left").join(tables, key, "left")
+    para = F.col("block_type") == "paragraph"
+    return joined.select(
+        *key, "block_type", F.when(para, F.coalesce(F.left("_text", F.lit(300)), F.lit(""))).alias("text"), "style_name", "alignment", F.when(para, listed).alias("is_list"), F.when(para & listed, F.coalesce("ilvl", F.lit(0))).alias("list_level"),
+        F.when(para, F.coalesce("has_image", F.lit(False))).alias("has_image"), "run.font_size_pt", "run.bold", "run.color", "rows", "cols", "header_sample",
+    )
 
 
 def paragraph_css(c: dict[str, Column]) -> Column:

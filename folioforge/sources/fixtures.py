@@ -80,13 +80,12 @@ select user_id as doc_id, event_id as patch_ord,
 from events
 """
 
-VIEWS["fx_pdf_spans"] = """
-select o_orderkey as doc_id, 0 as page, 0 as block, cast(o_custkey % 20 as integer) as line, n as span_ord,
-       case n when 0 then 'Customer' else case when o_orderkey % 3 = 0 then ' no: ' else ' name' end end as text,
-       cast(50 + n * 60 as double) as x0, cast(110 + n * 60 + (o_orderkey % 400) as double) as x1,
+_SPAN = """
+select o_orderkey as doc_id, 0 as page, 0 as block, cast(o_custkey % 20 as integer) as line, {n} as span_ord, {text} as text,
+       cast(50 + {n} * 60 as double) as x0, cast(110 + {n} * 60 + (o_orderkey % 400) as double) as x1,
        cast(40 + (o_custkey % 20) * 14 as double) as y0, cast(40 + (o_custkey % 20) * 14 + (o_orderkey % 18) as double) as y1
-from orders cross join (select 0 as n union all select 1 as n) s
-"""
+from orders"""
+VIEWS["fx_pdf_spans"] = _SPAN.format(n=0, text="'Customer'") + " union all " + _SPAN.format(n=1, text="case when o_orderkey % 3 = 0 then ' no: ' else ' name' end")
 
 VIEWS["fx_pdf_widgets"] = """
 select l_orderkey as doc_id, cast(l_linenumber % 2 as integer) as page,
@@ -97,15 +96,17 @@ select l_orderkey as doc_id, cast(l_linenumber % 2 as integer) as page,
 from lineitem where l_orderkey % 2 = 0
 """
 
-VIEWS["fx_pdf_pages"] = """
-select o_orderkey as doc_id, p as page, cast(595 as double) as width_pt, cast(842 as double) as height_pt
-from orders cross join (select 0 as p union all select 1 as p) s
-"""
+_PAGE = "select o_orderkey as doc_id, {n} as page, cast(595 as double) as width_pt, cast(842 as double) as height_pt from orders"
+VIEWS["fx_pdf_pages"] = _PAGE.format(n=0) + " union all " + _PAGE.format(n=1)
 
+#: Widths of the characters that the names of parts have; others are missing.
+VIEWS["fx_glyphs"] = "select char, 0.25 + (ascii(char) % 13) / 25.0 as width from (" + " union ".join(f"select substr(p_name, {n}, 1) as char from part" for n in (1, 2, 3, 4, 5)) + ") c where char <> ''"
+
+#: 200 styles for each document under names that all documents share, in chains of 100; every chain ends in a cycle of four.
 VIEWS["fx_styles"] = """
-select 's' || cast(p_partkey as string) as style_id,
-       case when p_partkey = 0 then null when p_partkey = 1 then 's2' else 's' || cast(cast(floor(p_partkey / 2) as bigint) as string) end as based_on,
-       case when p_size % 3 = 0 then p_size * 10 else null end as margin_left,
+select cast(floor(p_partkey / 200) as bigint) as doc_id, 's' || cast(p_partkey % 200 as string) as style_id,
+       's' || cast(case when p_partkey % 100 = 0 then p_partkey % 200 + 3 else p_partkey % 200 - 1 end as string) as based_on,
+       case when p_partkey % 60 = 7 then p_size * 10 + p_partkey else null end as margin_left,
        case when p_size % 5 = 0 then p_size * 10 else null end as margin_top
 from part
 """
@@ -123,9 +124,30 @@ from lineitem
 """
 
 
+#: The same rows as VIEWS["fx_tokens"] by one scan, for Spark.
+_ONE_SCAN = """
+select doc_key, block_ix, run_ix, kind, text, 'p_' || cast(block_ix as string) as para_node_id,
+       case when kind = 'checkbox' then 'sdt_' else 'r_' end || cast(block_ix as string) || cast(run_ix as string) as node_id
+from (
+  select 'uploads/' || cast(o_orderkey as string) || '/order.docx' as doc_key, stack(10,
+    0, 0, 'text', 'Order ' || cast(o_orderkey as string),
+    1, 0, 'text', 'Order date:',
+    1, 1, 'text', ' ' || cast(cast(o_orderdate as date) as string),
+    2, 0, 'text', 'Total amount:',
+    2, 1, case when o_orderkey % 3 = 0 then 'tab' else 'text' end, case o_orderkey % 3 when 0 then '' when 1 then ' ______' else ' ' || cast(cast(o_totalprice as decimal(18,2)) as string) end,
+    3, 0, 'text', 'Approved by ______',
+    4, 0, case when o_orderkey % 4 >= 1 then 'checkbox' end, '',
+    4, 1, case when o_orderkey % 4 >= 2 then 'checkbox' end, '',
+    4, 2, 'text', ' Express ' || o_orderpriority,
+    5, 0, 'text', '   ') as (block_ix, run_ix, kind, text)
+  from orders) t
+where kind is not null
+"""
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view over the tables in ``sf_dir``; only the columns that are asked for are read."""
-    sql = VIEWS[name]
+    sql = _ONE_SCAN if name == "fx_tokens" else VIEWS[name]
     for t in TABLES:
         sql = re.sub(rf"\b(from|join)\s+{t}\b", rf"\1 parquet.`{sf_dir}/{t}.parquet`", sql)
     return spark.sql(sql)

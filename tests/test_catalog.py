@@ -8,7 +8,7 @@ import pytest
 from folioforge.jobs import catalog
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("orders", "lineitem", "events", "part", "documents", "embeddings", "pages")
+TABLES = ("orders", "lineitem", "events", "part", "documents", "embeddings", "pages")  # all that the form jobs read
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +39,5 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows == sorted(map(str, map(key, want))) and rows
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
-def test_query_without_sql_gives_rows(spark, name):
-    assert catalog.QUERIES[name](spark, DATA).count() > 0
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)

@@ -90,11 +90,35 @@ def test_patches_and_pages(spark):
     made = spark.createDataFrame([("d", "r_1", "replace_text", "new", None), ("d", "sdt_1", "toggle_checkbox", None, True)], "doc_key string, node_id string, op string, text string, checked boolean")
     got = patches.apply_checkbox_patches(patches.apply_text_patches(tokens, made), made).orderBy("run_ix")
     assert [r["text"] for r in got.collect()] == ["new", "", "☒"]
-    image = lambda rows: spark.createDataFrame(rows, "page int, data binary")
-    diffs = validate.page_diff(image([(0, bytearray(b"\0" * 6)), (1, bytearray(b"\1" * 6))]), image([(0, bytearray(b"\0\0\0\0\0\x09"))]))
-    assert sorted(map(tuple, diffs.collect())) == [(0, 1.5, 9, 50.0, False), (1, 1.0, 255, 100.0, True)]
-    region = spark.createDataFrame([(1, 0, "p0_r0", "text", 0.0, 0.0, 30.0, 20.0, "x" * 20, None)], "doc_id int, page int, id string, type string, x double, y double, w double, h double, value string, acro_field_name string")
-    assert pdf.stamp_plan(region, region.select("doc_id", "page")).first()["font_size"] == 4.0
+    image = lambda rows: spark.createDataFrame([("d", p, w, 1, data) for p, w, data in rows], "doc_id string, page int, width int, height int, data binary")
+    diffs = validate.page_diff(image([(0, 2, bytearray(b"\0" * 6)), (1, 2, bytearray(b"\1" * 6)), (2, 2, bytearray(b"\1" * 7)), (3, 2, bytearray(b"\1" * 6)), (4, 2, bytearray(b"\1" * 8))]), image([(0, 2, bytearray(b"\0\0\0\0\0\x09")), (2, 2, bytearray(b"\1" * 7)), (3, 3, bytearray(b"\1" * 6)), (4, 2, bytearray(b"\1" * 8)), (5, 1, bytearray(b"\1"))]))
+    assert sorted(tuple(r)[1:] for r in diffs.collect()) == [(0, 1.5, 9, 50.0, True, True), (1, 1.0, 255, 100.0, True, False), (2, 1.0, 255, 100.0, True, True), (3, 1.0, 255, 100.0, True, True), (4, 0.0, 0, 0.0, True, True), (5, 1.0, 255, 100.0, False, True)]
+    total = validate.diff_summary(diffs).first()
+    assert (total["candidate_pages"], total["reference_pages"], total["compared"], total["changed"], total["identical"], total["passed"]) == (5, 5, 4, 5, False, True)
+    region = spark.createDataFrame([(1, 0, f"p0_r{i}", "text", 0.0, 0.0, w, 20.0, v, None) for i, (w, v) in enumerate([(30.0, "x" * 20), (30.0, "iii"), (50.0, "mmmmm"), (30.0, "")])], "doc_id int, page int, id string, type string, x double, y double, w double, h double, value string, acro_field_name string")
+    glyphs = spark.createDataFrame([("i", 0.2), ("m", 1.1)], "char string, width double")
+    plan = {r["id"]: r["font_size"] for r in pdf.stamp_plan(region, region.select("doc_id", "page"), glyphs).collect()}
+    assert plan == {"p0_r0": 4.0, "p0_r1": 11.0, "p0_r2": 9.0}
+
+
+def test_chains_of_styles_by_document(spark):
+    chain = [(1, f"s{i}", f"s{i - 1}" if i else None, 5 if i == 0 else None) for i in range(150)] + [(2, "s1", "s0", None), (2, "s0", "s1", 9), (3, "s1", "gone", None)]
+    styles = spark.createDataFrame(chain, "doc_id int, style_id string, based_on string, m int")
+    got = {(r["doc_id"], r["style_id"]): r["m"] for r in structure.resolve_table_styles(styles, ["m"]).collect()}
+    assert all(got[1, f"s{i}"] == 5 for i in range(150)) and got[2, "s1"] == got[2, "s0"] == 9 and got[3, "s1"] is None and len(got) == 153
+
+
+def test_documents_that_one_side_lacks(spark):
+    counts = lambda rows: spark.createDataFrame([(d, n, 0, 0) for d, n in rows], "doc_id string, paragraphs long, tables long, images long")
+    got = {r["doc_id"]: (r["valid"], r["mismatches"]) for r in validate.validate_structure(counts([("a", 1), ("b", 2), ("c", 3)]), counts([("a", 1), ("b", 3), ("d", 4)])).collect()}
+    assert got == {"a": (True, ""), "b": (False, "paragraphs=2/3"), "c": (False, "paragraphs=3/none;tables=0/none;images=0/none"), "d": (False, "paragraphs=none/4;tables=none/0;images=none/0")}
+
+
+def test_rendered_breaks_in_tables(spark):
+    rows = [(0, 0, 0, 0, "text", "a"), (0, 0, 1, 0, "rendered", ""), (0, 1, 0, 0, "rendered", ""), (1, 0, 0, 0, "rendered", "")]
+    tokens = spark.createDataFrame([("d", 3, r, c, p, i, k, t) for r, c, p, i, k, t in rows] + [("d", 4, None, None, 0, 0, "text", ""), ("d", 4, None, None, 0, 1, "rendered", "")], "doc_key string, block_ix int, row_ix int, cell_ix int, para_ix int, run_ix int, kind string, text string")
+    got = sorted(tuple(r) for r in structure.rendered_break_hints(tokens).select("block_ix", "row_ix", "cell_ix", "para_ix", "at_start").collect())
+    assert got == [(3, 0, 0, 1, False), (4, None, None, 0, True)]
 
 
 def archive(text="Name: ____"):
@@ -113,9 +137,9 @@ def test_archives_are_shredded_patched_and_written(spark):
     assert nodes.filter("error is not null").select("doc_key").collect()[0][0] == "uploads/b.docx"
     tokens = docx_io.tokens_of(nodes)
     assert [tuple(r) for r in tokens.orderBy("block_ix", "run_ix").select("block_ix", "kind", "text").collect()] == [(0, "text", "Name: ____"), (1, "text", "Total:"), (1, "tab", "")]
-    found = fields.fields_from_paragraphs(fields.paragraph_texts(tokens.select("*", F.lit("p_0").alias("para_node_id"), F.lit("r_0").alias("node_id"))))
+    found = fields.fields_from_paragraphs(fields.paragraph_texts(tokens))
     assert sorted((r["label"], r["type"]) for r in found.collect()) == [("Name", "text"), ("Total", "number")]
-    edit = tokens.filter("block_ix = 0").select("doc_key", F.lit(docx_io.BODY).alias("part_name"), "seq", F.lit("Name: Ann").alias("text"))
+    edit = tokens.filter("block_ix = 0").select("doc_key", F.lit(docx_io.BODY).alias("part_name"), "seq", F.lit("text").alias("action"), F.lit("Name: Ann").alias("value"))
     written = docx_io.write_docx(blobs, edit).collect()
     assert written[0]["out_key"] == "exported/a-exported.docx"
     again = docx_io.tokens_of(docx_io.shred_docx(spark.createDataFrame([("x", written[0]["content"])], "doc_key string, content binary")))
