@@ -22,7 +22,6 @@ BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.
 
 _made: list[list[str]] = []
 _kept: dict[str, Any] = {}
-_settled: set[str] = set()
 _LIBC = ctypes.CDLL(None)
 
 
@@ -39,15 +38,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def _lean() -> None:
-    """Large blocks of this Python worker's C library are mapped apart from now on, so that they go back when they are freed."""
-    if "lean" not in _settled:
-        _settled.add("lean")
-        if hasattr(_LIBC, "mallopt"):
-            _LIBC.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-            _LIBC.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
-
-
 def _give_back() -> None:
     """What this Python worker has freed, Arrow's and the C library's memory, goes back to the machine."""
     gc.collect()
@@ -60,7 +50,6 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     """``df.mapInArrow`` in small batches; at the end of a task its Python worker, which later tasks use, gives memory back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _lean()
         try:
             yield from f(batches)
         finally:
