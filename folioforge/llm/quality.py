@@ -11,7 +11,8 @@ Everything is built from SQL functions: texts are split and hashed inside one pr
 combined before they are shuffled (BUCKETS rows for each task), and the model, one number for each bucket, has a
 fixed size whatever the input.
 
-Null text: no words, base_failed.  Labels of unknown documents, repeated labels and extra columns change nothing;
+Null text: no words, base_failed.  Ties: equal texts have equal scores, and a score at the threshold is kept.  Very long
+texts: their words are held by one row.  Labels of unknown documents, repeated labels and extra columns change nothing;
 without any trusted document nothing but the base rules decides.  Empty table: no rows.
 """
 
@@ -22,13 +23,16 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored, table
+from .common import stored, table
 
 BUCKETS = 10_000
 #: Standard deviations below the trusted mean at which a document is dropped.
 DEVIATIONS = 4.0
 #: Share of the trusted documents that set the threshold, one in so many.
 CALIBRATION = 4
+#: Trusted documents that the target is counted on and the threshold set on, about so many at most, by a hash of the id: a
+#: bound on labelled rows, so that their ids are broadcast and no text is shuffled at any size.  All documents are raw.
+TRUSTED = 1_000_000
 SCALE = 1_000_000
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -46,13 +50,16 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return hashed.withColumn("grams", F.expr(f"concat({single}, {pairs})"))
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    return labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
+def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
+    """doc_id of the trusted documents, stored; of more than ``most`` those in a share of the hash values."""
+    found = stored(labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "trusted")
+    n = found.count()
+    return found if n <= most else found.filter(F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(1 << 32)) < (most << 32) // n)
 
 
 def gram_ratios(docs: DataFrame, trusted: DataFrame) -> list[int]:
     """Millionths of log(target / raw) by bucket: a model of fixed size, counted over all documents; all 0 without ``trusted``."""
-    marked = docs.select("doc_id", "text").join(broadcast_if_small(trusted.withColumn("_target", F.lit(1))), "doc_id", "left")
+    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("_target", F.lit(1))), "doc_id", "left")  # TRUSTED rows
     # Not explode(): the filter that it infers would be pushed below the arrays and build them anew for each element.
     rows = _hashed(marked).select(F.coalesce("_target", F.lit(0)).alias("_target"), F.explode_outer("grams").alias("bucket")).filter("bucket is not null")
     counts = rows.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_target").alias("target"))
@@ -87,7 +94,7 @@ def score_documents(docs: DataFrame, ratios: list[int]) -> DataFrame:
 
 def threshold(scored: DataFrame, trusted: DataFrame) -> float | None:
     """DEVIATIONS below the mean score of the trusted documents, from exact sums."""
-    of = scored.filter("score is not null").join(broadcast_if_small(trusted), "doc_id", "left_semi")
+    of = scored.filter("score is not null").join(F.broadcast(trusted), "doc_id", "left_semi")
     wide = F.col("score").cast("decimal(20,0)")
     n, one, two = of.agg(F.count("*"), F.sum(wide), F.sum((wide * wide).cast("decimal(38,0)"))).first()
     if not n:
@@ -98,7 +105,7 @@ def threshold(scored: DataFrame, trusted: DataFrame) -> float | None:
 
 def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and score."""
-    trusted = stored(trusted_ids(labels).withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION))), "trusted")
+    trusted = trusted_ids(labels).withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)))
     scored = stored(score_documents(docs, gram_ratios(docs, trusted.filter("_part > 0").select("doc_id"))), "scored")
     least = threshold(scored, trusted.filter("_part = 0").select("doc_id"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
