@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of ``documents``.
 
 1.  toxicity: documents judged toxic go.
-2.  near_dedup: of each group of near-duplicates the document with the least id stays.  Rows that repeat an id are
-    one document; documents without an id are in no group and stay.
+2.  near_dedup: of each group of near-duplicates the document with the least id stays.  Rows equal in id and text are
+    one document.  Rows without an id, or with one that other texts have, too, are judged each by its own text, behind
+    those with an id of their own.
 3.  suffix_dedup: bytes of repeated 400-byte strings and of repeated passages of over 50 words are cut out of the
     texts; no row goes, n_chars is counted anew.
 4.  decontamination: documents that hold a benchmark item go.
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import broadcast_if_small, stored, table
+from folioforge.llm.common import broadcast_if_small, scratch, stored, table
 from folioforge.llm.decontamination import decontaminate
 from folioforge.llm.near_dup import near_duplicates
 from folioforge.llm.packing import pack_documents
@@ -28,6 +29,8 @@ from folioforge.llm.toxicity import without_toxic
 
 #: Words of a passage that may not repeat.
 PASSAGE_WORDS = 51
+#: Keys from here on are those of rows that no id names.
+OWN = 1 << 62
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +38,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = stored(near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
-    repeated = stored(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
-    if repeated.isEmpty():
-        return kept
-    repeated = broadcast_if_small(repeated)
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("_n"), (F.min(F.xxhash64("text")) != F.max(F.xxhash64("text"))).alias("_several"))
+    repeated = stored(ids.filter("_n > 1 and doc_id is not null").select("doc_id", F.coalesce("_several", F.lit(True)).alias("_several")), "repeated-ids")
+    # Rows without an id, and those whose id other texts have, too, are nodes of their own, behind all ids.
+    own = F.lit(OWN) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(OWN))
+    keyed = docs.join(broadcast_if_small(repeated), "doc_id", "left").withColumn("_node", F.when(F.col("doc_id").isNull() | F.coalesce("_several", F.lit(False)), own).otherwise(F.col("doc_id").cast("long")))
+    gone = stored(near_duplicates(keyed.select(F.col("_node").alias("doc_id"), "text")).filter(~F.col("kept")).select(F.col("doc_id").alias("_node")).distinct(), "gone")
+    kept = keyed.join(broadcast_if_small(gone), "_node", "left_anti")
+    again = F.col("doc_id").isNull() | F.col("_several").isNotNull()  # rows that may be repeated
+    return kept.filter(~again).unionByName(kept.filter(again).dropDuplicates(["_node"])).select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,5 +71,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as made:
+            docs = stored(stage(spark, docs, sf_dir), name)
+            made.pop()  # a stage's own tables go once its output is stored
     return docs

@@ -98,11 +98,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Scratch tables made inside are removed at the end: only for results that have been written elsewhere by then."""
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Scratch tables made inside are removed at the end, but for those taken out of the list."""
     _made.append([])
     try:
-        yield
+        yield _made[-1]
     finally:
         for path in _made.pop():
             where, files = _hadoop_path(spark, path)

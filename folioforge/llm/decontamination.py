@@ -12,7 +12,8 @@ shared shingle counts only if its words are equal, not just its hash.
 
 The sketch and the items' shingles are broadcast if the item table is small (checked), else joined by shuffle.
 Null or wordless items match nothing, null texts hold nothing, repeated items and documents give a row each pair of
-ids once, an empty table gives no rows.  Extra columns are ignored by ``contaminations``, passed by ``decontaminate``.
+ids once, an empty table gives no rows.  ``contaminations`` leaves documents without an id out, ``decontaminate`` does
+not.  Ties: a document at exactly 75 percent is contaminated.  Very long texts: all of their shingles.  Extra columns are ignored by ``contaminations``, passed by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -97,9 +98,10 @@ def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without those that any item contaminates."""
-    bad = stored(contaminations(docs, items).select("doc_id").distinct(), "contaminated")
-    return docs.join(broadcast_if_small(bad), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that any item contaminates; each row by its own text, whether or not it has an id or shares it."""
+    key = F.xxhash64("doc_id", "text")
+    bad = stored(contaminations(docs.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
+    return docs.withColumn("_row", key).join(broadcast_if_small(bad), "_row", "left_anti").select(*docs.columns)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

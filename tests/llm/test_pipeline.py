@@ -19,6 +19,8 @@ def test_planted_cases_go_and_clean_documents_stay(spark, tmp_path):
     near = rows[7][1].split()
     near[20] = "changed"
     rows += [(300, rows[5][1]), (301, " ".join(near)), (302, f"{prose(80)} {passage} {prose(80)}"), (303, f"{prose(70)} {passage} {prose(90)}"), (304, f"{prose(100)} {item} {prose(60)}"), (305, None), (306, ""), (5, rows[5][1]), (None, prose(30))]
+    lone, other = prose(60), prose(70)
+    rows += [(None, lone), (None, lone), (None, rows[9][1]), (None, f"{prose(50)} {item} {prose(9)}"), (11, other), (None, other)]  # no id, or that of another text
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
@@ -32,14 +34,19 @@ def test_planted_cases_go_and_clean_documents_stay(spark, tmp_path):
             assert current.columns == docs.columns
     ids = lambda name: sorted(r[0] for r in seen[name].select("doc_id").collect() if r[0] is not None)
     clean = list(range(200))
-    assert ids("toxicity") == sorted([*clean, *range(300, 307), 5])
-    assert ids("near_dedup") == [*clean, 302, 303, 304, 305, 306]
+    bare = lambda name: sorted(r[0] for r in seen[name].filter("doc_id is null").select("text").collect())
+    assert ids("toxicity") == sorted([*clean, *range(300, 307), 5, 11])
+    left = sorted((r[0] or -1, r[1] or "") for r in seen["near_dedup"].select("doc_id", "text").collect())
+    both = [t for i, t in left if t == other]
+    assert len(both) == 1 and len(left) == 200 + 5 + 4 and len(bare("near_dedup")) + len([x for x in left if x[0] == 11]) == 5
+    assert bare("near_dedup").count(lone) == 1 and rows[9][1] not in bare("near_dedup")
+    assert set(ids("near_dedup")) == {*clean, 302, 303, 304, 305, 306}
     texts = {r["doc_id"]: r["text"] for r in seen["suffix_dedup"].collect()}
     assert passage[5:-5] not in texts[302] and passage[5:-5] not in texts[303] and texts[305] is None and texts[3] == rows[3][1]
-    assert ids("decontamination") == [*clean, 302, 303, 305, 306]
+    assert set(ids("decontamination")) == {*clean, 302, 303, 305, 306} and not any(item in (r[0] or "") for r in seen["decontamination"].select("text").collect())
     packed = corpus_pipeline.run(spark, str(tmp_path))
-    assert sorted(r[0] for r in packed.select("doc_id").distinct().collect() if r[0] is not None) == ids("decontamination")
-    assert packed.filter("doc_id is null").count() == 1
+    assert sorted(r[0] for r in packed.select("doc_id").distinct().collect() if r[0] is not None) == sorted(set(ids("decontamination")))
+    assert packed.filter("doc_id is null").count() == len(bare("decontamination")) >= 2
     assert packed.groupBy("sequence_id").sum("length").filter("`sum(length)` > 2048").count() == 0
 
 
