@@ -369,13 +369,66 @@ tok AS (
 ph AS (
   SELECT doc_key, block_ix, '<p data-node-id="' || min(para_node_id) || '" data-node-kind="paragraph" data-block="' || block_ix || '" data-para="0">' || string_agg(html, '' ORDER BY run_ix) || '</p>' AS html FROM tok GROUP BY 1, 2),
 rh AS (
-  SELECT doc_key, block_ix, row_ix, '<tr>' || string_agg('<td' || CASE WHEN colspan > 1 THEN ' colspan="' || colspan || '"' ELSE '' END || '><p>' || {_NBSP.format("text")} || '</p></td>', '' ORDER BY cell_ix) || '</tr>' AS html FROM fx_cells GROUP BY 1, 2, 3),
+  SELECT doc_key, block_ix, row_ix, '<tr data-row="' || row_ix || '">' || string_agg('<td data-cell="' || cell_ix || '"' || CASE WHEN colspan > 1 THEN ' colspan="' || colspan || '"' ELSE '' END || '><p>' || {_NBSP.format("text")} || '</p></td>', '' ORDER BY cell_ix) || '</tr>' AS html FROM fx_cells GROUP BY 1, 2, 3),
 th AS (
   SELECT doc_key, block_ix, '<table data-block="' || block_ix || '" style="width: 100%; border-collapse: collapse; table-layout: fixed;">' || string_agg(html, '' ORDER BY row_ix) || '</table>' AS html FROM rh GROUP BY 1, 2),
 bh AS (FROM ph UNION ALL FROM th)"""
 _WRAPPED = "'<div class=\"document\">' || chr(10) || '<div class=\"docx-page\"><div class=\"docx-page-content\" style=\"padding-top:48px;padding-bottom:48px\">' || string_agg(html, '' ORDER BY block_ix) || '</div></div>' || chr(10) || '</div>'"
 query("paragraph_html", f"WITH {_RENDERED} SELECT * FROM ph", "fx_tokens", "fx_cells")(lambda t, c: render.paragraph_html(t))
 query("render_html", f"WITH {_RENDERED} SELECT doc_key, md5({_WRAPPED}) AS html_md5 FROM bh GROUP BY 1", "fx_tokens", "fx_cells")(lambda t, c: render.render_html(t, c.withColumn("rowspan", F.lit(1))).select("doc_key", F.md5(F.encode("html", "utf-8")).alias("html_md5")))
+
+
+def _rich(blocks: DataFrame) -> DataFrame:
+    """Documents with headings, lists, links, styles, tables, page breaks and, in some, a header and a footer."""
+    n = C("n_rows")
+    body = blocks.select(C("doc_id").alias("doc_key"), "block_ix", "block_type", "style_name", "num_id", "page_break_before", "break_row", n)
+    para = body.filter("block_type = 'paragraph'")
+    run = lambda d, section, no, text, **more: d.select("doc_key", F.lit(section).alias("section_kind"), "block_ix", F.lit(None).cast("int").alias("row_ix"), F.lit(None).cast("int").alias("cell_ix"), F.lit(0).alias("para_ix"), F.lit(no).alias("run_no"), F.lit(no).alias("run_ix"), F.lit("text").alias("kind"), text.alias("text"), F.concat(F.lit(f"r_{no}_"), "block_ix").alias("node_id"), F.concat(F.lit("p_"), "block_ix").alias("para_node_id"), *[more.get(x, F.lit(None).cast(t)).alias(x) for x, t in (("bold", "boolean"), ("italic", "boolean"), ("vertical_align", "string"), ("color", "string"), ("href", "string"))])
+    one = run(para, "body", 0, F.concat(F.lit("a & b  "), n.cast("string")), bold=n % 2 == 0, italic=n % 3 == 0, vertical_align=F.when(n % 7 == 0, "superscript"), color=F.when(n % 5 == 0, "FF0000"))
+    two = run(para.filter("n_rows % 4 = 1"), "body", 1, F.lit("link"), href=F.lit("http://e.org/?a=1&b=2"))
+    first = body.filter("block_ix = 0")
+    top, foot = (run(first.filter(f"doc_key % 3 = {k}"), kind, 0, F.lit(kind)) for k, kind in ((0, "header"), (1, "footer")))
+    cells = body.filter("block_type = 'table'").select("doc_key", "block_ix", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("_i")).select("doc_key", "block_ix", F.floor(C("_i") / 2).cast("int").alias("row_ix"), (C("_i") % 2).cast("int").alias("cell_ix"), F.concat(F.lit("c"), C("_i").cast("string")).alias("text"))
+    paragraphs = para.select("doc_key", "block_ix", "style_name", F.when(n % 6 == 0, styles.paragraph_css({"alignment": F.lit("both"), "space_before": n.cast("string")})).alias("css"), "num_id", (C("num_id") == "1").alias("list_ordered"), F.when(C("num_id") == "1", "decimal").otherwise("square").alias("list_marker"))
+    columns = body.filter("block_type = 'table'").select("doc_key", "block_ix", F.explode(F.array(F.lit(0), F.lit(1))).alias("col_ix")).withColumn("width", F.when(C("col_ix") == 0, 1000).otherwise(2000))
+    return render.render_html(one.unionByName(two).unionByName(top).unionByName(foot), cells, paragraphs=paragraphs, breaks=body, columns=columns).select("doc_key", F.md5(F.encode("html", "utf-8")).alias("html_md5"))
+
+
+query(
+    "render_documents",
+    """WITH RECURSIVE b AS (
+      SELECT doc_id, block_ix, block_type, style_name, num_id, n_rows AS n, coalesce(page_break_before, false) AS brk, break_row, row_number() OVER (PARTITION BY doc_id ORDER BY block_ix) AS i FROM fx_blocks),
+    kinds AS (SELECT *, CASE WHEN i = 1 THEN 'stay' WHEN brk THEN 'open' WHEN break_row IS NULL THEN 'stay' WHEN block_type = 'table' AND break_row = 0 THEN 'open' ELSE 'split' END AS act FROM b),
+    walk AS (
+      SELECT *, 0 AS p, 0 AS q FROM kinds WHERE i = 1
+      UNION ALL SELECT k.*, w.q + CASE WHEN k.act = 'open' THEN 1 ELSE 0 END, w.q + CASE WHEN k.act = 'stay' THEN 0 ELSE 1 END FROM walk w JOIN kinds k ON k.doc_id = w.doc_id AND k.i = w.i + 1),
+    parts AS (
+      SELECT *, p AS page, 0 AS part, 0 AS r0, CASE WHEN act = 'split' AND block_type = 'table' THEN break_row ELSE 3 END AS r1 FROM walk
+      UNION ALL SELECT *, q, 1, CASE WHEN block_type = 'table' THEN break_row ELSE 0 END, 3 FROM walk WHERE act = 'split'),
+    inner_ AS (
+      SELECT *, '<span data-run="0" data-node-id="r_0_' || block_ix || '" data-node-kind="run"' || CASE WHEN n % 5 = 0 THEN ' style="color: #FF0000"' ELSE '' END || '>'
+        || CASE WHEN n % 2 = 0 THEN '<strong>' ELSE '' END || CASE WHEN n % 3 = 0 THEN '<em>' ELSE '' END || CASE WHEN n % 7 = 0 THEN '<sup>' ELSE '' END || 'a &amp; b' || chr(160) || chr(160) || n
+        || CASE WHEN n % 7 = 0 THEN '</sup>' ELSE '' END || CASE WHEN n % 3 = 0 THEN '</em>' ELSE '' END || CASE WHEN n % 2 = 0 THEN '</strong>' ELSE '' END || '</span>'
+        || CASE WHEN n % 4 = 1 THEN '<a data-run="1" href="http://e.org/?a=1&amp;b=2"><span data-node-id="r_1_' || block_ix || '" data-node-kind="run">link</span></a>' ELSE '' END AS inner_html,
+        CASE WHEN style_name = 'Normal' OR substr(style_name, 9) IN ('0', '7') THEN 'p' ELSE 'h' || substr(style_name, 9) END AS tag, ' data-node-id="p_' || block_ix || '" data-node-kind="paragraph"' AS nid FROM parts),
+    cell AS (SELECT unnest(range(0, 3)) AS r),
+    html AS (
+      SELECT doc_id, page, block_ix, part, CASE WHEN block_type = 'paragraph' THEN num_id END AS num_id, '<li' || nid || '>' || inner_html || '</li>' AS li,
+        CASE WHEN block_type = 'paragraph' THEN '<' || tag || nid || ' data-block="' || block_ix || '" data-para="0"' || CASE WHEN n % 6 = 0 THEN ' style="text-align: left; margin-top: ' || greatest(1, CAST(round(n / 15.0) AS INTEGER)) || 'px"' ELSE '' END || '>' || inner_html || '</' || tag || '>'
+        ELSE '<table data-block="' || block_ix || '" style="width: 100%; border-collapse: collapse; table-layout: fixed;"><colgroup><col style="width: 33.33%;"><col style="width: 66.67%;"></colgroup>'
+          || (SELECT string_agg('<tr data-row="' || r || '"><td data-cell="0"><p>c' || (2 * r) || '</p></td><td data-cell="1"><p>c' || (2 * r + 1) || '</p></td></tr>', '' ORDER BY r) FROM cell WHERE r >= r0 AND r < r1) || '</table>' END AS block_html FROM inner_),
+    marked AS (SELECT *, CASE WHEN num_id IS NOT NULL AND num_id IS NOT DISTINCT FROM lag(num_id) OVER w THEN 0 ELSE 1 END AS s FROM html WINDOW w AS (PARTITION BY doc_id, page ORDER BY block_ix, part)),
+    isle AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, page ORDER BY block_ix, part) AS k FROM marked),
+    joined AS (
+      SELECT doc_id, page, k, CASE WHEN min(num_id) IS NULL THEN min(block_html) WHEN min(num_id) = '1' THEN '<ol style="list-style-type: decimal">' || string_agg(li, '' ORDER BY block_ix, part) || '</ol>' ELSE '<ul style="list-style-type: square">' || string_agg(li, '' ORDER BY block_ix, part) || '</ul>' END AS h FROM isle GROUP BY 1, 2, 3),
+    pages AS (SELECT doc_id, page, string_agg(h, '' ORDER BY k) AS h FROM joined GROUP BY 1, 2),
+    extra AS (SELECT doc_id, '<p data-node-id="p_0" data-node-kind="paragraph"><span data-run="0" data-node-id="r_0_0" data-node-kind="run">' AS a, '</span></p></div>' AS z FROM (SELECT DISTINCT doc_id FROM pages))
+    SELECT doc_id AS doc_key, md5('<div class="document">' || chr(10) || string_agg('<div class="docx-page">' || CASE WHEN doc_id % 3 = 0 THEN '<div class="docx-page-header">' || a || 'header' || z ELSE '' END
+      || '<div class="docx-page-content" style="padding-top:' || CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 48 END || 'px;padding-bottom:' || CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 48 END || 'px">' || h || '</div>'
+      || CASE WHEN doc_id % 3 = 1 THEN '<div class="docx-page-footer">' || a || 'footer' || z ELSE '' END || '</div>', chr(10) ORDER BY page) || chr(10) || '</div>') AS html_md5
+    FROM pages JOIN extra USING (doc_id) GROUP BY 1""",
+    "fx_blocks",
+)(_rich)
 query(
     "resolve_lists",
     """SELECT doc_id, block_ix, CASE WHEN num_id = '1' THEN doc_id % 3 = 0 ELSE false END AS list_ordered, CASE WHEN num_id = '1' AND doc_id % 3 = 0 THEN 'upper-roman' WHEN num_id = '1' THEN 'disc' ELSE 'square' END AS list_marker

@@ -137,19 +137,38 @@ def block_summaries(blocks: DataFrame, tokens: DataFrame, cells: DataFrame) -> D
     )
 
 
+#: CSS of emphasis and image hints.
+EMPHASIS_CSS = {"high": "border-left: 3px solid #3b82f6; padding-left: 8px; background: #eff6ff", "medium": "border-left: 2px solid #9ca3af; padding-left: 6px", "low": "opacity: 0.75"}
+DISPLAY_CSS = {"full-width": "width: 100%; display: block", "float-right": "float: right; margin-left: 16px"}
+
+
+def _rule(name: str, value: Column, unit: str = "px") -> Column:
+    return F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(unit))
+
+
+def _aligned(alignment: Column) -> Column:
+    return F.when(alignment.isin("both", "start"), "left").when(alignment == "end", "right").otherwise(alignment)
+
+
 def paragraph_css(c: dict[str, Column]) -> Column:
-    """alignment, space_before, space_after, indent_left, indent_hanging (twips as strings) as CSS."""
-    align = F.when(c["alignment"].isin("both", "start"), "left").when(c["alignment"] == "end", "right").otherwise(c["alignment"])
-    px = lambda name: T.twips_to_px(c[name]).cast("string")
-    rule = lambda name, value, unit="px": F.concat(F.lit(f"{name}: "), value, F.lit(unit))
-    hanging = c["indent_hanging"].isNotNull()
-    return F.concat_ws("; ", rule("text-align", align, ""), rule("margin-top", px("space_before")), rule("margin-bottom", px("space_after")), rule("margin-left", px("indent_left")), F.when(hanging, rule("text-indent", F.concat(F.lit("-"), px("indent_hanging")))), F.when(hanging & c["indent_left"].isNull(), rule("padding-left", px("indent_hanging"))))
+    """alignment, space_before, space_after, space_line, indent_left, indent_right, indent_first and indent_hanging (twips as strings) as CSS; any may be left out."""
+    none = F.lit(None).cast("string")
+    of = lambda name: c.get(name, none)
+    px = lambda name: T.twips_to_px(of(name))
+    line = F.round(of("space_line").try_cast("int") / 240, 2)
+    hanging = of("indent_first").isNull() & px("indent_hanging").isNotNull()
+    return F.concat_ws(
+        "; ", _rule("text-align", _aligned(of("alignment")), ""), _rule("margin-top", px("space_before")), _rule("margin-bottom", px("space_after")), F.when(line > 0, _rule("line-height", line, "")),
+        _rule("padding-left", px("indent_left")), _rule("padding-right", px("indent_right")), _rule("text-indent", px("indent_first")),
+        F.when(hanging, _rule("text-indent", F.concat(F.lit("-"), px("indent_hanging").cast("string")))), F.when(hanging & of("indent_left").isNull(), _rule("padding-left", px("indent_hanging"))),
+    )
 
 
 def annotation_css(c: dict[str, Column]) -> Column:
-    space = lambda name, side: F.concat(F.lit(f"margin-{side}: "), lookup({k: str(v) for k, v in SPACINGS.items()}, c[name]), F.lit("px"))
-    opacity = F.when(c["suppress"], "opacity: 0.3").when(c["emphasis"] == "low", "opacity: 0.7")
-    return F.concat_ws("; ", space("spacing_before", "top"), space("spacing_after", "bottom"), opacity)
+    """spacing_before, spacing_after, emphasis, suppress and image_display of an annotation as CSS."""
+    space = lambda name, side: _rule(f"margin-{side}", lookup({k: f"{v}px" if v else "0" for k, v in SPACINGS.items()}, c[name]), "")
+    shown = lookup(DISPLAY_CSS, c["image_display"]) if "image_display" in c else F.lit(None).cast("string")
+    return F.concat_ws("; ", space("spacing_before", "top"), space("spacing_after", "bottom"), lookup(EMPHASIS_CSS, c["emphasis"]), F.when(c["suppress"], "opacity: 0.4"), shown)
 
 
 def run_css(c: dict[str, Column]) -> Column:
@@ -159,7 +178,16 @@ def run_css(c: dict[str, Column]) -> Column:
 
 
 def cell_css(c: dict[str, Column]) -> Column:
-    """v_align, alignment, fill and width in percent as CSS."""
-    align = F.when(c["alignment"].isin("both", "start"), "left").when(c["alignment"] == "end", "right").otherwise(c["alignment"])
-    middle = F.when(c["v_align"] == "center", "middle").otherwise(c["v_align"])
-    return F.concat_ws("; ", F.concat(F.lit("vertical-align: "), middle), F.concat(F.lit("text-align: "), align), F.concat(F.lit("background-color: #"), c["fill"]), F.concat(F.lit("width: "), c["width_pct"].cast("string"), F.lit("%")))
+    """Padding (map cell_margins of edges in twips), v_align, alignment, fill and borders (maps cell_borders and tbl_borders of edges to width_pt, style and color) as CSS."""
+    none = F.lit(None)
+    margins = c.get("cell_margins", none.cast("map<string,int>"))
+    px = lambda edge: F.concat(F.coalesce(T.twips_to_px(margins[edge].cast("string")), F.lit(0)).cast("string"), F.lit("px"))
+    padding = F.when(F.size(margins) > 0, F.concat_ws(" ", *map(px, ("top", "right", "bottom", "left")))).otherwise("0px 7px")
+    kind = "map<string,struct<style:string,width_pt:double,color:string>>"
+    own, table = c.get("cell_borders", none.cast(kind)), c.get("tbl_borders", none.cast(kind))
+    edges = []
+    for edge in ("top", "left", "bottom", "right"):
+        b = F.coalesce(own[edge], table["insideH" if edge in ("top", "bottom") else "insideV"], table[edge])
+        edges.append(F.concat(F.lit(f"border-{edge}: "), b["width_pt"].cast("string"), F.lit("pt "), b["style"], F.lit(" #"), b["color"]))
+    middle = F.when(c["v_align"] == "center", "middle").otherwise(F.coalesce(F.nullif(c["v_align"], F.lit("")), F.lit("top")))
+    return F.concat_ws("; ", _rule("padding", padding, ""), _rule("vertical-align", middle, ""), F.lit("overflow-wrap: break-word"), _rule("text-align", _aligned(F.nullif(c["alignment"], F.lit(""))), ""), F.concat(F.lit("background-color: #"), F.nullif(c["fill"], F.lit(""))), *edges)
