@@ -38,26 +38,60 @@ def stream_uploads(spark: SparkSession, folder: str, checkpoint: str, handle: Ca
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Parts that a state table is kept in; a batch rewrites those that it touches.
+STATE_PARTS = 64
+
+
+def upserted(rows: DataFrame, keys: list[str], order: list[str], path: str, number: int) -> DataFrame:
+    """Merges a batch into the state table at ``path``: of each key the last row by ``order``; returns the touched parts as they are now.
+
+    A part is written as a new version (v=batch number, part), so a batch that is repeated writes the same again, and
+    what is read is the last version of each part before the batch.
+    """
+    spark = rows.sparkSession
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(F.col(keys[0])), F.lit(STATE_PARTS)).cast("int"))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    merged = dealt
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        old = spark.read.parquet(path).filter(F.col("v") < number)
+        last = old.groupBy("part").agg(F.max("v").alias("v")).join(dealt.select("part").distinct(), "part", "left_semi")  # STATE_PARTS rows at most
+        merged = dealt.unionByName(old.join(F.broadcast(last), ["part", "v"], "left_semi").drop("v"))
+    newest = merged.groupBy("part", *keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct(*order)).alias("_r")).select("part", *keys, "_r.*")
+    newest.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/v={number}")
+    return spark.read.schema(newest.schema).parquet(f"{path}/v={number}").select(*rows.columns)
+
+
 def latest_draft_stream(drafts: DataFrame, checkpoint: str, out: str):
-    """The newest draft of each title in each batch, by batch number; ``latest_draft`` over the folder gives that of all batches."""
-    from ..operators.library import latest_draft
+    """Keeps the newest draft of each title over all batches at ``out``; ``current_state`` reads it."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        latest_draft(rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if not rows.isEmpty():
+            upserted(rows.select("title", "html", "ts", "draft_id"), ["title"], ["ts", "draft_id"], out, number)
 
     return drafts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def live_fill_progress(edits: DataFrame, fields: DataFrame, checkpoint: str, out: str):
+def current_state(spark: SparkSession, path: str) -> DataFrame:
+    """The last version of each part of a state table."""
+    every = spark.read.parquet(path)
+    last = every.groupBy("part").agg(F.max("v").alias("v"))  # STATE_PARTS rows at most
+    return every.join(F.broadcast(last), ["part", "v"], "left_semi").drop("part", "v")
+
+
+def live_fill_progress(edits: DataFrame, fields: DataFrame, checkpoint: str, out: str, state: str):
     """Filled and all fields of the documents that a batch of edits touches, written by batch number.
 
-    ``fields`` is the current field table; only the documents of the batch are read from it.
+    The last edit of each node over all batches is kept at ``state``, so fills of earlier batches count; echoes of
+    programmatic syncs do not.  ``fields`` is the extracted field table; only the documents of the batch are read from it.
     """
     from ..operators.fields import fill_progress
 
     def batch(rows: DataFrame, number: int) -> None:
-        last = rows.groupBy("doc_key", "node_id").agg(F.max_by("text", F.struct("ts", "edit_id")).alias("text"))
-        touched = fields.join(last.select("doc_key").distinct(), "doc_key", "left_semi")
-        fill_progress(patches.sync_field_values(touched, last)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        own = patches.echo_filter(rows).select("doc_key", "node_id", "text", "ts", "edit_id")
+        touched = own.select("doc_key").distinct()
+        if touched.isEmpty():
+            return
+        now = upserted(own, ["doc_key", "node_id"], ["ts", "edit_id"], state, number).join(touched, "doc_key", "left_semi")
+        fill_progress(patches.sync_field_values(fields.join(touched, "doc_key", "left_semi"), now)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return edits.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

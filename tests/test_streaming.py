@@ -49,3 +49,29 @@ def test_uploads_once(spark, tmp_path):
     for _ in range(2):
         jobs.stream_uploads(spark, str(folder), str(tmp_path / "ck"), handle, str(tmp_path / "out")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def run_twice(spark, tmp_path, schema, rows, start):
+    """Feeds each list of rows as files of its own, and starts the job anew for each."""
+    folder = tmp_path / "fed"
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        start(spark.readStream.schema(schema).parquet(str(folder))).awaitTermination()
+
+
+def test_progress_counts_fills_of_earlier_batches(spark, tmp_path):
+    schema = "edit_id long, doc_key string, ts timestamp, node_id string, text string, origin string"
+    at = lambda s: START + timedelta(seconds=s)
+    rows = [[(1, "d", at(1), "r_1", "x", "user"), (2, "d", at(2), "r_2", "y", "sync"), (3, "e", at(2), "r_1", "q", "user")], [(4, "d", at(3), "r_3", "z", "user")], [(5, "d", at(4), "r_1", " ", "user"), (6, "d", at(0), "r_3", " ", "user")]]
+    fields = spark.createDataFrame([(d, i, "text", None, [f"r_{i}"]) for d in "de" for i in (1, 2, 3)], "doc_key string, field_ord int, type string, value string, node_ids array<string>")
+    run_twice(spark, tmp_path, schema, rows, lambda s: jobs.live_fill_progress(s, fields, str(tmp_path / "ck"), str(tmp_path / "out"), str(tmp_path / "state")))
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["batch"], r["doc_key"], r["filled"], r["total"]) for r in got) == [(0, "d", 1, 3), (0, "e", 1, 3), (1, "d", 2, 3), (2, "d", 1, 3)]
+
+
+def test_newest_drafts_over_all_batches(spark, tmp_path):
+    schema = "title string, html string, ts timestamp, draft_id long"
+    at = lambda s: START + timedelta(seconds=s)
+    rows = [[("a", "one", at(5), 1), ("b", "b1", at(1), 2)], [("a", "old", at(4), 3), ("b", "b2", at(1), 4)], [("c", "c", at(1), 5)]]
+    run_twice(spark, tmp_path, schema, rows, lambda s: jobs.latest_draft_stream(s, str(tmp_path / "ck"), str(tmp_path / "drafts")))
+    assert sorted((r["title"], r["html"]) for r in jobs.current_state(spark, str(tmp_path / "drafts")).collect()) == [("a", "one"), ("b", "b2"), ("c", "c")]
