@@ -16,10 +16,8 @@ strings, exactly, in a fixed number of passes:
 Hot groups are only ever aggregated: equal contexts are reduced to one before they are looked into, so a passage that
 a third of all documents share costs a few rows for each of them.
 
-Passages of so many words (``words``) are found in the same way: each word is replaced by a code of WORD_BYTES bytes, so
-that a passage is a string of fixed length whatever its words' lengths and the white space between them.  Windows that
-do not begin with a code hold one word less in full and are equal by chance only, and what a span has of a code in part
-is left out.
+Passages of so many words (``words``) are found in the same way: each word is replaced by a code of WORD_BYTES bytes, and
+windows, grams and places count codes (``unit``) instead of bytes, whatever the words' lengths and the white space between.
 
 Whether a text shares such a passage with another document (``across``) is found in the same way, but documents are
 counted instead of places.  A string that only one document repeats then stands for that document once.
@@ -36,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,15 +48,17 @@ GRAM = 128
 BLOCK = 16
 #: Words of a passage that ``repeat_digests`` looks for in other documents: the least count over 50.
 PASSAGE_WORDS = 51
-#: Bytes of a word's code, bytes of the k-grams over codes, and words whose codes a worker keeps.
+#: Bytes of a word's code, words of the k-grams that are anchors, and words whose codes a worker keeps.
 WORD_BYTES = 5
-WORD_GRAM = 16 * WORD_BYTES
+WORD_GRAM = 16
 CACHE = 200_000
-#: Bytes looked at together; positions in them fit in POSITION bits.
+#: Bytes (or codes) looked at together; positions in them fit in POSITION bits.
 POSITION = 18
 CHUNK = (1 << POSITION) - 4096
 #: Spans, of all documents together, up to which they are broadcast rather than texts shuffled: some 30 MB.
 SPAN_ROWS = 500_000
+#: Rows of repeated cores and wholes that are broadcast.
+CORE_ROWS = 100_000
 
 _LOW = np.uint64((1 << POSITION) - 1)
 _NO_ID = -(1 << 63)
@@ -77,6 +78,7 @@ def _constants() -> dict[str, np.ndarray]:
         for k in "ab":
             base = int(draw.integers(1 << 62)) * 2 + 1
             _tables["word" + k] = draw.integers(0, 2**64 - 1, 256, np.uint64)
+            _tables["salt" + k] = draw.integers(0, 2**64 - 1, 1, np.uint64)
             for name, x in (("up", base), ("down", pow(base, -1, 1 << 64))):
                 powers = np.full((1 << POSITION) + 1, x, np.uint64)
                 powers[0] = 1
@@ -99,12 +101,13 @@ def _least(values: np.ndarray, w: int) -> np.ndarray:
 def runs_of(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Document number, first and last window, anchor (places in ``data``), hash of the anchor, hash of the run.
 
-    ``data`` holds texts one after the other, text i from bounds[i] to bounds[i + 1].
+    ``data`` holds texts one after the other, text i from bounds[i] to bounds[i + 1], as bytes or as numbers of words.
     """
     if len(data) < length:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
     c = _constants()
-    sums = {k: np.concatenate([np.zeros(1, np.uint64), np.cumsum(c["word" + k][data] * c["up" + k][: len(data)], dtype=np.uint64)]) for k in "ab"}
+    value = lambda k: c["word" + k][data] if data.dtype == np.uint8 else _mix(data + c["salt" + k])
+    sums = {k: np.concatenate([np.zeros(1, np.uint64), np.cumsum(value(k) * c["up" + k][: len(data)], dtype=np.uint64)]) for k in "ab"}
     grams = _mix((sums["a"][gram:] - sums["a"][:-gram]) * c["downa"][: len(data) - gram + 1])
     anchors = (_least((grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64), length - gram + 1) & _LOW).astype(np.int64)
     places = np.arange(len(anchors))
@@ -133,10 +136,17 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
 
 class _Codes(dict):
     def __missing__(self, word: bytes) -> bytes:
-        value = self[word] = hashlib.blake2b(word, digest_size=WORD_BYTES).digest()
+        value = self[word] = xxhash.xxh3_64_digest(word)[:WORD_BYTES]
         return value
 
 
+def _numbers(codes: bytes) -> np.ndarray:
+    """The codes as numbers."""
+    wide = np.zeros((len(codes) // WORD_BYTES, 8), np.uint8)
+    wide[:, :WORD_BYTES] = np.frombuffer(codes, np.uint8).reshape(-1, WORD_BYTES)
+    return wide.view("<u8").ravel()
+
+
 def word_codes(texts: DataFrame) -> DataFrame:
     """``texts`` with the codes of the words in place of their bytes."""
 
@@ -154,14 +164,13 @@ def word_codes(texts: DataFrame) -> DataFrame:
 
 
 def word_places(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of the codes as spans of the text, from the first byte of a word to the last of another."""
+    """Spans of words as spans of the text, from the first byte of a word to the last of another."""
     at = [m.span() for m in re.finditer(rb"\S+", text)] if spans else []
-    whole = [(-(-b // WORD_BYTES), e // WORD_BYTES) for b, e in spans]
-    return [(at[b][0], at[e - 1][1]) for b, e in whole if b < e]
+    return [(at[b][0], at[e - 1][1]) for b, e in spans]
 
 
-def text_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The runs of every text: gram, whole, _id, _text_key, lo, hi, anchor."""
+def text_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: int = 1) -> DataFrame:
+    """The runs of every text: gram, whole, _id, _text_key, lo, hi, anchor; places count units of so many bytes."""
     width = gram
     names = ["gram", "whole", "_id", "_text_key", "lo", "hi", "anchor"]
 
@@ -169,20 +178,21 @@ def text_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataF
         for batch in batches:
             ids, keys = (np.asarray(batch.column(i)) for i in (0, 1))
             texts = batch.column(2).cast(pa.binary())
-            sizes = np.asarray(pa.compute.binary_length(texts), np.int64)
+            sizes = np.asarray(pa.compute.binary_length(texts), np.int64) // unit
             for i, j in slices(sizes.tolist(), CHUNK // 2):
                 held = texts.slice(i, j - i).to_pylist()
                 # A text longer than a chunk is seen in chunks that overlap by all but one byte of a window.
-                parts = [(i + n, at, t[at : at + CHUNK]) for n, t in enumerate(held) for at in range(0, max(1, len(t) - length + 1), CHUNK - length + 1)]
-                for some in _packed([len(p[2]) for p in parts]):
+                parts = [(i + n, at, t[at * unit : (at + CHUNK) * unit]) for n, t in enumerate(held) for at in range(0, max(1, len(t) // unit - length + 1), CHUNK - length + 1)]
+                for some in _packed([len(p[2]) // unit for p in parts]):
                     own = parts[some]
-                    data = np.frombuffer(b"".join(p[2] for p in own), np.uint8)
-                    bounds = np.cumsum([0, *(len(p[2]) for p in own)])
+                    joined = b"".join(p[2] for p in own)
+                    data = np.frombuffer(joined, np.uint8) if unit == 1 else _numbers(joined)
+                    bounds = np.cumsum([0, *(len(p[2]) // unit for p in own)])
                     n, lo, hi, anchor, gram, whole = runs_of(data, bounds, length, width)
                     row, shift = np.array([p[0] for p in own], np.int64)[n], np.array([p[1] for p in own], np.int64)[n] - bounds[:-1][n]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram.view(np.int64), whole.view(np.int64), ids[row], keys[row], lo + shift, hi + shift, anchor + shift)], names=names)
 
-    return map_batches(texts.filter(F.octet_length("text") >= length), find, ", ".join(f"{x} long" for x in names))
+    return map_batches(texts.filter(F.octet_length("text") >= length * unit), find, ", ".join(f"{x} long" for x in names))
 
 
 def _packed(sizes: list[int]) -> list[slice]:
@@ -209,7 +219,7 @@ def _several(across: bool) -> Column:
 def _repeated(rows: DataFrame, core: str, whole: str, across: bool) -> DataFrame:
     """The cores that occur twice or more, and whether all their wholes are equal; stored, so that a join with them can split a hot core."""
     found = rows.groupBy(core).agg(_several(across).alias("_several"), F.min(whole).alias("_least"), F.max(whole).alias("_most")).filter("_several").select(core, (F.col("_least") != F.col("_most")).alias("open"))
-    return broadcast_if_small(stored(found, "repeated"), SPAN_ROWS)
+    return broadcast_if_small(stored(found, "repeated"), CORE_ROWS)
 
 
 def _distinct(rows: DataFrame, core: str, whole: str, kept: list[str], across: bool) -> DataFrame:
@@ -217,19 +227,19 @@ def _distinct(rows: DataFrame, core: str, whole: str, kept: list[str], across: b
     return rows.groupBy(core, whole).agg(_several(across).alias("copied"), F.min(F.struct(*kept)).alias("_one")).select(core, whole, "copied", "_one.*")
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, across: bool = False) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: int = 1, across: bool = False) -> DataFrame:
     """_id, _text_key, begin and end of spans whose union is what ``texts(_id, _text_key, text)`` have of repeated windows.
 
     With ``across`` the documents of the spans are those that share a window with another one; of windows that a
     document holds twice not every place need be there.
     """
     name = ["_id", "_text_key"]
-    runs = stored(text_runs(texts, length, gram), "runs")
+    runs = stored(text_runs(texts, length, gram, unit), "runs")
     hits = stored(runs.join(_repeated(runs, "gram", "whole", across), "gram"), "hits")
     span = [*name, F.col("lo").alias("begin"), (F.col("hi") + length).alias("end")]
     open_runs = hits.filter("open")
     one = stored(_distinct(open_runs, "gram", "whole", [*name, "lo", "hi", "anchor"], across), "contexts")
-    copied = broadcast_if_small(one.filter("copied").select("gram", "whole"), SPAN_ROWS)
+    copied = broadcast_if_small(one.filter("copied").select("gram", "whole"), CORE_ROWS)
     spans = hits.filter("not open").select(*span).unionByName(open_runs.join(copied, ["gram", "whole"], "left_semi").select(*span))
 
     wanted = stored(one.groupBy(*name).agg(F.collect_list(F.struct("gram", "lo", "hi", "anchor")).alias("wanted")), "wanted")
@@ -246,9 +256,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, acr
                     for q in range((x["lo"] - anchor) // BLOCK, (x["hi"] - anchor) // BLOCK + 1):
                         at = anchor + q * BLOCK
                         lo, hi = max(at, x["lo"]), min(at + BLOCK - 1, x["hi"])
-                        covered = text[lo : hi + length]
+                        covered = text[lo * unit : (hi + length) * unit]
                         shape = (lo - at) * BLOCK + hi - at
-                        rows.append((_hash(gram, q, text[at + BLOCK - 1 : at + length]), _hash(gram, q * BLOCK * BLOCK + shape, covered), gram, doc_id, key, lo, hi, lo - anchor, covered))
+                        rows.append((_hash(gram, q, text[(at + BLOCK - 1) * unit : (at + length) * unit]), _hash(gram, q * BLOCK * BLOCK + shape, covered), gram, doc_id, key, lo, hi, lo - anchor, covered))
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
     longs = ["core", "whole", "gram", *name, "lo", "hi", "distance"]
@@ -258,21 +268,21 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, acr
     spans = spans.unionByName(seen.filter("not open").select(*span))
     open_blocks = seen.filter("open")
     pairs = stored(cut.groupBy("core", "whole").agg(_several(across).alias("_several")).filter("_several").select("core", "whole"), "repeated-blocks")
-    spans = spans.unionByName(open_blocks.join(broadcast_if_small(pairs, SPAN_ROWS), ["core", "whole"], "left_semi").select(*span))
+    spans = spans.unionByName(open_blocks.join(broadcast_if_small(pairs, CORE_ROWS), ["core", "whole"], "left_semi").select(*span))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for x in batch.to_pylist():
                 for i in range(x["hi"] - x["lo"] + 1):
-                    rows.append({"window": _hash(x["gram"], x["distance"] + i, x["covered"][i : i + length]), "_id": x["_id"], "_text_key": x["_text_key"], "begin": x["lo"] + i})
+                    rows.append({"window": _hash(x["gram"], x["distance"] + i, x["covered"][i * unit : (i + length) * unit]), "_id": x["_id"], "_text_key": x["_text_key"], "begin": x["lo"] + i})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, pa.int64()) for n in ("window", *name, "begin")]))
 
     distinct = _distinct(open_blocks, "core", "whole", ["gram", *name, "lo", "hi", "distance", "covered"], across).select("gram", *name, "lo", "hi", "distance", "covered")
     single = map_batches(distinct, windows, "window long, _id long, _text_key long, begin long")
     single = stored(single, "windows")
     twice = stored(single.groupBy("window").agg(_several(across).alias("_several")).filter("_several").select("window"), "repeated-windows")
-    return spans.unionByName(single.join(broadcast_if_small(twice, SPAN_ROWS), "window", "left_semi").select(*name, "begin", (F.col("begin") + length).alias("end")))
+    return spans.unionByName(single.join(broadcast_if_small(twice, CORE_ROWS), "window", "left_semi").select(*name, "begin", (F.col("begin") + length).alias("end")))
 
 
 def _small(rows: DataFrame, spans: str) -> DataFrame:
@@ -281,7 +291,7 @@ def _small(rows: DataFrame, spans: str) -> DataFrame:
     return F.broadcast(rows) if few else rows.hint("shuffle_hash")
 
 
-def _merged_spans(texts: DataFrame, length: int, gram: int, name: str) -> DataFrame:
+def _merged_spans(texts: DataFrame, length: int, gram: int, name: str, unit: int = 1) -> DataFrame:
     """_id, _text_key and, as ``name``, the maximal runs of repeated windows in order."""
     pair = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
@@ -290,17 +300,16 @@ def _merged_spans(texts: DataFrame, length: int, gram: int, name: str) -> DataFr
             runs = [[{"begin": b, "end": e} for b, e in merged(found)] for found in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pair))], names=["_id", "_text_key", name])
 
-    spans = repeated_spans(texts, length, gram).groupBy("_id", "_text_key").agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
+    spans = repeated_spans(texts, length, gram, unit).groupBy("_id", "_text_key").agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
     return stored(map_batches(spans, merge, f"_id long, _text_key long, {name} array<struct<begin: long, end: long>>"), "spans")
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
-    """``docs`` with _spans, the maximal runs to remove in order (null if none), and those of repeated passages of ``words`` words as _word_spans, in codes."""
+    """``docs`` with _spans, the maximal runs to remove in order (null if none), and those of repeated passages of ``words`` words as _word_spans, in words."""
     texts = keyed_texts(docs)
     marked = docs.select("*", *_keyed(docs)).join(_small(_merged_spans(texts, length, gram, "_spans"), "_spans"), ["_id", "_text_key"], "left")
     if words:
-        wide = words * WORD_BYTES
-        passages = _merged_spans(stored(word_codes(texts), "codes"), wide, min(WORD_GRAM, wide), "_word_spans")
+        passages = _merged_spans(stored(word_codes(texts), "codes"), words, min(WORD_GRAM, words), "_word_spans", WORD_BYTES)
         marked = marked.join(_small(passages, "_word_spans"), ["_id", "_text_key"], "left")
     return marked.drop("_id", "_text_key")
 
@@ -323,9 +332,8 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def passage_documents(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
     """_id and _text_key of the documents that share a passage of ``words`` words with another document; stored."""
-    wide = words * WORD_BYTES
     codes = stored(word_codes(keyed_texts(docs)), "codes")
-    return stored(repeated_spans(codes, wide, min(WORD_GRAM, wide), across=True).select("_id", "_text_key").distinct(), "passages")
+    return stored(repeated_spans(codes, words, min(WORD_GRAM, words), WORD_BYTES, across=True).select("_id", "_text_key").distinct(), "passages")
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
