@@ -57,8 +57,8 @@ POSITION = 18
 CHUNK = (1 << POSITION) - 4096
 #: Spans, of all documents together, up to which they are broadcast rather than texts shuffled: some 30 MB.
 SPAN_ROWS = 500_000
-#: Rows of repeated cores and wholes that are broadcast.
-CORE_ROWS = 100_000
+#: Blocks that a Python worker hands on together.
+ROWS = 5_000
 
 _LOW = np.uint64((1 << POSITION) - 1)
 _NO_ID = -(1 << 63)
@@ -206,8 +206,15 @@ def _packed(sizes: list[int]) -> list[slice]:
     return [*out, slice(begin, len(sizes))]
 
 
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
 def _hash(gram: int, at: int, text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8, key=gram.to_bytes(8, "little", signed=True) + at.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
+    """A signed 64-bit hash of ``text`` at a place of its anchor."""
+    x = xxhash.xxh3_64_intdigest(text, (gram * 0x9E3779B97F4A7C15 + at) & 0xFFFFFFFFFFFFFFFF)
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _several(across: bool) -> Column:
@@ -219,7 +226,7 @@ def _several(across: bool) -> Column:
 def _repeated(rows: DataFrame, core: str, whole: str, across: bool) -> DataFrame:
     """The cores that occur twice or more, and whether all their wholes are equal; stored, so that a join with them can split a hot core."""
     found = rows.groupBy(core).agg(_several(across).alias("_several"), F.min(whole).alias("_least"), F.max(whole).alias("_most")).filter("_several").select(core, (F.col("_least") != F.col("_most")).alias("open"))
-    return broadcast_if_small(stored(found, "repeated"), CORE_ROWS)
+    return broadcast_if_small(stored(found, "repeated"))
 
 
 def _distinct(rows: DataFrame, core: str, whole: str, kept: list[str], across: bool) -> DataFrame:
@@ -239,7 +246,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, uni
     span = [*name, F.col("lo").alias("begin"), (F.col("hi") + length).alias("end")]
     open_runs = hits.filter("open")
     one = stored(_distinct(open_runs, "gram", "whole", [*name, "lo", "hi", "anchor"], across), "contexts")
-    copied = broadcast_if_small(one.filter("copied").select("gram", "whole"), CORE_ROWS)
+    copied = broadcast_if_small(one.filter("copied").select("gram", "whole"))
     spans = hits.filter("not open").select(*span).unionByName(open_runs.join(copied, ["gram", "whole"], "left_semi").select(*span))
 
     wanted = stored(one.groupBy(*name).agg(F.collect_list(F.struct("gram", "lo", "hi", "anchor")).alias("wanted")), "wanted")
@@ -248,18 +255,20 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, uni
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Core, whole, gram, first and last window, distance of the first from the anchor, and the bytes that the windows cover."""
         for batch in batches:
-            columns = batch.to_pydict()
-            for doc_id, key, text, wanted in zip(columns["_id"], columns["_text_key"], columns["text"], columns["wanted"], strict=True):
-                rows = []
+            rows = []
+            for doc_id, key, text, wanted in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_id", "_text_key", "text", "wanted")), strict=True):
                 for x in wanted:
-                    gram, anchor = x["gram"], x["anchor"]
-                    for q in range((x["lo"] - anchor) // BLOCK, (x["hi"] - anchor) // BLOCK + 1):
+                    gram, first, last, anchor = x["gram"], x["lo"], x["hi"], x["anchor"]
+                    for q in range((first - anchor) // BLOCK, (last - anchor) // BLOCK + 1):
                         at = anchor + q * BLOCK
-                        lo, hi = max(at, x["lo"]), min(at + BLOCK - 1, x["hi"])
+                        lo, hi = max(at, first), min(at + BLOCK - 1, last)
                         covered = text[lo * unit : (hi + length) * unit]
                         shape = (lo - at) * BLOCK + hi - at
                         rows.append((_hash(gram, q, text[(at + BLOCK - 1) * unit : (at + length) * unit]), _hash(gram, q * BLOCK * BLOCK + shape, covered), gram, doc_id, key, lo, hi, lo - anchor, covered))
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+                if len(rows) > ROWS:
+                    yield _rows(rows, schema)
+                    rows = []
+            yield _rows(rows, schema)
 
     longs = ["core", "whole", "gram", *name, "lo", "hi", "distance"]
     schema = pa.schema([*((x, pa.int64()) for x in longs), ("covered", pa.binary())])
@@ -268,21 +277,21 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, uni
     spans = spans.unionByName(seen.filter("not open").select(*span))
     open_blocks = seen.filter("open")
     pairs = stored(cut.groupBy("core", "whole").agg(_several(across).alias("_several")).filter("_several").select("core", "whole"), "repeated-blocks")
-    spans = spans.unionByName(open_blocks.join(broadcast_if_small(pairs, CORE_ROWS), ["core", "whole"], "left_semi").select(*span))
+    spans = spans.unionByName(open_blocks.join(broadcast_if_small(pairs), ["core", "whole"], "left_semi").select(*span))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([(n, pa.int64()) for n in ("window", *name, "begin")])
         for batch in batches:
             rows = []
-            for x in batch.to_pylist():
-                for i in range(x["hi"] - x["lo"] + 1):
-                    rows.append({"window": _hash(x["gram"], x["distance"] + i, x["covered"][i * unit : (i + length) * unit]), "_id": x["_id"], "_text_key": x["_text_key"], "begin": x["lo"] + i})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, pa.int64()) for n in ("window", *name, "begin")]))
+            for gram, doc_id, key, lo, hi, distance, covered in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                rows += [(_hash(gram, distance + i, covered[i * unit : (i + length) * unit]), doc_id, key, lo + i) for i in range(hi - lo + 1)]
+            yield _rows(rows, kind)
 
     distinct = _distinct(open_blocks, "core", "whole", ["gram", *name, "lo", "hi", "distance", "covered"], across).select("gram", *name, "lo", "hi", "distance", "covered")
     single = map_batches(distinct, windows, "window long, _id long, _text_key long, begin long")
     single = stored(single, "windows")
     twice = stored(single.groupBy("window").agg(_several(across).alias("_several")).filter("_several").select("window"), "repeated-windows")
-    return spans.unionByName(single.join(broadcast_if_small(twice, CORE_ROWS), "window", "left_semi").select(*name, "begin", (F.col("begin") + length).alias("end")))
+    return spans.unionByName(single.join(broadcast_if_small(twice), "window", "left_semi").select(*name, "begin", (F.col("begin") + length).alias("end")))
 
 
 def _small(rows: DataFrame, spans: str) -> DataFrame:
