@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: What str.strip() removes: fixed values, Unicode white space and the four separators.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Patterns of the field rules.
 PLACEHOLDER = "_{3,}"
 DATE_HINT = r"(?i)\bdate\b"
 DATE_VALUE = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"

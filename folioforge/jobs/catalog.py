@@ -14,7 +14,8 @@ from ..functions import keys as K
 from ..functions import text as T
 from ..operators import fields, library, patches, pdf, render, structure, styles, validate
 from ..sources import docx_io, tables
-from ..sources.fixtures import view, with_views
+from ..sources.fixtures import archives, view, with_views
+from ..sources.scratch import kept
 from ..streaming import jobs as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -585,3 +586,137 @@ query("run_css", "SELECT doc_id, block_ix, 'font-size: ' || n_rows || 'pt' || CA
 query("rendered_break_hints", "WITH t AS (SELECT *, row_number() OVER w = 1 AS first, count(*) FILTER (run_ix = 1) OVER (PARTITION BY doc_key, block_ix) AS n FROM fx_tokens WHERE kind <> 'checkbox' WINDOW w AS (PARTITION BY doc_key, block_ix ORDER BY run_ix)) SELECT doc_key, block_ix, 1 AS run_ix, length(CASE WHEN kind = 'text' AND run_ix = 0 THEN text ELSE '' END) = 0 AS at_start FROM t WHERE first AND n > 0", "fx_tokens")(
     lambda t: structure.rendered_break_hints(t.filter("kind <> 'checkbox'").withColumn("kind", F.when(C("run_ix") == 1, "rendered").otherwise(C("kind")))).select("doc_key", "block_ix", "run_ix", "at_start")
 )
+
+# Archives ------------------------------------------------------------------------------------------------------------------
+def _shredded(tokens: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    blobs = kept(archives(tokens, cells), "archives")
+    return blobs, kept(docx_io.shred_docx(blobs), "nodes")
+
+
+query(
+    "shred_docx",
+    """WITH t AS (SELECT doc_key, count(*) FILTER (kind <> 'checkbox') AS runs, count(*) FILTER (kind = 'checkbox') AS boxes, count(DISTINCT block_ix) AS paras FROM fx_tokens GROUP BY 1),
+    c AS (SELECT doc_key, count(*) AS cells, count(DISTINCT row_ix) AS rows, sum(checkbox_count) AS boxes, count(*) FILTER (text <> '') AS runs FROM fx_cells GROUP BY 1)
+    SELECT doc_key, CAST(paras + coalesce(cells, 0) AS BIGINT) AS paragraphs, CAST(t.runs + coalesce(c.runs, 0) + t.boxes + coalesce(c.boxes, 0) AS BIGINT) AS runs, CAST(t.boxes + coalesce(c.boxes, 0) AS BIGINT) AS boxes, coalesce(rows, 0) AS table_rows FROM t LEFT JOIN c USING (doc_key)""",
+    "fx_tokens", "fx_cells",
+)(lambda t, c: _shredded(t, c)[1].filter("section_kind = 'body'").groupBy("doc_key").agg(F.count_if(C("tag") == "p").alias("paragraphs"), F.count_if(C("tag") == "r").alias("runs"), F.count_if(C("tag") == "checkbox").alias("boxes"), F.count_if(C("tag") == "tr").alias("table_rows")))
+query(
+    "build_blocks",
+    "SELECT DISTINCT doc_key, block_ix, 'paragraph' AS block_type, 'body' AS section_kind FROM fx_tokens UNION ALL SELECT DISTINCT doc_key, block_ix, 'table', 'body' FROM fx_cells",
+    "fx_tokens", "fx_cells",
+)(lambda t, c: structure.build_blocks(_shredded(t, c)[1]).select("doc_key", "block_ix", "block_type", "section_kind"))
+query(
+    "build_tokens",
+    "SELECT doc_key, block_ix, CAST(row_number() OVER (PARTITION BY doc_key, block_ix ORDER BY run_ix) - 1 AS INTEGER) AS run_ix, kind, text, para_node_id FROM fx_tokens",
+    "fx_tokens", "fx_cells",
+)(lambda t, c: docx_io.body_tokens(docx_io.tokens_of(_shredded(t, c)[1])).select("doc_key", "block_ix", "run_ix", "kind", "text", "para_node_id"))
+
+
+def _cells(tokens: DataFrame, cells: DataFrame) -> DataFrame:
+    nodes = _shredded(tokens, cells)[1]
+    return docx_io.cells_of(nodes, docx_io.tokens_of(nodes)).select("doc_key", "block_ix", "row_ix", "cell_ix", "text", "checkbox_count", "colspan", "vmerge")
+
+
+query("build_cells", f"SELECT doc_key, block_ix, row_ix, cell_ix, {_STRIP.format('text')} AS text, checkbox_count, colspan, vmerge FROM fx_cells", "fx_tokens", "fx_cells")(_cells)
+
+
+def _rewritten(tokens: DataFrame, cells: DataFrame) -> DataFrame:
+    """Archives with a text in the last paragraph, an older and a newer one in the second, and ticks in the first box, written and read again."""
+    blobs, nodes = _shredded(tokens, cells)
+    docs = blobs.select("doc_key")
+    made = [(1, "p_5", "filled", None), (1, "p_1", "older", None), (2, "p_1", "newer", None), (1, "sdt_0", None, True), (1, "r_none", "lost", None)]
+    patch = [docs.select("doc_key", F.lit(n).alias("patch_ord"), F.lit(node).alias("node_id"), F.lit(None).cast("string").alias("operation"), F.lit(text).cast("string").alias("text"), F.lit(on).cast("boolean").alias("checked")) for n, node, text, on in made]
+    every = patch[0]
+    for more in patch[1:]:
+        every = every.unionByName(more)
+    written = docx_io.write_docx(blobs, docx_io.patch_edits(nodes, every))
+    again = docx_io.body_tokens(docx_io.tokens_of(docx_io.shred_docx(kept(written.select(C("out_key").alias("doc_key"), "content"), "written"))))
+    boxes = again.groupBy("doc_key", "block_ix").agg(F.count_if(C("checked")).alias("ticked"))
+    return fields.paragraph_texts(again).join(boxes, ["doc_key", "block_ix"]).select("doc_key", "block_ix", "text", "ticked")
+
+
+query(
+    "write_docx",
+    f"""WITH {_PARAGRAPHS} SELECT 'exported/' || split_part(doc_key, '/', 2) || '/order-exported.docx' AS doc_key, block_ix, CASE block_ix WHEN 5 THEN 'filled' WHEN 1 THEN 'newer' ELSE text END AS text, CASE WHEN checkbox_count > 0 THEN 1 ELSE 0 END AS ticked FROM para""",
+    "fx_tokens", "fx_cells",
+)(_rewritten)
+
+
+# Property elements -----------------------------------------------------------------------------------------------------------
+def _properties(blocks: DataFrame) -> DataFrame:
+    """Property elements of a paragraph, run and cell for each block: doc_id, para, run, cell, seq, tag, owner and attrs."""
+    n, text = C("n_rows"), lambda c: c.cast("string")
+    value = lambda tag, v, key="val", owner="paragraph", when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(tag).alias("tag"), F.lit(owner).alias("owner"), F.create_map(F.lit(key), v).alias("attrs")))
+    rows = F.array(
+        value("pStyle", F.concat(F.lit("H"), text(n % 4))), value("jc", F.lit("both"), when=n % 2 == 0), value("spacing", text(n * 10), "before"), value("ind", text(n * 5), "left", when=n % 3 == 0), value("numId", C("num_id"), when=C("num_id").isNotNull()),
+        value("pageBreakBefore", F.lit("1"), when=n % 5 == 0), value("sz", text(n), owner="run"), value("rFonts", F.lit("Arial"), "hAnsi", "run", n % 5 == 0), value("color", F.when(n % 4 == 0, "auto").otherwise("FF0000"), owner="run"), value("b", F.lit("0"), owner="run", when=n % 2 == 1),
+        value("vAlign", F.lit("center"), owner="cell", when=n % 3 == 1), value("jc", F.lit("right"), owner="cell", when=n % 7 == 0), value("shd", F.when(n % 2 == 0, "auto").otherwise("EEEEEE"), "fill", "cell"),
+    )
+    return blocks.select("doc_id", C("block_ix").alias("para"), C("block_ix").alias("run"), C("block_ix").alias("cell"), F.posexplode(F.filter(rows, lambda x: x.isNotNull())).alias("seq", "x")).select("doc_id", "para", "run", "cell", "seq", "x.*")
+
+
+query(
+    "paragraph_styles",
+    """SELECT doc_id, block_ix AS para, CASE n_rows % 4 WHEN 0 THEN 'H0' ELSE 'Name ' || (n_rows % 4) END AS style_name, CASE WHEN n_rows % 2 = 0 THEN 'both' END AS alignment, CAST(n_rows * 10 AS VARCHAR) AS space_before,
+    CASE WHEN n_rows % 3 = 0 THEN CAST(n_rows * 5 AS VARCHAR) END AS indent_left, num_id, n_rows % 5 = 0 AS page_break_before FROM fx_blocks""",
+    "fx_blocks",
+)(
+    lambda b: styles.paragraph_styles(_properties(b).filter("owner = 'paragraph'"), b.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k")).select("doc_id", F.concat(F.lit("H"), C("k").cast("string")).alias("style_id"), F.concat(F.lit("Name "), C("k").cast("string")).alias("name"))).select("doc_id", "para", "style_name", "alignment", "space_before", "indent_left", "num_id", "page_break_before")
+)
+query(
+    "run_styles",
+    "SELECT doc_id, block_ix AS run, n_rows / 2.0::DOUBLE AS font_size_pt, CASE WHEN n_rows % 5 = 0 THEN 'Arial' END AS font_family, CASE WHEN n_rows % 4 <> 0 THEN 'FF0000' END AS color, n_rows % 2 = 1 AS bold, false AS italic FROM fx_blocks",
+    "fx_blocks",
+)(lambda b: styles.run_styles(_properties(b).filter("owner = 'run'")).select("doc_id", "run", "font_size_pt", "font_family", "color", "bold", "italic"))
+query(
+    "cell_styles",
+    """SELECT doc_id, block_ix AS cell, CASE WHEN n_rows % 3 = 1 THEN 'center' END AS v_align, CASE WHEN n_rows % 7 = 0 THEN 'right' WHEN n_rows % 2 = 0 THEN 'both' END AS alignment, CASE WHEN n_rows % 2 = 1 THEN 'EEEEEE' END AS fill FROM fx_blocks""",
+    "fx_blocks",
+)(lambda b: structure.cell_styles(_properties(b)))
+query(
+    "cell_css",
+    """SELECT doc_id, block_ix, 'padding: 0px 7px; vertical-align: ' || CASE WHEN n_rows % 3 = 1 THEN 'middle' ELSE 'top' END || '; overflow-wrap: break-word' || CASE WHEN n_rows % 7 = 0 THEN '; text-align: right' WHEN n_rows % 2 = 0 THEN '; text-align: left' ELSE '' END
+    || CASE WHEN n_rows % 2 = 1 THEN '; background-color: #EEEEEE' ELSE '' END AS css FROM fx_blocks""",
+    "fx_blocks",
+)(lambda b: structure.cell_styles(_properties(b)).select("doc_id", C("cell").alias("block_ix"), styles.cell_css({x: C(x) for x in ("v_align", "alignment", "fill")}).alias("css")))
+query(
+    "paragraph_css",
+    """SELECT doc_id, block_ix, concat_ws('; ', CASE WHEN n_rows % 2 = 0 THEN 'text-align: left' END, 'margin-top: ' || greatest(1, CAST(round(n_rows * 10 / 15.0) AS INTEGER)) || 'px', CASE WHEN n_rows % 3 = 0 THEN 'padding-left: ' || greatest(1, CAST(round(n_rows * 5 / 15.0) AS INTEGER)) || 'px' END) AS css FROM fx_blocks""",
+    "fx_blocks",
+)(lambda b: styles.paragraph_styles(_properties(b).filter("owner = 'paragraph'"), b.select("doc_id", F.lit("none").alias("style_id"), F.lit("none").alias("name")).distinct()).select("doc_id", C("para").alias("block_ix"), styles.paragraph_css({x: C(x) for x in ("alignment", "space_before", "indent_left")}).alias("css")))
+query(
+    "annotation_css",
+    """SELECT doc_id, block_ix, concat_ws('; ', CASE n_rows % 3 WHEN 0 THEN 'margin-top: 0' WHEN 1 THEN 'margin-top: 16px' END, CASE n_rows % 4 WHEN 0 THEN 'opacity: 0.75' WHEN 1 THEN 'border-left: 2px solid #9ca3af; padding-left: 6px' END, CASE WHEN n_rows % 5 = 0 THEN 'opacity: 0.4' END) AS css FROM fx_blocks""",
+    "fx_blocks",
+)(lambda b: b.select("doc_id", "block_ix", styles.annotation_css({"spacing_before": F.element_at(F.array(F.lit("none"), F.lit("medium"), F.lit(None)), C("n_rows") % 3 + 1), "spacing_after": F.lit(None).cast("string"), "emphasis": F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit(None), F.lit("wild")), C("n_rows") % 4 + 1), "suppress": F.when(C("n_rows") % 5 == 0, True)}).alias("css")))
+query(
+    "annotate_blocks",
+    """WITH p AS (SELECT doc_id, block_ix, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block_ix) - 1 AS INTEGER) AS pos FROM fx_blocks WHERE n_rows % 3 <> 0)
+    SELECT doc_id, block_ix, CASE WHEN pos % 2 = 1 THEN pos % 6 + 1 END AS heading_weight FROM p""",
+    "fx_blocks",
+)(
+    lambda b: styles.annotate_blocks(b.filter("n_rows % 3 <> 0").select("doc_id", F.lit(1).alias("section_ix"), "block_ix", F.lit(0).alias("part")), b.select("doc_id").distinct().select("doc_id", F.lit(1).alias("section_ix"), F.explode(F.array(*map(F.lit, (1, 3, 5, 7)))).alias("block_ix")).withColumn("heading_weight", C("block_ix") % 6 + 1)).select("doc_id", "block_ix", "heading_weight")
+)
+query(
+    "page_setup",
+    """SELECT o_orderkey AS doc_id, round_even((12000 + o_orderkey % 500) / 1440.0::DOUBLE, 4) AS width_in, CASE WHEN o_orderkey % 2 = 0 THEN 1.0 END::DOUBLE AS top_in, CASE WHEN o_orderkey % 3 = 0 THEN 12.0 ELSE 11.0 END::DOUBLE AS default_font_size_pt FROM orders""",
+    "orders",
+)(
+    lambda o: structure.page_setup(
+        o.select(C("o_orderkey").alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(w).alias("owner"), m.alias("attrs")) for t, w, m in (("pgSz", "body", F.create_map(F.lit("w"), (12000 + C("o_orderkey") % 500).cast("string"))), ("pgMar", "body", F.create_map(F.lit("top"), F.when(C("o_orderkey") % 2 == 0, "1440").otherwise("wide"))), ("sz", "Normal", F.create_map(F.lit("val"), F.lit("22"))), ("sz", "docDefaults", F.create_map(F.lit("val"), F.when(C("o_orderkey") % 3 == 0, "24"))))])).alias("x")).select("doc_id", "x.*")
+    ).select("doc_id", "width_in", C("margins_in.top").alias("top_in"), "default_font_size_pt")
+)
+query(
+    "page_css",
+    """WITH s AS (SELECT doc_id, n_rows * 0.5 AS w, CASE WHEN n_rows % 2 = 0 THEN 0.0 ELSE 10.0 END AS f FROM fx_blocks WHERE block_ix = 0)
+    SELECT doc_id, '.docx-page{width:' || CAST(round_even(w * 96, 0) AS INTEGER) || 'px;min-height:1056px}' || chr(10) || '.docx-page-header{padding:48px 48px 0 48px;' || t || '}' || chr(10) || '.docx-page-content{padding:0 48px 0 48px;' || t || '}' || chr(10) || '.docx-page-footer{padding:0 48px 48px 48px;' || t || '}' AS css
+    FROM (SELECT *, 'font-size:' || CASE WHEN f = 0 THEN '11.0' ELSE '10.0' END || 'pt;line-height:1.08' AS t FROM s)""",
+    "fx_blocks",
+)(lambda b: render.page_css(b.filter("block_ix = 0").select("doc_id", (C("n_rows") * 0.5).alias("width_in"), F.lit(None).cast("double").alias("height_in"), F.when(C("n_rows") % 2 == 0, 0.0).otherwise(10.0).alias("default_font_size_pt"), F.lit(None).cast("double").alias("default_line_height"))))
+query(
+    "effective_borders",
+    """SELECT doc_id, block_ix, CASE WHEN n_rows % 2 = 0 THEN 'own' WHEN n_rows % 3 = 0 THEN 'inside' WHEN n_rows % 5 = 0 THEN 'edge' END AS border FROM fx_blocks""",
+    "fx_blocks",
+)(
+    lambda b: b.withColumns({"edge": F.lit("top"), "cell_borders": F.when(C("n_rows") % 2 == 0, F.create_map(F.lit("top"), F.lit("own"))), "tbl_borders": F.map_filter(F.create_map(F.lit("insideH"), F.when(C("n_rows") % 3 == 0, "inside"), F.lit("top"), F.when(C("n_rows") % 5 == 0, "edge")), lambda k, v: v.isNotNull())}).select("doc_id", "block_ix", styles.effective_borders(b).alias("border"))
+)

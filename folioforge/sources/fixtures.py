@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("orders", "lineitem", "events", "part")
 VIEWS: dict[str, str] = {}
@@ -160,3 +165,32 @@ def with_views(sql: str, *names: str) -> str:
         if body.upper().startswith(head):
             return f"{head}{views}, {body[len(head):]}"
     return f"WITH {views} {body}"
+
+
+_XML = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml"'
+_CHECKBOX = '<w:sdt><w:sdtPr><w14:checkbox><w14:checked w14:val="0"/></w14:checkbox></w:sdtPr><w:sdtContent><w:r><w:t>☐</w:t></w:r></w:sdtContent></w:sdt>'
+
+
+def archives(tokens: DataFrame, cells: DataFrame) -> DataFrame:
+    """doc_key and content: an office document for each order, with the paragraphs of ``tokens`` and the table of ``cells``."""
+    run = F.when(F.col("kind") == "checkbox", _CHECKBOX).when(F.col("kind") == "tab", "<w:r><w:tab/></w:r>").otherwise(F.concat(F.lit('<w:r><w:t xml:space="preserve">'), "text", F.lit("</w:t></w:r>")))
+    joined = lambda value, *order: F.array_join(F.array_sort(F.collect_list(F.struct(*order, value)))[value], "")
+    paras = tokens.withColumn("x", run).groupBy("doc_key", "block_ix").agg(F.concat(F.lit("<w:p>"), joined("x", "run_ix"), F.lit("</w:p>")).alias("x"))
+    shape = F.concat(F.lit("<w:tc><w:tcPr>"), F.when(F.col("colspan") > 1, F.concat(F.lit('<w:gridSpan w:val="'), F.col("colspan").cast("string"), F.lit('"/>'))).otherwise(""), F.when(F.col("vmerge") != "", F.concat(F.lit('<w:vMerge w:val="'), "vmerge", F.lit('"/>'))).otherwise(""), F.lit("</w:tcPr><w:p>"))
+    cell = F.concat(shape, F.repeat(F.lit(_CHECKBOX), F.col("checkbox_count")), F.when(F.col("text") != "", F.concat(F.lit("<w:r><w:t>"), "text", F.lit("</w:t></w:r>"))).otherwise(""), F.lit("</w:p></w:tc>"))
+    rows = cells.withColumn("x", cell).groupBy("doc_key", "block_ix", "row_ix").agg(F.concat(F.lit("<w:tr>"), joined("x", "cell_ix"), F.lit("</w:tr>")).alias("x"))
+    tables = rows.groupBy("doc_key", "block_ix").agg(F.concat(F.lit("<w:tbl>"), joined("x", "row_ix"), F.lit("</w:tbl>")).alias("x"))
+    bodies = paras.unionByName(tables).groupBy("doc_key").agg(joined("x", "block_ix").alias("body"))
+
+    def zipped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for doc_key, body in zip(frame["doc_key"], frame["body"], strict=True):
+                file = io.BytesIO()
+                with zipfile.ZipFile(file, "w") as z:
+                    z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document {_XML}><w:body>{body}</w:body></w:document>')
+                    z.writestr("word/styles.xml", f"<w:styles {_XML}/>")
+                out.append((doc_key, file.getvalue()))
+            yield pd.DataFrame(out, columns=["doc_key", "content"])
+
+    return bodies.mapInPandas(zipped, "doc_key string, content binary")

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 VERSION = "1.0"
 _RUN = "STRUCT<type: STRING, node_id: STRING, children: ARRAY<STRUCT<type: STRING, text: STRING, break_type: STRING, checked: BOOLEAN>>>"
-_BLOCK = f"STRUCT<type: STRING, node_id: STRING, style: STRUCT<style_name: STRING, alignment: STRING, num_id: STRING>, children: ARRAY<{_RUN}>>"
+_STYLE = "STRUCT<style_name: STRING, alignment: STRING, num_id: STRING>"
+_PARAGRAPH = f"STRUCT<type: STRING, node_id: STRING, style: {_STYLE}, children: ARRAY<{_RUN}>>"
+_CELL = f"STRUCT<colspan: INT, rowspan: INT, vmerge: STRING, width_twips: INT, children: ARRAY<{_PARAGRAPH}>>"
+_BLOCK = f"STRUCT<type: STRING, node_id: STRING, style: {_STYLE}, children: ARRAY<{_RUN}>, rows: ARRAY<STRUCT<height_twips: INT, cells: ARRAY<{_CELL}>>>>"
 TREE = f"version STRING, sections ARRAY<STRUCT<kind: STRING, blocks: ARRAY<{_BLOCK}>>>"
 
 
@@ -21,7 +26,21 @@ def blocks_of(trees: DataFrame) -> DataFrame:
     """doc_key, section_ix, section_kind, block_ix, block_type, node_id, style and runs; headers, body, footers in this order."""
     sections = trees.select("doc_key", F.posexplode("sections").alias("section_ix", "s"))
     blocks = sections.select("doc_key", "section_ix", F.col("s.kind").alias("section_kind"), F.posexplode("s.blocks").alias("block_ix", "b"))
-    return blocks.select("doc_key", "section_ix", "section_kind", "block_ix", F.col("b.type").alias("block_type"), "b.node_id", "b.style", F.col("b.children").alias("runs"))
+    return blocks.select("doc_key", "section_ix", "section_kind", "block_ix", F.col("b.type").alias("block_type"), "b.node_id", "b.style", F.col("b.children").alias("runs"), F.col("b.rows").alias("rows"))
+
+
+def cells_of_blocks(blocks: DataFrame) -> DataFrame:
+    """The cells of tables: places, text of the cell's own paragraphs, checkbox_count, colspan, rowspan, vmerge, width_twips and node_ids."""
+    rows = blocks.filter("block_type = 'table'").select("doc_key", "section_ix", "section_kind", "block_ix", F.posexplode("rows").alias("row_ix", "r"))
+    cells = rows.select("doc_key", "section_ix", "section_kind", "block_ix", "row_ix", F.posexplode("r.cells").alias("cell_ix", "c"))
+    own = F.filter("c.children", lambda p: p["type"] == "paragraph")
+    items = lambda p: F.flatten(F.transform(p["children"], lambda r: r["children"]))
+    kind = lambda i: F.when(i["type"] != "break", i["type"]).when(i["break_type"] == "tab", "tab").otherwise("line")
+    text = lambda p: T.py_strip(F.array_join(F.transform(items(p), lambda i: T.token_piece(kind(i), i["text"])), ""))
+    texts = F.filter(F.transform(own, text), lambda t: t != "")
+    boxes = F.size(F.filter(F.flatten(F.transform(own, items)), lambda i: i["type"] == "checkbox"))
+    ids = F.flatten(F.transform(own, lambda p: F.concat(F.array(p["node_id"]), F.transform(p["children"], lambda r: r["node_id"]))))
+    return cells.select("doc_key", "section_ix", "section_kind", "block_ix", "row_ix", "cell_ix", F.array_join(texts, " ").alias("text"), boxes.alias("checkbox_count"), "c.colspan", "c.rowspan", "c.vmerge", "c.width_twips", F.array_distinct(F.filter(ids, lambda x: x.isNotNull())).alias("node_ids"))
 
 
 def tokens_of_blocks(blocks: DataFrame) -> DataFrame:

@@ -12,13 +12,16 @@ from folioforge.sources import docx_io, tables
 
 def test_trees_become_tokens(spark, tmp_path):
     run = {"type": "run", "node_id": "r_0", "children": [{"type": "text", "text": "Name:"}, {"type": "break", "break_type": "tab"}, {"type": "break", "break_type": "line"}, {"type": "checkbox", "checked": True}]}
-    tree = {"version": "1.0", "sections": [{"kind": "body", "blocks": [{"type": "paragraph", "node_id": "p_0", "style": {"alignment": "end"}, "children": [run]}, {"type": "table"}]}]}
+    cell_ = {"colspan": 1, "rowspan": 1, "vmerge": "", "width_twips": 900, "children": [{"type": "paragraph", "node_id": "p_1", "children": [run]}, {"type": "table"}, {"type": "paragraph", "node_id": "p_2", "children": []}]}
+    tree = {"version": "1.0", "sections": [{"kind": "body", "blocks": [{"type": "paragraph", "node_id": "p_0", "style": {"alignment": "end"}, "children": [run]}, {"type": "table", "rows": [{"cells": [cell_, {"colspan": 2, "vmerge": "restart", "children": []}]}]}]}]}
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text(json.dumps(tree))
     (tmp_path / "in/b.json").write_text(json.dumps(tree | {"version": "9"}))
     blocks = tables.blocks_of(tables.read_ast_json(spark, str(tmp_path / "in")))
     assert [r["block_type"] for r in blocks.orderBy("block_ix").collect()] == ["paragraph", "table"]
     assert [r["kind"] for r in tables.tokens_of_blocks(blocks).orderBy("item_ix").collect()] == ["text", "tab", "line", "checkbox"]
+    cells = tables.cells_of_blocks(blocks).orderBy("cell_ix").collect()
+    assert [(r["text"], r["checkbox_count"], r["colspan"], r["vmerge"], r["width_twips"], r["node_ids"]) for r in cells] == [("Name:", 1, 1, "", 900, ["p_1", "r_0", "p_2"]), ("", 0, 2, "restart", None, [])]
 
 
 def test_requests_and_answers(spark, tmp_path):
