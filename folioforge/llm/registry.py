@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .decontamination import OP10_SQL, op10_decontamination
 from .licenses import OP4_SQL, op4_license_scan
 from .near_dup import op8_near_dup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_near_dup": op8_near_dup,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op11_alignment": op11_alignment,
 }
 ORACLE: dict[str, str] = {
     "op4_license_scan": OP4_SQL,
