@@ -414,10 +414,10 @@ query(
         CASE WHEN style_name = 'Normal' OR substr(style_name, 9) IN ('0', '7') THEN 'p' ELSE 'h' || substr(style_name, 9) END AS tag, ' data-node-id="p_' || block_ix || '" data-node-kind="paragraph"' AS nid FROM parts),
     cell AS (SELECT unnest(range(0, 3)) AS r),
     html AS (
-      SELECT doc_id, page, block_ix, part, CASE WHEN block_type = 'paragraph' THEN num_id END AS num_id, '<li' || nid || '>' || inner_html || '</li>' AS li,
+      SELECT doc_id, page, block_ix, part, CASE WHEN block_type = 'paragraph' THEN num_id END AS num_id, '<li' || nid || '>' || regexp_replace(inner_html, ' data-run="[01]"', '', 'g') || '</li>' AS li,
         CASE WHEN block_type = 'paragraph' THEN '<' || tag || nid || ' data-block="' || block_ix || '" data-para="0"' || CASE WHEN n % 6 = 0 THEN ' style="text-align: left; margin-top: ' || greatest(1, CAST(round(n / 15.0) AS INTEGER)) || 'px"' ELSE '' END || '>' || inner_html || '</' || tag || '>'
         ELSE '<table data-block="' || block_ix || '" style="width: 100%; border-collapse: collapse; table-layout: fixed;"><colgroup><col style="width: 33.33%;"><col style="width: 66.67%;"></colgroup>'
-          || (SELECT string_agg('<tr data-row="' || r || '"><td data-cell="0"><p>c' || (2 * r) || '</p></td><td data-cell="1"><p>c' || (2 * r + 1) || '</p></td></tr>', '' ORDER BY r) FROM cell WHERE r >= r0 AND r < r1) || '</table>' END AS block_html FROM inner_),
+          || (SELECT string_agg('<tr data-row="' || (r - r0) || '"><td data-cell="0"><p>c' || (2 * r) || '</p></td><td data-cell="1"><p>c' || (2 * r + 1) || '</p></td></tr>', '' ORDER BY r) FROM cell WHERE r >= r0 AND r < r1) || '</table>' END AS block_html FROM inner_),
     marked AS (SELECT *, CASE WHEN num_id IS NOT NULL AND num_id IS NOT DISTINCT FROM lag(num_id) OVER w THEN 0 ELSE 1 END AS s FROM html WINDOW w AS (PARTITION BY doc_id, page ORDER BY block_ix, part)),
     isle AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, page ORDER BY block_ix, part) AS k FROM marked),
     joined AS (
@@ -695,28 +695,42 @@ query(
     SELECT doc_id, block_ix, CASE WHEN pos % 2 = 1 THEN pos % 6 + 1 END AS heading_weight FROM p""",
     "fx_blocks",
 )(
-    lambda b: styles.annotate_blocks(b.filter("n_rows % 3 <> 0").select("doc_id", F.lit(1).alias("section_ix"), "block_ix", F.lit(0).alias("part")), b.select("doc_id").distinct().select("doc_id", F.lit(1).alias("section_ix"), F.explode(F.array(*map(F.lit, (1, 3, 5, 7)))).alias("block_ix")).withColumn("heading_weight", C("block_ix") % 6 + 1)).select("doc_id", "block_ix", "heading_weight")
+    lambda b: styles.annotate_blocks(b.filter("n_rows % 3 <> 0").select("doc_id", F.lit(1).alias("section_ix"), "block_ix", F.lit(0).alias("part")), b.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(1).alias("section_ix"), F.explode(F.sequence(F.lit(1), (C("n") + 1).cast("int"), F.lit(2))).alias("block_ix")).withColumn("heading_weight", C("block_ix") % 6 + 1)).select("doc_id", "block_ix", "heading_weight")
 )
+def _setup(orders: DataFrame) -> DataFrame:
+    """Elements of page size, margins, defaults, the style Normal and the theme of each order, by rungs: which of them there are depends on the key."""
+    k = C("o_orderkey")
+    made = lambda tag, owner, seq, when, **attrs: F.when(when, F.struct(F.lit(tag).alias("tag"), F.lit(owner).alias("owner"), F.map_filter(F.create_map(*[x for n, v in attrs.items() for x in (F.lit(n), v.cast("string"))]), lambda _, v: v.isNotNull()).alias("attrs"), F.lit(seq).alias("seq")))
+    rows = F.array(
+        made("pgSz", "body", 1, F.lit(True), w=12000 + k % 500, h=F.when(k % 7 != 0, F.lit(15840))), made("pgSz", "body", 2, F.lit(True), w=F.lit(1), h=F.lit(1)), made("pgMar", "body", 3, F.lit(True), top=F.when(k % 2 == 0, "1440").otherwise("wide")),
+        made("sz", "docDefaults", 4, k % 3 == 0, val=F.lit(24)), made("sz", "Normal", 5, F.lit(True), val=F.lit(22)), made("spacing", "docDefaults", 6, k % 4 != 0, line=F.lit(276), lineRule=F.when(k % 4 == 1, "auto").when(k % 4 == 2, "exact"), after=k % 200),
+        made("spacing", "Normal", 7, k % 5 != 0, line=F.lit(240), lineRule=F.when(k % 5 == 1, "exact")), made("latin", "theme", 8, k % 6 != 0, typeface=F.when(k % 6 == 1, "Arial").when(k % 6 == 2, "SEGOE UI").otherwise("Unknown")),
+    )
+    return orders.select(k.alias("doc_id"), F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x")).select("doc_id", "x.*")
+
+
 query(
     "page_setup",
-    """SELECT o_orderkey AS doc_id, round_even((12000 + o_orderkey % 500) / 1440.0::DOUBLE, 4) AS width_in, CASE WHEN o_orderkey % 2 = 0 THEN 1.0 END::DOUBLE AS top_in, CASE WHEN o_orderkey % 3 = 0 THEN 12.0 ELSE 11.0 END::DOUBLE AS default_font_size_pt FROM orders""",
+    """WITH s AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 1 THEN 276 WHEN o_orderkey % 5 NOT IN (0, 1) THEN 240 END AS line, CASE o_orderkey % 6 WHEN 1 THEN 1.275 WHEN 2 THEN 1.329 ELSE 1.3 END::DOUBLE AS ratio FROM orders)
+    SELECT k AS doc_id, CASE WHEN k % 7 <> 0 THEN round_even((12000 + k % 500) / 1440.0::DOUBLE, 4) END AS width_in, CASE WHEN k % 7 <> 0 THEN 11.0 END::DOUBLE AS height_in, CASE WHEN k % 2 = 0 THEN 1.0 END::DOUBLE AS top_in, CASE WHEN k % 3 = 0 THEN 12.0 END::DOUBLE AS default_font_size_pt,
+    round_even(line / 240.0::DOUBLE * ratio, 4) AS default_line_height, CASE WHEN line IS NOT NULL THEN ratio END AS default_win_ratio, CASE WHEN k % 4 <> 0 THEN CAST(k % 200 AS INTEGER) END AS para_after_twips FROM s""",
     "orders",
-)(
-    lambda o: structure.page_setup(
-        o.select(C("o_orderkey").alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(w).alias("owner"), m.alias("attrs")) for t, w, m in (("pgSz", "body", F.create_map(F.lit("w"), (12000 + C("o_orderkey") % 500).cast("string"))), ("pgMar", "body", F.create_map(F.lit("top"), F.when(C("o_orderkey") % 2 == 0, "1440").otherwise("wide"))), ("sz", "Normal", F.create_map(F.lit("val"), F.lit("22"))), ("sz", "docDefaults", F.create_map(F.lit("val"), F.when(C("o_orderkey") % 3 == 0, "24"))))])).alias("x")).select("doc_id", "x.*")
-    ).select("doc_id", "width_in", C("margins_in.top").alias("top_in"), "default_font_size_pt")
-)
+)(lambda o: structure.page_setup(_setup(o)).select("doc_id", "width_in", "height_in", C("margins_in.top").alias("top_in"), "default_font_size_pt", "default_line_height", "default_win_ratio", "para_after_twips"))
+_ZONED = {names: ", ".join(f".docx-page-{z} {n}" for z in ("header", "content", "footer") for n in names.split("|")) for names in ("p|h1|h2|h3|h4|h5|h6", "ul|ol", "td p|th p", "td li|th li", "td ul|td ol|th ul|th ol")}
 query(
     "page_css",
-    """WITH s AS (SELECT doc_id, n_rows * 0.5 AS w, CASE WHEN n_rows % 2 = 0 THEN 0.0 ELSE 10.0 END AS f FROM fx_blocks WHERE block_ix = 0)
-    SELECT doc_id, '.docx-page{width:' || CAST(round_even(w * 96, 0) AS INTEGER) || 'px;min-height:1056px}' || chr(10) || '.docx-page-header{padding:48px 48px 0 48px;' || t || '}' || chr(10) || '.docx-page-content{padding:0 48px 0 48px;' || t || '}' || chr(10) || '.docx-page-footer{padding:0 48px 48px 48px;' || t || '}' AS css
-    FROM (SELECT *, 'font-size:' || CASE WHEN f = 0 THEN '11.0' ELSE '10.0' END || 'pt;line-height:1.08' AS t FROM s)""",
+    f"""WITH s AS (SELECT doc_id, n_rows * 0.5 AS w, CASE WHEN n_rows % 2 = 0 THEN '11' ELSE '10.0' END AS f, CASE WHEN n_rows % 3 = 0 THEN CAST(round_even(n_rows * 10 / 15.0::DOUBLE, 0) AS INTEGER) ELSE 0 END AS below FROM fx_blocks WHERE block_ix = 0),
+    t AS (SELECT *, 'font-size:' || f || 'pt;line-height:1.08;font-family:Calibri,''Segoe UI'',Arial,sans-serif}}' AS font, 'margin-top:0px;margin-bottom:' || below || 'px' AS around FROM s)
+    SELECT doc_id, '.document{{background:#e0e0e0;padding:24px;display:flex;flex-direction:column;align-items:center;gap:24px}}.docx-page{{width:' || CAST(round_even(w * 96, 0) AS INTEGER) || 'px;background:white;box-shadow:0 2px 8px rgba(0,0,0,.25);box-sizing:border-box;display:flex;flex-direction:column}}.docx-page-header{{padding:48px 48px 0 48px;' || font
+    || '.docx-page-content{{flex:1;padding:0 48px 0 48px;' || font || '.docx-page-footer{{padding:0 48px 48px 48px;' || font || '{_ZONED["p|h1|h2|h3|h4|h5|h6"]}{{' || around || '}}{_ZONED["ul|ol"]}{{' || around || ';padding-left:2em}}{_ZONED["td p|th p"]}{{margin-top:0;margin-bottom:0;line-height:1.3}}'
+    || '{_ZONED["td li|th li"]}{{margin-top:0;margin-bottom:0}}{_ZONED["td ul|td ol|th ul|th ol"]}{{margin-top:0;margin-bottom:0}}' AS css FROM t""",
     "fx_blocks",
-)(lambda b: render.page_css(b.filter("block_ix = 0").select("doc_id", (C("n_rows") * 0.5).alias("width_in"), F.lit(None).cast("double").alias("height_in"), F.when(C("n_rows") % 2 == 0, 0.0).otherwise(10.0).alias("default_font_size_pt"), F.lit(None).cast("double").alias("default_line_height"))))
+)(lambda b: render.page_css(b.filter("block_ix = 0").select("doc_id", (C("n_rows") * 0.5).alias("width_in"), F.lit(None).cast("double").alias("height_in"), F.when(C("n_rows") % 2 == 0, 0.0).otherwise(10.0).alias("default_font_size_pt"), F.lit(None).cast("double").alias("default_line_height"), F.when(C("n_rows") % 3 == 0, C("n_rows") * 10).alias("para_after_twips"))))
 query(
     "effective_borders",
-    """SELECT doc_id, block_ix, CASE WHEN n_rows % 2 = 0 THEN 'own' WHEN n_rows % 3 = 0 THEN 'inside' WHEN n_rows % 5 = 0 THEN 'edge' END AS border FROM fx_blocks""",
+    """SELECT doc_id, block_ix, edge, CASE WHEN n_rows % 2 = 0 AND edge IN ('top', 'left') THEN 'own' WHEN n_rows % 3 = 0 AND edge IN ('top', 'bottom') THEN 'across' WHEN n_rows % 7 < 3 AND edge IN ('left', 'right') THEN 'down' WHEN n_rows % 5 = 0 AND edge <> 'left' THEN 'edge' END AS border
+    FROM fx_blocks, (SELECT unnest(['top', 'left', 'bottom', 'right']) AS edge)""",
     "fx_blocks",
 )(
-    lambda b: b.withColumns({"edge": F.lit("top"), "cell_borders": F.when(C("n_rows") % 2 == 0, F.create_map(F.lit("top"), F.lit("own"))), "tbl_borders": F.map_filter(F.create_map(F.lit("insideH"), F.when(C("n_rows") % 3 == 0, "inside"), F.lit("top"), F.when(C("n_rows") % 5 == 0, "edge")), lambda k, v: v.isNotNull())}).select("doc_id", "block_ix", styles.effective_borders(b).alias("border"))
+    lambda b: (lambda d: d.select("doc_id", "block_ix", "edge", styles.effective_borders(d).alias("border")))(b.withColumn("edge", F.explode(F.array(*map(F.lit, styles.INSIDE)))).withColumns({"cell_borders": F.when(C("n_rows") % 2 == 0, F.create_map(*map(F.lit, ("top", "own", "left", "own")))), "tbl_borders": F.map_filter(F.create_map(F.lit("insideH"), F.when(C("n_rows") % 3 == 0, "across"), F.lit("insideV"), F.when(C("n_rows") % 7 < 3, "down"), *[x for e in ("top", "bottom", "right") for x in (F.lit(e), F.when(C("n_rows") % 5 == 0, "edge"))]), lambda k, v: v.isNotNull())}))
 )

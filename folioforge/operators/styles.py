@@ -58,29 +58,43 @@ def image_geometry(width_emu: Column, height_emu: Column, kind: Column, offset_h
     return F.struct(px(width_emu).alias("width_px"), px(height_emu).alias("height_px"), ((kind == "anchor") & (F.coalesce(offset_h, F.lit(0)) >= RIGHT_ANCHOR)).alias("right_anchored"))
 
 
-def paragraph_styles(nodes: DataFrame, styles: DataFrame) -> DataFrame:
-    """One row for each paragraph from its property elements (doc_id, para, tag, attrs); the style's name falls back to its id."""
-    of = lambda tag, key="val": F.max(F.when(F.col("tag") == tag, F.col("attrs")[key]))
-    flat = nodes.groupBy("doc_id", "para").agg(
+def _of_group(df: DataFrame) -> tuple:
+    """Column makers for groups of property elements: an attribute of the first element of a tag (by seq, if there is one; empty is none), and whether there is any."""
+
+    def of(tag: str, key: str = "val") -> Column:
+        value, own = F.col("attrs")[key], F.col("tag") == tag
+        return F.nullif(F.min_by(F.struct(value.alias("v")), F.when(own, F.col("seq")))["v"] if "seq" in df.columns else F.max(F.when(own, value)), F.lit(""))
+
+    return of, lambda tag: F.bool_or(F.col("tag") == tag)
+
+
+def paragraph_styles(nodes: DataFrame, styles: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """One row for each paragraph (``key``) from its property elements (doc_id, para, tag, attrs, seq); the style's name falls back to its id."""
+    of, has = _of_group(nodes)
+    flat = nodes.groupBy(*(key or ["doc_id", "para"])).agg(
         of("pStyle").alias("style_id"), of("jc").alias("alignment"), of("spacing", "before").alias("space_before"), of("spacing", "after").alias("space_after"), of("spacing", "line").alias("space_line"),
-        of("ind", "left").alias("indent_left"), of("ind", "hanging").alias("indent_hanging"), F.bool_or(F.col("tag") == "pageBreakBefore").alias("page_break_before"), of("numId").alias("num_id"), of("ilvl").try_cast("int").alias("ilvl"),
+        of("ind", "left").alias("indent_left"), of("ind", "right").alias("indent_right"), of("ind", "firstLine").alias("indent_first"), of("ind", "hanging").alias("indent_hanging"),
+        has("pageBreakBefore").alias("page_break_before"), of("numId").alias("num_id"), of("ilvl").try_cast("int").alias("ilvl"),
     )
     return flat.join(styles.select("doc_id", "style_id", "name"), ["doc_id", "style_id"], "left").withColumn("style_name", F.coalesce("name", "style_id")).drop("name")
 
 
-def run_styles(nodes: DataFrame) -> DataFrame:
-    """One row for each run: half-points as points, the first font given, and flags by presence of their element."""
-    of = lambda tag, key="val": F.max(F.when(F.col("tag") == tag, F.col("attrs")[key]))
-    has = lambda tag: F.bool_or(F.col("tag") == tag)
-    return nodes.groupBy("doc_id", "run").agg(
+def run_styles(nodes: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """One row for each run (``key``): half-points as points, the first font given, and flags by presence of their element."""
+    of, has = _of_group(nodes)
+    return nodes.groupBy(*(key or ["doc_id", "run"])).agg(
         (of("sz").try_cast("int") / 2).alias("font_size_pt"), F.coalesce(of("rFonts", "ascii"), of("rFonts", "hAnsi"), of("rFonts", "cs")).alias("font_family"), F.nullif(of("color"), F.lit("auto")).alias("color"),
         has("b").alias("bold"), has("i").alias("italic"), has("u").alias("underline"), has("strike").alias("strike"), of("vertAlign").alias("vertical_align"),
     )
 
 
-def effective_borders(cells: DataFrame, inside: str = "insideH") -> Column:
-    """A cell's edge: its own border, else the table's inner one, else the table's edge (maps cell_borders, tbl_borders, column edge)."""
-    return F.coalesce(F.col("cell_borders")[F.col("edge")], F.col("tbl_borders")[F.lit(inside)], F.col("tbl_borders")[F.col("edge")])
+#: A table's inner border of a cell's edge.
+INSIDE = {"top": "insideH", "bottom": "insideH", "left": "insideV", "right": "insideV"}
+
+
+def effective_borders(cells: DataFrame) -> Column:
+    """A cell's edge: its own border, else the table's inner one of that direction, else the table's edge (maps cell_borders, tbl_borders, column edge)."""
+    return F.coalesce(F.col("cell_borders")[F.col("edge")], F.col("tbl_borders")[lookup(INSIDE, F.col("edge"))], F.col("tbl_borders")[F.col("edge")])
 
 
 def parse_annotations(responses: DataFrame) -> DataFrame:
@@ -174,7 +188,7 @@ def annotation_css(c: dict[str, Column]) -> Column:
 def run_css(c: dict[str, Column]) -> Column:
     """font_size_pt, font_family, color and strike as CSS; weight and slant are tags."""
     color = F.when(c["color"].startswith("#"), c["color"]).otherwise(F.concat(F.lit("#"), c["color"]))
-    return F.concat_ws("; ", F.concat(F.lit("font-size: "), c["font_size_pt"].cast("string"), F.lit("pt")), F.concat(F.lit("font-family: '"), F.nullif(c["font_family"], F.lit("")), F.lit("'")), F.concat(F.lit("color: "), F.when(c["color"] != "", color)), F.when(c["strike"], "text-decoration: line-through"))
+    return F.concat_ws("; ", F.concat(F.lit("font-size: "), F.regexp_replace(c["font_size_pt"].cast("string"), r"\.0$", ""), F.lit("pt")), F.concat(F.lit("font-family: '"), F.nullif(c["font_family"], F.lit("")), F.lit("'")), F.concat(F.lit("color: "), F.when(c["color"] != "", color)), F.when(c["strike"], "text-decoration: line-through"))
 
 
 def cell_css(c: dict[str, Column]) -> Column:
@@ -187,7 +201,7 @@ def cell_css(c: dict[str, Column]) -> Column:
     own, table = c.get("cell_borders", none.cast(kind)), c.get("tbl_borders", none.cast(kind))
     edges = []
     for edge in ("top", "left", "bottom", "right"):
-        b = F.coalesce(own[edge], table["insideH" if edge in ("top", "bottom") else "insideV"], table[edge])
+        b = F.coalesce(own[edge], table[INSIDE[edge]], table[edge])
         edges.append(F.concat(F.lit(f"border-{edge}: "), b["width_pt"].cast("string"), F.lit("pt "), b["style"], F.lit(" #"), b["color"]))
     middle = F.when(c["v_align"] == "center", "middle").otherwise(F.coalesce(F.nullif(c["v_align"], F.lit("")), F.lit("top")))
     return F.concat_ws("; ", _rule("padding", padding, ""), _rule("vertical-align", middle, ""), F.lit("overflow-wrap: break-word"), _rule("text-align", _aligned(F.nullif(c["alignment"], F.lit(""))), ""), F.concat(F.lit("background-color: #"), F.nullif(c["fill"], F.lit(""))), *edges)

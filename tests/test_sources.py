@@ -45,8 +45,8 @@ def test_blocks_of_sections_in_order(spark):
 def test_style_rows(spark):
     kind = "doc_id int, para int, run int, cell int, seq int, tag string, owner string, attrs map<string,string>"
     rows = [
-        (1, 0, 0, 0, 0, "pStyle", "Normal", {"val": "H1"}), (1, 0, 0, 0, 1, "jc", "paragraph", {"val": "both"}), (1, 0, 0, 0, 2, "spacing", "docDefaults", {"before": "x", "line": "276"}),
-        (1, 0, 0, 0, 3, "b", "run", {"val": "0"}), (1, 0, 0, 0, 4, "sz", "Normal", {"val": "22"}), (1, 0, 0, 0, 5, "pgSz", "body", {"w": "12240", "h": "bad"}), (1, 0, 0, 0, 6, "shd", "cell", {"fill": "auto"}),
+        (1, 0, 0, 0, 0, "pStyle", "Normal", {"val": "H1"}), (1, 0, 0, 0, 1, "jc", "paragraph", {"val": "both"}), (1, 0, 0, 0, 2, "spacing", "docDefaults", {"before": "x", "line": "276", "lineRule": "auto"}),
+        (1, 0, 0, 0, 3, "b", "run", {"val": "0"}), (1, 0, 0, 0, 4, "sz", "docDefaults", {"val": "22"}), (1, 0, 0, 0, 5, "pgSz", "body", {"w": "12240", "h": "bad"}), (1, 0, 0, 0, 6, "shd", "cell", {"fill": "auto"}),
     ]
     nodes = spark.createDataFrame(rows, kind)
     para = styles.paragraph_styles(nodes, spark.createDataFrame([(1, "H1", "heading 1")], "doc_id int, style_id string, name string")).first()
