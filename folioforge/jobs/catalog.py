@@ -14,9 +14,10 @@ from ..functions import keys as K
 from ..functions import text as T
 from ..operators import fields, library, patches, pdf, render, structure, styles, validate
 from ..sources import docx_io, tables
-from ..sources.fixtures import archives, view, with_views
+from ..sources.fixtures import archives, styled_archives, view, with_views
 from ..sources.scratch import kept
 from ..streaming import jobs as streams
+from .convert import document_parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -549,8 +550,8 @@ query(
     o.select(C("o_orderkey").alias("doc_id"), F.explode(F.array(*map(F.lit, ("word/media/a.png", "word/other/b.png", "word/x/c.png", "word/y/c.png")))).alias("media_path")),
 ).select("doc_id", "media_path"))
 def _broken(tokens: DataFrame) -> DataFrame:
-    """Some runs as page breaks: at a start, in the middle and at an end."""
-    return tokens.withColumn("kind", F.when((C("run_ix") == 1) & C("block_ix").isin(1, 4) | (C("block_ix") == 5) | ((C("block_ix") == 2) & (C("run_ix") == 0)), "page").otherwise(C("kind")))
+    """Some runs as page breaks: at a start, in the middle and at an end; those in links cut nothing."""
+    return tokens.withColumn("linked", C("block_ix") == 3).withColumn("kind", F.when(C("linked"), "page").when((C("run_ix") == 1) & C("block_ix").isin(1, 4) | (C("block_ix") == 5) | ((C("block_ix") == 2) & (C("run_ix") == 0)), "page").otherwise(C("kind")))
 
 
 _BROKEN = "SELECT *, (run_ix = 1 AND block_ix IN (1, 4)) OR block_ix = 5 OR (block_ix = 2 AND run_ix = 0) AS page FROM fx_tokens"
@@ -734,3 +735,25 @@ query(
 )(
     lambda b: (lambda d: d.select("doc_id", "block_ix", "edge", styles.effective_borders(d).alias("border")))(b.withColumn("edge", F.explode(F.array(*map(F.lit, styles.INSIDE)))).withColumns({"cell_borders": F.when(C("n_rows") % 2 == 0, F.create_map(*map(F.lit, ("top", "own", "left", "own")))), "tbl_borders": F.map_filter(F.create_map(F.lit("insideH"), F.when(C("n_rows") % 3 == 0, "across"), F.lit("insideV"), F.when(C("n_rows") % 7 < 3, "down"), *[x for e in ("top", "bottom", "right") for x in (F.lit(e), F.when(C("n_rows") % 5 == 0, "edge"))]), lambda k, v: v.isNotNull())}))
 )
+
+# Archives to HTML --------------------------------------------------------------------------------------------------------
+_TD = "padding: 0px 2px 0px 10px; vertical-align: top; overflow-wrap: break-word{}; border-top: 0.5pt solid #000000; border-left: 1.5pt double #AABBCC; border-right: 1.5pt double #AABBCC"
+_PLAIN_TABLE = f'style="{render.TABLE_STYLE}"'
+query(
+    "render_archives",
+    f"""WITH b AS (
+      SELECT doc_id, block_ix, block_type, num_id, n_rows AS n, block_type = 'paragraph' AS par, block_ix > 0 AND block_type = 'paragraph' AND n_rows % 5 = 0 AS opens, CASE WHEN block_type = 'paragraph' THEN 1 ELSE 3 END AS ps, CASE WHEN block_type = 'paragraph' THEN 1 ELSE 2 END AS rs FROM fx_blocks),
+    c AS (SELECT *, sum(opens::INT) OVER w AS page, sum(ps) OVER w - ps AS p0, sum(rs) OVER w - rs AS r0 FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY block_ix)),
+    d AS (SELECT *, ' data-node-id="p_' || p0 || '" data-node-kind="paragraph"' AS pid, ' data-node-id="r_' || r0 || '" data-node-kind="run" style="font-size: ' || (n // 2) || CASE WHEN n % 2 = 1 THEN '.5' ELSE '' END || 'pt">' || CASE WHEN n % 2 = 1 THEN '<strong>t ' || n || '</strong>' ELSE 't ' || n END || '</span>' AS run, CASE WHEN n % 4 = 0 THEN 'p' ELSE 'h' || (n % 4) END AS tag FROM c),
+    e AS (SELECT *, CASE WHEN par THEN '<' || tag || pid || ' data-block="' || block_ix || '" data-para="0" style="' || CASE WHEN n % 2 = 0 THEN 'text-align: left; ' ELSE '' END || 'margin-top: ' || greatest(1, CAST(round(n * 10 / 15.0) AS INTEGER)) || 'px"><span data-run="0"' || run || '</' || tag || '>'
+      ELSE '<table data-block="' || block_ix || '" {_PLAIN_TABLE}><colgroup><col style="width: 33.33%;"><col style="width: 66.67%;"></colgroup><tr data-row="0"><td data-cell="0" style="{_TD.format("; background-color: #EEEEEE")}"><p' || pid || ' data-block="' || block_ix || '" data-para="0"><span data-run="0" data-node-id="r_' || r0 || '" data-node-kind="run">a ' || n || '</span></p></td><td data-cell="1" style="{_TD.format("")}">'
+        || '<table {_PLAIN_TABLE}><tr data-row="0"><td data-cell="0" style="padding: 0px 7px; vertical-align: top; overflow-wrap: break-word"><p data-node-id="p_' || (p0 + 1) || '" data-node-kind="paragraph"><span data-run="0" data-node-id="r_' || (r0 + 1) || '" data-node-kind="run">c ' || n || '</span></p></td></tr></table>'
+        || '<p class="docx-empty-paragraph" data-node-id="p_' || (p0 + 2) || '" data-node-kind="paragraph" data-block="' || block_ix || '" data-para="1"></p></td></tr></table>' END AS shown, '<li' || pid || '><span' || run || '</li>' AS li FROM d),
+    m AS (SELECT *, CASE WHEN num_id IS NOT NULL AND num_id IS NOT DISTINCT FROM lag(num_id) OVER w THEN 0 ELSE 1 END AS s FROM e WINDOW w AS (PARTITION BY doc_id, page ORDER BY block_ix)),
+    g AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, page ORDER BY block_ix) AS k FROM m),
+    l AS (SELECT doc_id, page, k, CASE WHEN min(num_id) IS NULL THEN min(shown) WHEN min(num_id) = '1' THEN '<ol style="list-style-type: decimal">' || string_agg(li, '' ORDER BY block_ix) || '</ol>' ELSE '<ul style="list-style-type: disc">' || string_agg(li, '' ORDER BY block_ix) || '</ul>' END AS h FROM g GROUP BY 1, 2, 3),
+    q AS (SELECT doc_id, page, string_agg(h, '' ORDER BY k) AS h FROM l GROUP BY 1, 2),
+    t AS (SELECT doc_id, '<div class="docx-page"><div class="docx-page-header"><p data-node-id="p_' || (sum(ps) + 1) || '" data-node-kind="paragraph"><span data-run="0" data-node-id="r_' || (sum(rs) + 1) || '" data-node-kind="run">second ' || doc_id || '</span></p></div><div class="docx-page-content" style="padding-top:0px;padding-bottom:48px">' AS a FROM b GROUP BY 1)
+    SELECT CAST(doc_id AS VARCHAR) AS doc_key, md5('<div class="document">' || chr(10) || string_agg(a || h || '</div></div>', chr(10) ORDER BY page) || chr(10) || '</div>') AS html_md5 FROM q JOIN t USING (doc_id) GROUP BY 1""",
+    "fx_blocks",
+)(lambda b: render.render_html(**document_parts(kept(docx_io.shred_docx(styled_archives(b)), "nodes"))).select("doc_key", F.md5(F.encode("html", "utf-8")).alias("html_md5")))

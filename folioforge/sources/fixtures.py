@@ -182,15 +182,54 @@ def archives(tokens: DataFrame, cells: DataFrame) -> DataFrame:
     tables = rows.groupBy("doc_key", "block_ix").agg(F.concat(F.lit("<w:tbl>"), joined("x", "row_ix"), F.lit("</w:tbl>")).alias("x"))
     bodies = paras.unionByName(tables).groupBy("doc_key").agg(joined("x", "block_ix").alias("body"))
 
-    def zipped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return zipped(bodies, f'<w:styles {_XML}/>')
+
+
+def zipped(bodies: DataFrame, styles: str, **parts: str) -> DataFrame:
+    """doc_key and content of an archive for each row (doc_key, body): the other members are the same in all.
+
+    parts: header1, header2 and so on (in which {key} stands for the document's key), and numbering.
+    """
+    kinds = {n: n.rstrip("0123456789") for n in parts if n[-1].isdigit()}
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rels = "".join(f'<Relationship Id="r{i}" Type="{office}/{k}" Target="{n}.xml"/>' for i, (n, k) in enumerate(kinds.items()))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for doc_key, body in zip(frame["doc_key"], frame["body"], strict=True):
                 file = io.BytesIO()
                 with zipfile.ZipFile(file, "w") as z:
                     z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document {_XML}><w:body>{body}</w:body></w:document>')
-                    z.writestr("word/styles.xml", f"<w:styles {_XML}/>")
+                    z.writestr("word/styles.xml", styles)
+                    if kinds:
+                        z.writestr("word/_rels/document.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rels}</Relationships>')
+                    for name, xml in parts.items():
+                        z.writestr(f"word/{name}.xml", xml.replace("{key}", doc_key))
                 out.append((doc_key, file.getvalue()))
             yield pd.DataFrame(out, columns=["doc_key", "content"])
 
-    return bodies.mapInPandas(zipped, "doc_key string, content binary")
+    return bodies.select("doc_key", "body").mapInPandas(run, "doc_key string, content binary")
+
+
+def styled_archives(blocks: DataFrame) -> DataFrame:
+    """doc_key and content of documents with styles, lists, page breaks, tables in tables and two headers, from fx_blocks."""
+    n = F.col("n_rows")
+    text = lambda c: c.cast("string")
+    some = lambda when, xml: F.when(when, xml).otherwise("")
+    ppr = F.concat(
+        F.lit('<w:pPr><w:pStyle w:val="H'), text(n % 4), F.lit('"/>'), some(n % 5 == 0, "<w:pageBreakBefore/>"), F.coalesce(F.concat(F.lit('<w:numPr><w:ilvl w:val="0"/><w:numId w:val="'), "num_id", F.lit('"/></w:numPr>')), F.lit("")),
+        F.lit('<w:spacing w:before="'), text(n * 10), F.lit('"/>'), some(n % 2 == 0, '<w:jc w:val="both"/>'), F.lit("</w:pPr>"),
+    )
+    run = lambda word, rpr="": F.concat(F.lit(f"<w:r>{rpr}<w:t>{word} "), text(n), F.lit("</w:t></w:r>"))
+    para = F.concat(F.lit("<w:p>"), ppr, F.lit('<w:r><w:rPr><w:sz w:val="'), text(n), F.lit('"/>'), some(n % 2 == 1, "<w:b/>"), F.lit("</w:rPr><w:t>t "), text(n), F.lit("</w:t></w:r></w:p>"))
+    inner = F.concat(F.lit("<w:tbl><w:tblPr/><w:tr><w:tc><w:p>"), run("c"), F.lit("</w:p></w:tc></w:tr></w:tbl><w:p/>"))
+    table = F.concat(F.lit('<w:tbl><w:tblPr><w:tblStyle w:val="Grid"/></w:tblPr><w:tblGrid><w:gridCol w:w="1000"/><w:gridCol w:w="2000"/></w:tblGrid><w:tr><w:tc><w:tcPr><w:shd w:fill="eeeeee"/></w:tcPr><w:p>'), run("a"), F.lit("</w:p></w:tc><w:tc>"), inner, F.lit("</w:tc></w:tr></w:tbl>"))
+    xml = F.when(F.col("block_type") == "table", table).otherwise(para)
+    bodies = blocks.groupBy(text(F.col("doc_id")).alias("doc_key")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("block_ix", xml.alias("x"))))["x"], "").alias("body"))
+    named = "".join(f'<w:style w:type="paragraph" w:styleId="H{k}"><w:name w:val="heading {k}"/></w:style>' for k in (1, 2, 3))
+    base = '<w:style w:type="table" w:styleId="Base"><w:tblPr><w:tblBorders><w:top w:val="single" w:sz="4" w:color="auto"/></w:tblBorders><w:tblCellMar><w:left w:w="150"/></w:tblCellMar></w:tblPr></w:style>'
+    grid = '<w:style w:type="table" w:styleId="Grid"><w:basedOn w:val="Base"/><w:tblPr><w:tblBorders><w:insideV w:val="double" w:sz="12" w:color="aabbcc"/></w:tblBorders><w:tblCellMar><w:right w:w="30"/></w:tblCellMar></w:tblPr></w:style>'
+    levels = "".join(f'<w:abstractNum w:abstractNumId="{k}"><w:lvl w:ilvl="0"><w:numFmt w:val="{f}"/><w:lvlText w:val="{t}"/></w:lvl></w:abstractNum><w:num w:numId="{k}"><w:abstractNumId w:val="{k}"/></w:num>' for k, f, t in ((1, "decimal", "%1."), (2, "bullet", "•")))
+    header = lambda word: f"<w:hdr {_XML}><w:p><w:r><w:t>{word}</w:t></w:r></w:p></w:hdr>"
+    return zipped(bodies, f"<w:styles {_XML}>{named}{base}{grid}</w:styles>", header1=header("first"), header2=header("second {key}"), numbering=f"<w:numbering {_XML}>{levels}</w:numbering>")
