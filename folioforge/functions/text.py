@@ -57,7 +57,7 @@ def merge_key(label: Column, block: Column, para: Column) -> Column:
 
 def heading_level(style_name: Column, weight: Column | None = None) -> Column:
     """The heading weight of an annotation, else the number in the style's name; null for plain paragraphs."""
-    named = F.nullif(F.regexp_extract(F.lower(style_name), r"heading\s*([1-6])", 1), F.lit("")).cast("int")
+    named = F.nullif(F.regexp_extract(style_name, r"(?i)heading\s*([1-6])", 1), F.lit("")).cast("int")
     return named if weight is None else F.coalesce(weight.cast("int"), named)
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import patches
+from ..sources.keyed import write_keyed
+from .progress import ROCKSDB, fill_progress_stream
 
 
 def debounce_stream(edits: DataFrame, gap: str = "300 milliseconds", late: str = "1 minute") -> DataFrame:
@@ -29,69 +31,52 @@ def conversion_status(uploads: DataFrame, converted: DataFrame, within: str = "1
 
 
 def stream_uploads(spark: SparkSession, folder: str, checkpoint: str, handle: Callable[[DataFrame], DataFrame], out: str):
-    """Each new object once: ``handle`` gets the batch of files, its result is written by batch number, so a repeat overwrites."""
+    """Each new object once: ``handle`` gets the batch of files.
+
+    Where its result has a key and content, each row is stored at ``out``/key, so that a repeat, even one without the
+    checkpoint, leaves each output once; other results are written by batch number.
+    """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
 
     def batch(rows: DataFrame, number: int) -> None:
-        handle(rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        made = handle(rows)
+        if {"key", "content"} <= set(made.columns):
+            write_keyed(made, out)
+        else:
+            made.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-#: Parts that a state table is kept in; a batch rewrites those that it touches.
-STATE_PARTS = 64
+def latest_drafts(drafts: DataFrame) -> DataFrame:
+    """title, html, ts and draft_id of the newest draft of each title, as keyed state of a stream in update mode (or of a table)."""
+    newest = F.max_by(F.struct("html", "ts", "draft_id"), F.struct("ts", "draft_id"))
+    return drafts.groupBy("title").agg(newest.alias("_r")).select("title", "_r.*")
 
 
-def upserted(rows: DataFrame, keys: list[str], order: list[str], path: str, number: int) -> DataFrame:
-    """Merges a batch into the state table at ``path``: of each key the last row by ``order``; returns the touched parts as they are now.
-
-    A part is written as a new version (v=batch number, part), so a batch that is repeated writes the same again, and
-    what is read is the last version of each part before the batch.
-    """
-    spark = rows.sparkSession
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64(F.col(keys[0])), F.lit(STATE_PARTS)).cast("int"))
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    merged = dealt
-    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        old = spark.read.parquet(path).filter(F.col("v") < number)
-        last = old.groupBy("part").agg(F.max("v").alias("v")).join(dealt.select("part").distinct(), "part", "left_semi")  # STATE_PARTS rows at most
-        merged = dealt.unionByName(old.join(F.broadcast(last), ["part", "v"], "left_semi").drop("v"))
-    newest = merged.groupBy("part", *keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct(*order)).alias("_r")).select("part", *keys, "_r.*")
-    newest.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/v={number}")
-    return spark.read.schema(newest.schema).parquet(f"{path}/v={number}").select(*rows.columns)
+def draft_key(title: Column) -> Column:
+    """The key that a title's draft is stored at."""
+    return F.concat(F.sha2(F.coalesce(title, F.lit("")), 256), F.lit(".html"))
 
 
 def latest_draft_stream(drafts: DataFrame, checkpoint: str, out: str):
-    """Keeps the newest draft of each title over all batches at ``out``; ``current_state`` reads it."""
+    """Keeps the newest draft of each title at its own key in ``out``; the stream's state holds one draft a title, and a batch writes those that changed."""
+    drafts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
     def batch(rows: DataFrame, number: int) -> None:
-        if not rows.isEmpty():
-            upserted(rows.select("title", "html", "ts", "draft_id"), ["title"], ["ts", "draft_id"], out, number)
+        write_keyed(rows.select(draft_key(F.col("title")).alias("key"), F.col("html").alias("content")), out)
 
-    return drafts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return latest_drafts(drafts).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_state(spark: SparkSession, path: str) -> DataFrame:
-    """The last version of each part of a state table."""
-    every = spark.read.parquet(path)
-    last = every.groupBy("part").agg(F.max("v").alias("v"))  # STATE_PARTS rows at most
-    return every.join(F.broadcast(last), ["part", "v"], "left_semi").drop("part", "v")
-
-
-def live_fill_progress(edits: DataFrame, fields: DataFrame, checkpoint: str, out: str, state: str):
+def live_fill_progress(edits: DataFrame, fields: DataFrame, checkpoint: str, out: str):
     """Filled and all fields of the documents that a batch of edits touches, written by batch number.
 
-    The last edit of each node over all batches is kept at ``state``, so fills of earlier batches count; echoes of
-    programmatic syncs do not.  ``fields`` is the extracted field table; only the documents of the batch are read from it.
+    The last edit of each node is kept as keyed state (``progress``), so fills of earlier batches count; echoes of programmatic
+    syncs do not.
     """
-    from ..operators.fields import fill_progress
 
     def batch(rows: DataFrame, number: int) -> None:
-        own = patches.echo_filter(rows).select("doc_key", "node_id", "text", "ts", "edit_id")
-        touched = own.select("doc_key").distinct()
-        if touched.isEmpty():
-            return
-        now = upserted(own, ["doc_key", "node_id"], ["ts", "edit_id"], state, number).join(touched, "doc_key", "left_semi")
-        fill_progress(patches.sync_field_values(fields.join(touched, "doc_key", "left_semi"), now)).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    return edits.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return fill_progress_stream(edits, fields).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
