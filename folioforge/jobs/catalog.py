@@ -18,6 +18,7 @@ from ..sources.fixtures import archives, styled_archives, view, with_views
 from ..sources.scratch import kept
 from ..streaming import jobs as streams
 from .convert import document_parts
+from .report import document_reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -757,3 +758,22 @@ query(
     SELECT CAST(doc_id AS VARCHAR) AS doc_key, md5('<div class="document">' || chr(10) || string_agg(a || h || '</div></div>', chr(10) ORDER BY page) || chr(10) || '</div>') AS html_md5 FROM q JOIN t USING (doc_id) GROUP BY 1""",
     "fx_blocks",
 )(lambda b: render.render_html(**document_parts(kept(docx_io.shred_docx(styled_archives(b)), "nodes"))).select("doc_key", F.md5(F.encode("html", "utf-8")).alias("html_md5")))
+
+
+def _reports(blocks: DataFrame) -> DataFrame:
+    """Reports of the styled archives, with annotations of some and a check that documents of over five blocks fail."""
+    nodes = kept(docx_io.shred_docx(styled_archives(blocks)), "nodes")
+    some = blocks.groupBy(C("doc_id").cast("string").alias("doc_id")).agg(F.count("*").alias("n"))
+    answer = F.concat(F.lit('{"document_type": "'), F.when(C("n") % 2 == 0, "form").otherwise("odd"), F.lit('", "annotations": {"s2:b0": {"emphasis": "high"}, "s2:b1": {"emphasis": "wild"}, "s2:b2": {"suppress": true}}}'))
+    said = styles.parse_annotations(some.filter("n <> 3").select("doc_id", answer.alias("raw")))
+    media = some.filter("n > 2").select(C("doc_id").alias("doc_key"))
+    checks = {"length": some.select("doc_id", (C("n") <= 5).alias("passed")), "other": some.select("doc_id", F.when(C("n") == 1, True).alias("passed"))}
+    return document_reports(nodes, media, said, checks)
+
+
+query(
+    "document_reports",
+    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'header,header,body' AS sections, n AS body_blocks, CAST(2 AS BIGINT) AS relationships, CAST(n > 2 AS BIGINT) AS media_files, CAST(CASE WHEN n = 3 THEN 0 ELSE 2 END AS BIGINT) AS annotation_count, CASE WHEN n % 2 = 0 THEN 'form' END AS document_type,
+    CASE WHEN n = 1 THEN 'length,other' WHEN n <= 5 THEN 'length' ELSE '' END AS passed, CASE WHEN n > 5 THEN 'length' ELSE '' END AS failed, CASE WHEN n > 5 THEN 'FAIL' ELSE 'PASS' END AS result FROM (SELECT doc_id, count(*) AS n FROM fx_blocks GROUP BY 1)""",
+    "fx_blocks",
+)(_reports)

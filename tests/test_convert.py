@@ -176,6 +176,30 @@ def test_whole_pages_and_broken_archives(pages):
     assert all(x.startswith('<!DOCTYPE html>\n<html lang="en">') and "<style>\n.document{" in x for x in pages.values())
 
 
+def test_members_are_read_where_they_are(spark, tmp_path):
+    made = archive(p("hello"), rels=[("rI", "image", "media/i.png")], media=[("word/media/i.png", bytes(2_000_000))])
+    (tmp_path / "a.docx").write_bytes(made)
+    (tmp_path / "b.docx").write_bytes(b"no archive")
+    files = docx_io.read_documents(spark, str(tmp_path)).select("doc_key")
+    blobs = docx_io.read_documents(spark, str(tmp_path))
+    order = lambda df: sorted(map(repr, df.collect()))
+    assert order(docx_io.shred_files(files)) == order(docx_io.shred_docx(blobs)) and order(docx_io.media_files(files)) == order(docx_io.media_of(blobs))
+    assert "content" not in files._jdf.queryExecution().executedPlan().toString().partition("ReadSchema")[2]
+
+    class Counted(io.FileIO):
+        read_bytes = 0
+
+        def read(self, size=-1):
+            data = super().read(size)
+            Counted.read_bytes += len(data)
+            return data
+
+    with Counted(str(tmp_path / "a.docx")) as file, zipfile.ZipFile(file) as opened:
+        for name, _ in docx_io._parts(opened):
+            opened.read(name)
+    assert len(made) > 2_000_000 and Counted.read_bytes < 100_000  # stored members that are not asked for are not read
+
+
 def test_page_setup_of_each_rung(spark):
     theme = '<a:theme xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:majorFont><a:latin typeface="Verdana"/></a:majorFont><a:minorFont><a:latin typeface="Arial"/></a:minorFont></a:theme>'
     rung = lambda rule, line: f'<w:docDefaults><w:rPrDefault><w:rPr><w:sz w:val="23"/></w:rPr></w:rPrDefault><w:pPrDefault><w:pPr><w:spacing w:line="{line}" w:lineRule="{rule}" w:after="160"/></w:pPr></w:pPrDefault></w:docDefaults>'
