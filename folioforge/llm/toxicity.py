@@ -12,7 +12,7 @@ Only the sample (SAMPLE labelled documents at most, by a hash of the id) comes t
 numbers; counts of voters and pairs have a fixed size.  Labels are read only where crc32 of the id in decimal modulo 3
 is not 1.  labels, lang, source and doc_id are no inputs of a score.
 
-Null or wordless texts: scored by what no word says.  Labels of unknown documents and repeated labels are harmless;
+Null or wordless texts: scored by what no word says.  Of several texts of an id the one of least checksum is in the sample.  Labels of unknown documents and repeated labels are harmless;
 without labels the lexicon alone votes.  Empty table: no rows.  Extra columns are passed by ``without_toxic``.
 """
 
@@ -93,7 +93,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
     """text and toxic of a bounded sample of labelled documents that are not held out."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size), "sample-ids")
-    return stored(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic"), "sample")
+    own = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    least = F.min(F.struct(F.xxhash64("text").alias("check"), "text", "toxic")).alias("r")
+    return stored(own.groupBy("doc_id").agg(least).select("doc_id", "r.text", "r.toxic"), "sample")
 
 
 def telling_terms(sample: DataFrame, most: int) -> list[bytes]:

@@ -234,3 +234,10 @@ def test_contaminations_are_those_of_brute_force(spark, seed):
     left = decontaminate(frame_, bench)
     assert left.columns == frame_.columns and sorted(map(str, (tuple(r) for r in left.select("doc_id", "text").collect()))) == sorted(str(d) for d in docs if d not in bad)
     assert contaminations(frame_.limit(0), bench).count() == 0 and contaminations(frame_, bench.limit(0)).count() == 0
+
+
+def test_toxicity_of_repeated_ids_is_the_same_in_each_run(spark):
+    rows, labels = toxic_rows(spark)
+    twice = rows + [(i, f"other words for this row {i}") for i, _ in rows[:80]]
+    one, two = (sorted((r["doc_id"], r["score"]) for r in tox.toxicity(frame(spark, order).repartition(n), labels).collect()) for order, n in ((twice, 2), (twice[::-1], 5)))
+    assert [r[1] for r in one] == pytest.approx([r[1] for r in two])
