@@ -2,11 +2,14 @@
 
 import io
 import json
+import struct
 import zipfile
+import zlib
 
 from pyspark.sql import functions as F
 
-from folioforge.operators import fields, patches, structure, styles
+from folioforge.functions import text
+from folioforge.operators import fields, patches, pdf, structure, styles
 from folioforge.sources import docx_io, tables
 
 
@@ -24,6 +27,36 @@ def test_trees_become_tokens(spark, tmp_path):
     assert [(r["text"], r["checkbox_count"], r["colspan"], r["vmerge"], r["width_twips"], r["node_ids"]) for r in cells] == [("Name:", 1, 1, "", 900, ["p_1", "r_0", "p_2"]), ("", 0, 2, "restart", None, [])]
 
 
+def test_page_images(spark, tmp_path):
+    def png(width, height, color):
+        piece = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        lines = b"".join(b"\0" + bytes(color) * width for _ in range(height))
+        return b"\x89PNG\r\n\x1a\n" + piece(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + piece(b"IDAT", zlib.compress(lines)) + piece(b"IEND", b"")
+
+    (tmp_path / "d").mkdir()
+    for page in (0, 12):
+        (tmp_path / f"d/page-{page}.png").write_bytes(png(3, 2, (1, 2, page)))
+    got = {r["page"]: r for r in tables.read_page_images(spark, str(tmp_path), "candidate").collect()}
+    assert set(got) == {0, 12} and (got[12]["width"], got[12]["height"], got[12]["side"]) == (3, 2, "candidate") and bytes(got[12]["data"]) == bytes((12, 2, 1)) * 6
+    assert got[0]["doc_key"].endswith("/d")
+
+
+def test_tables_of_results(spark, tmp_path):
+    made = spark.createDataFrame([("k", 2, "i2", "b"), ("k", 1, "i1", "a"), ("l", 1, "i1", None)], "doc_key string, field_ord int, id string, value string")
+    fields_ = made.withColumns({n: F.lit(None).cast("string") for n in ("label", "type", "block", "para", "raw_label", "raw_value")}).withColumn("confidence", F.lit(0.5))
+    docx_io.write_fields_json(fields_, str(tmp_path / "fields"))
+    lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "fields")).collect()]
+    assert {x["documentId"]: [f.get("value") for f in x["fields"]] for x in lines} == {"k": ["a", "b"], "l": [None]}
+    for _ in range(2):
+        tables.write_html(spark.createDataFrame([("k", "<p>")], "doc_key string, html string"), str(tmp_path / "html"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "html")).collect()] == [("k", "<p>")]
+
+
+def test_targets_and_sizes(spark):
+    row = spark.range(1).select(text.checkbox_target(F.array(*map(F.lit, ("p_1", "sdt_2", "sdt_3")))).alias("box"), text.checkbox_target(F.array(F.lit("p_1"))).alias("none"), *[pdf.fit_fontsize(F.lit(u), F.lit(w), F.lit(h)).alias(f"s{i}") for i, (u, w, h) in enumerate([(1.0, 100.0, 30.0), (10.0, 55.0, 10.0), (50.0, 10.0, 30.0)])]).first()
+    assert (row["box"], row["none"], row["s0"], row["s1"], row["s2"]) == ("sdt_2", None, 11.0, 5.5, 4.0)
+
+
 def test_requests_and_answers(spark, tmp_path):
     prompts = spark.createDataFrame([("a", 2, "[1]"), ("b", 0, "[]")], "doc_key string, blocks int, prompt string")
     tables.llm_request_batch(prompts, "fields", str(tmp_path / "out"))
