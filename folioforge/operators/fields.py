@@ -22,7 +22,7 @@ def _text(name: str) -> Column:
 def paragraph_texts(tokens: DataFrame) -> DataFrame:
     """text, checkbox_count, has_tab and node_ids of each paragraph of the body."""
     piece = T.token_piece(F.col("kind"), F.col("text"))
-    items = F.array_sort(F.collect_list(F.struct("run_ix", piece.alias("piece"), "node_id")))
+    items = F.sort_array(F.collect_list(F.struct("run_ix", piece.alias("piece"), "node_id")))
     grouped = tokens.groupBy("doc_key", "block_ix").agg(items.alias("_items"), F.min("para_node_id").alias("_para"), F.count_if(F.col("kind") == "checkbox").alias("checkbox_count"), F.bool_or(F.col("kind") == "tab").alias("has_tab"))
     ids = F.filter(F.array_distinct(F.concat(F.array("_para"), F.col("_items.node_id"))), lambda x: x.isNotNull())
     return grouped.select("doc_key", "block_ix", F.array_join(F.col("_items.piece"), "").alias("text"), "checkbox_count", "has_tab", ids.alias("node_ids"))
@@ -131,8 +131,8 @@ def field_prompt(paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
     """The blocks of a document as a prompt has them: texts cut at 240 characters, tables at 6 rows, 4 cells, 80 characters."""
     text = paragraphs.filter(T.py_strip(F.col("text")) != "").select("doc_key", F.col("block_ix").alias("block"), F.to_json(F.struct("block_ix", F.left(T.py_strip(F.col("text")), F.lit(240)).alias("text"), (F.col("checkbox_count") > 0).alias("has_checkbox"))).alias("json"))
     some = cells.filter("row_ix < 6 and cell_ix < 4")
-    rows = some.groupBy("doc_key", "block_ix", "row_ix").agg(F.array_sort(F.collect_list(F.struct("cell_ix", F.left(T.py_strip(F.col("text")), F.lit(80)).alias("text")))).alias("c"))
-    tables = rows.groupBy("doc_key", "block_ix").agg(F.array_sort(F.collect_list(F.struct("row_ix", F.col("c.text").alias("cells")))).alias("r"))
+    rows = some.groupBy("doc_key", "block_ix", "row_ix").agg(F.sort_array(F.collect_list(F.struct("cell_ix", F.left(T.py_strip(F.col("text")), F.lit(80)).alias("text")))).alias("c"))
+    tables = rows.groupBy("doc_key", "block_ix").agg(F.sort_array(F.collect_list(F.struct("row_ix", F.col("c.text").alias("cells")))).alias("r"))
     tables = tables.select("doc_key", F.col("block_ix").alias("block"), F.to_json(F.struct("block_ix", F.col("r.cells").alias("rows"))).alias("json"))
-    blocks = text.unionByName(tables).groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("block", "json"))).alias("b"))
+    blocks = text.unionByName(tables).groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct("block", "json"))).alias("b"))
     return blocks.select("doc_key", F.size("b").alias("blocks"), F.concat(F.lit("["), F.array_join("b.json", ","), F.lit("]")).alias("prompt"))

@@ -27,7 +27,7 @@ def acroform_regions(widgets: DataFrame) -> DataFrame:
 
 def flat_regions(pages: DataFrame, spans: DataFrame) -> DataFrame:
     """Space right of a line that ends with a colon, if it has 15 percent of the page's width."""
-    items = F.array_sort(F.collect_list(F.struct("span_ord", "text")))
+    items = F.sort_array(F.collect_list(F.struct("span_ord", "text")))
     lines = spans.groupBy("doc_id", "page", "block", "line").agg(F.array_join(items["text"], "").alias("_text"), F.max_by("x1", "span_ord").alias("_right"), F.min("y0").alias("_top"), F.max("y1").alias("_bottom"))
     width = F.col("width_pt") - F.col("_right") - 10
     found = lines.filter(T.py_strip(F.col("_text")).endswith(":")).join(pages, ["doc_id", "page"]).withColumn("w", width).filter("w >= width_pt * 0.15")

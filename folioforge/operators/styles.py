@@ -137,10 +137,10 @@ def block_summaries(blocks: DataFrame, tokens: DataFrame, cells: DataFrame) -> D
     font_size_pt, bold, color; cells: doc_id, block_ix, row_ix, cell_ix, text.
     """
     key = ["doc_id", "block_ix"]
-    items = F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("run_ix", "text"))))
+    items = F.sort_array(F.collect_list(F.when(F.col("kind") == "text", F.struct("run_ix", "text"))))
     style = F.min_by(F.struct("font_size_pt", "bold", "color"), "run_ix")
     texts = tokens.groupBy(*key).agg(F.array_join(items["text"], "").alias("_text"), F.bool_or(F.col("kind") == "image").alias("has_image"), style.alias("run"))
-    rows = cells.groupBy(*key, "row_ix").agg(F.count("*").alias("_cells"), F.array_sort(F.collect_list(F.struct("cell_ix", F.left("text", F.lit(40)).alias("t"))))["t"].alias("_sample"))
+    rows = cells.groupBy(*key, "row_ix").agg(F.count("*").alias("_cells"), F.sort_array(F.collect_list(F.struct("cell_ix", F.left("text", F.lit(40)).alias("t"))))["t"].alias("_sample"))
     tables = rows.groupBy(*key).agg(F.count("*").alias("rows"), F.max("_cells").alias("cols"), F.min_by("_sample", "row_ix").alias("header_sample"))
     listed = F.col("num_id").isNotNull()
     joined = blocks.join(texts, key, "left").join(tables, key, "left")

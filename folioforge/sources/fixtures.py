@@ -174,7 +174,7 @@ _CHECKBOX = '<w:sdt><w:sdtPr><w14:checkbox><w14:checked w14:val="0"/></w14:check
 def archives(tokens: DataFrame, cells: DataFrame) -> DataFrame:
     """doc_key and content: an office document for each order, with the paragraphs of ``tokens`` and the table of ``cells``."""
     run = F.when(F.col("kind") == "checkbox", _CHECKBOX).when(F.col("kind") == "tab", "<w:r><w:tab/></w:r>").otherwise(F.concat(F.lit('<w:r><w:t xml:space="preserve">'), "text", F.lit("</w:t></w:r>")))
-    joined = lambda value, *order: F.array_join(F.array_sort(F.collect_list(F.struct(*order, value)))[value], "")
+    joined = lambda value, *order: F.array_join(F.sort_array(F.collect_list(F.struct(*order, value)))[value], "")
     paras = tokens.withColumn("x", run).groupBy("doc_key", "block_ix").agg(F.concat(F.lit("<w:p>"), joined("x", "run_ix"), F.lit("</w:p>")).alias("x"))
     shape = F.concat(F.lit("<w:tc><w:tcPr>"), F.when(F.col("colspan") > 1, F.concat(F.lit('<w:gridSpan w:val="'), F.col("colspan").cast("string"), F.lit('"/>'))).otherwise(""), F.when(F.col("vmerge") != "", F.concat(F.lit('<w:vMerge w:val="'), "vmerge", F.lit('"/>'))).otherwise(""), F.lit("</w:tcPr><w:p>"))
     cell = F.concat(shape, F.repeat(F.lit(_CHECKBOX), F.col("checkbox_count")), F.when(F.col("text") != "", F.concat(F.lit("<w:r><w:t>"), "text", F.lit("</w:t></w:r>"))).otherwise(""), F.lit("</w:p></w:tc>"))
@@ -226,7 +226,7 @@ def styled_archives(blocks: DataFrame) -> DataFrame:
     inner = F.concat(F.lit("<w:tbl><w:tblPr/><w:tr><w:tc><w:p>"), run("c"), F.lit("</w:p></w:tc></w:tr></w:tbl><w:p/>"))
     table = F.concat(F.lit('<w:tbl><w:tblPr><w:tblStyle w:val="Grid"/></w:tblPr><w:tblGrid><w:gridCol w:w="1000"/><w:gridCol w:w="2000"/></w:tblGrid><w:tr><w:tc><w:tcPr><w:shd w:fill="eeeeee"/></w:tcPr><w:p>'), run("a"), F.lit("</w:p></w:tc><w:tc>"), inner, F.lit("</w:tc></w:tr></w:tbl>"))
     xml = F.when(F.col("block_type") == "table", table).otherwise(para)
-    bodies = blocks.groupBy(text(F.col("doc_id")).alias("doc_key")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("block_ix", xml.alias("x"))))["x"], "").alias("body"))
+    bodies = blocks.groupBy(text(F.col("doc_id")).alias("doc_key")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("block_ix", xml.alias("x"))))["x"], "").alias("body"))
     named = "".join(f'<w:style w:type="paragraph" w:styleId="H{k}"><w:name w:val="heading {k}"/></w:style>' for k in (1, 2, 3))
     base = '<w:style w:type="table" w:styleId="Base"><w:tblPr><w:tblBorders><w:top w:val="single" w:sz="4" w:color="auto"/></w:tblBorders><w:tblCellMar><w:left w:w="150"/></w:tblCellMar></w:tblPr></w:style>'
     grid = '<w:style w:type="table" w:styleId="Grid"><w:basedOn w:val="Base"/><w:tblPr><w:tblBorders><w:insideV w:val="double" w:sz="12" w:color="aabbcc"/></w:tblBorders><w:tblCellMar><w:right w:w="30"/></w:tblCellMar></w:tblPr></w:style>'

@@ -59,9 +59,9 @@ def write_html(documents: DataFrame, path: str) -> None:
 def pdf_models(routes: DataFrame, pages: DataFrame, regions: DataFrame) -> DataFrame:
     """doc_id and the page model as JSON: route and pages with their regions, without image bytes."""
     region = F.struct("id", "page", "type", F.struct("x", "y", "w", "h").alias("box"), "value", F.col("acro_field_name").alias("acroFieldName"))
-    own = regions.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(region)).alias("regions"))
+    own = regions.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(region)).alias("regions"))
     page = F.struct(F.col("page").alias("index"), "width_pt", "height_pt", "regions")
-    listed = pages.join(own, ["doc_id", "page"], "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    listed = pages.join(own, ["doc_id", "page"], "left").groupBy("doc_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
     return routes.join(listed, "doc_id").select("doc_id", F.to_json(F.struct("route", "pages")).alias("model"))
 
 
