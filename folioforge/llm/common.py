@@ -30,7 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose session now sends BATCH at most to Python at a time.  Smaller limits that are set stay."""
+    """``df``, whose session sends BATCH at most to Python at a time from now on.
+
+    The limits are read when a query runs, so they are set for the session and stay set; smaller ones that it has stay, too.
+    """
     for key, most in BATCH.items():
         now = re.match(r"\d+", df.sparkSession.conf.get(key))
         if not now or not 0 < int(now[0]) <= int(most):

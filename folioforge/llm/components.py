@@ -16,7 +16,11 @@ def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) for every node of ``edges(a, b)``.
 
     Each round only aggregates and joins on a node, and what it keeps is written to the shared folder: no group is
-    held by a task or the driver, and the driver sees a count and a checksum.  Nulls and loops are ignored.
+    held by a task or the driver, and the driver sees a count and a checksum.
+
+    Edges with a null end and loops are ignored, so a node that has nothing else is not in the result.  Repeated edges and
+    both directions of an edge count once.  The least node is unique, so there are no ties.  No edges: no rows.  Extra
+    columns are ignored.
     """
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = stored(now, "edges")
