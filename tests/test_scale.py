@@ -32,3 +32,8 @@ def test_named_columns_of_nodes(spark):
 def test_archives_are_one_group_of_documents(spark):
     tokens, cells = (fixtures.view(spark, DATA, n) for n in ("fx_tokens", "fx_cells"))
     assert exchanges(cells) == 1 and exchanges(fixtures.archives(tokens, cells)) == 2
+
+
+def test_blocks_are_dealt_once(spark):
+    _, nodes = shredded(spark, form_archive())
+    assert exchanges(structure.build_blocks(nodes)) == 1
