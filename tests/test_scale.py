@@ -37,3 +37,8 @@ def test_archives_are_one_group_of_documents(spark):
 def test_blocks_are_dealt_once(spark):
     _, nodes = shredded(spark, form_archive())
     assert exchanges(structure.build_blocks(nodes)) == 1
+
+
+def test_tokens_are_dealt_once(spark):
+    _, nodes = shredded(spark, form_archive())
+    assert exchanges(docx_io.tokens_of(nodes)) == 1
