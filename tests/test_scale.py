@@ -1,7 +1,10 @@
 """How often rows are dealt, and that tasks make no more than is asked for."""
 
+from pyspark.sql import functions as F
+
+from folioforge.jobs import report
 from folioforge.operators import structure
-from folioforge.sources import docx_io, fixtures
+from folioforge.sources import docx_io, fixtures, scratch
 
 from .test_sources import form_archive, shredded
 
@@ -42,3 +45,19 @@ def test_blocks_are_dealt_once(spark):
 def test_tokens_are_dealt_once(spark):
     _, nodes = shredded(spark, form_archive())
     assert exchanges(docx_io.tokens_of(nodes)) == 1
+
+
+def test_reports_read_nodes_once(spark):
+    blobs, _ = shredded(spark, form_archive())
+    plan = report.document_reports(docx_io.shred_docx(blobs))._jdf.queryExecution().executedPlan().toString()
+    assert sum("MapInArrow" in line for line in plan.splitlines() if "(" in line and ":" in line or "+-" in line) == 1
+
+
+def test_spans_need_one_deal_whose_parts_do_not_grow(spark, monkeypatch):
+    cells = fixtures.view(spark, DATA, "fx_cells")
+    assert exchanges(structure.resolve_vmerge(structure.table_grid(cells))) == 1
+    tokens = fixtures.view(spark, DATA, "fx_tokens").withColumn("kind", F.lit("rendered"))
+    few = scratch.parts_of(tokens)
+    monkeypatch.setattr(scratch, "PART_BYTES", 1000)
+    assert scratch.parts_of(tokens) > few == 4
+    assert structure.rendered_break_hints(tokens)._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(doc_key") == 1
