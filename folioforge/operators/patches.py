@@ -21,35 +21,41 @@ def effective_patches(patches: DataFrame, nodes: DataFrame) -> DataFrame:
     return last.select("doc_id", "node_id", "op", "patch_ord", "p.text", "p.checked")
 
 
-def apply_text_patches(tokens: DataFrame, patches: DataFrame) -> DataFrame:
+def apply_text_patches(tokens: DataFrame, patches: DataFrame, dealt: bool = False) -> DataFrame:
     """The first text leaf under a patched run or paragraph gets the text, the others become empty.
 
     Of patches of a paragraph and of its runs the last one (patch_ord, if there is one) holds for each leaf.  Where a node
     has no leaf, one is added behind its tokens.  tokens: doc_key, block_ix, run_ix, kind, text, node_id and para_node_id
     (if paragraphs may be patched), with a row of kind ``empty`` for runs and paragraphs without tokens.
+
+    Patches are rows beside the tokens, of which each node is a window, so both are dealt by document once, or not at all
+    if they are ``dealt`` already, in parts of one number.
     """
     order = F.col("patch_ord") if "patch_ord" in patches.columns else F.lit(0)
-    texts = patches.filter("op = 'replace_text'").groupBy("doc_key", "node_id").agg(F.max_by("text", order).alias("_text"), F.max(order).alias("_ord"))
     levels = [c for c in ("node_id", "para_node_id") if c in tokens.columns]
-    out = tokens
+    texts = patches.filter("op = 'replace_text' and doc_key is not null and node_id is not null")
+    told = texts.select("doc_key", *[F.col("node_id").alias(x) for x in levels], F.lit(True).alias("_patch"), F.col("text").alias("_text"), order.alias("_ord"))
+    out = tokens.withColumn("_patch", F.lit(False)).unionByName(told, allowMissingColumns=True)
+    out = out if dealt else out.repartition("doc_key")
     for level in levels:
-        own = texts.select("doc_key", F.col("node_id").alias(level), F.col("_text").alias(f"_new_{level}"), F.col("_ord").alias(f"_ord_{level}"))
         w = Window.partitionBy("doc_key", level)
         leaves = F.count_if(F.col("kind") == "text").over(w)
-        place = F.row_number().over(Window.partitionBy("doc_key", level, "kind").orderBy("block_ix", "run_ix"))
-        last = F.row_number().over(w.orderBy(F.desc("block_ix"), F.desc("run_ix")))
-        out = out.join(own, ["doc_key", level], "left").withColumns({f"_n_{level}": leaves, f"_leaf_{level}": place, f"_last_{level}": last})
+        place = F.count_if(F.col("kind") == "text").over(w.orderBy("_patch", "block_ix", "run_ix").rowsBetween(Window.unboundedPreceding, 0))
+        last = F.lead("_patch", 1, True).over(w.orderBy("_patch", "block_ix", "run_ix"))
+        out = out.withColumns({f"_new_{level}": F.max_by("_text", "_ord").over(w), f"_ord_{level}": F.max("_ord").over(w), f"_n_{level}": leaves, f"_leaf_{level}": place, f"_last_{level}": last})
+    out = out.filter("not _patch")
     hit = {x: F.col(f"_new_{x}").isNotNull() for x in levels}
     value = {x: F.when(F.col(f"_leaf_{x}") == 1, F.col(f"_new_{x}")).otherwise("") for x in levels}
     best = F.array_max(F.array(*[F.when(hit[x], F.struct(F.col(f"_ord_{x}").alias("o"), value[x].alias("v"))) for x in reversed(levels)]))["v"]
-    changed = out.withColumn("text", F.when(F.col("kind") == "text", F.coalesce(best, F.col("text"))).otherwise(F.col("text")))
+    text = F.when(F.col("kind") == "text", F.coalesce(best, F.col("text"))).otherwise(F.col("text"))
     bare = F.lit(False)
     added = F.lit(None).cast("string")
     for x in levels:
-        here = hit[x] & (F.col(f"_n_{x}") == 0) & (F.col(f"_last_{x}") == 1)
+        here = hit[x] & (F.col(f"_n_{x}") == 0) & F.col(f"_last_{x}")
         bare, added = bare | here, F.coalesce(F.when(here, F.col(f"_new_{x}")), added)
-    new = out.filter(bare).withColumn("text", added).withColumn("kind", F.lit("text")).withColumn("run_ix", F.col("run_ix") + F.when(F.col("kind") == "empty", 0).otherwise(1))
-    return changed.select(*tokens.columns).unionByName(new.select(*tokens.columns))
+    new = {"text": added, "kind": F.lit("text"), "run_ix": (F.col("run_ix") + F.when(F.col("kind") == "empty", 0).otherwise(1)).cast(tokens.schema["run_ix"].dataType)}
+    row = lambda given: F.struct(*[given.get(c, F.col(c)).alias(c) for c in tokens.columns])
+    return out.select(F.explode(F.filter(F.array(row({"text": text}), F.when(bare, row(new))), lambda r: r.isNotNull())).alias("r")).select("r.*")
 
 
 def apply_checkbox_patches(tokens: DataFrame, patches: DataFrame) -> DataFrame:
@@ -67,22 +73,25 @@ def echo_filter(edits: DataFrame) -> DataFrame:
     return edits.filter("origin <> 'sync'")
 
 
-def sync_field_values(fields: DataFrame, edits: DataFrame) -> DataFrame:
+def sync_field_values(fields: DataFrame, edits: DataFrame, dealt: bool = False) -> DataFrame:
     """Field values after node edits, the last of each node by ts and edit_id if there are such columns.
 
     A checkbox field takes the state of any of its boxes, the last edited one; other fields the text of their value target.
+    Edits are rows beside the fields, one for each target, so both are dealt by document once, or not at all if they are
+    ``dealt`` already, in parts of one number.
     """
     order = F.struct(*[c for c in ("ts", "edit_id") if c in edits.columns] or [F.lit(0)])
-    last = edits.groupBy("doc_key", F.col("node_id").alias("_target")).agg(F.max_by("text", order).alias("_text"), F.max(order).alias("_at"))
     box = F.col("type") == "checkbox"
     key = [c for c in ("doc_key", "block", "row", "rule", "field_ord", "id", "label") if c in fields.columns]
     targets = F.when(box, F.filter("node_ids", lambda x: x.startswith("sdt_"))).otherwise(F.array(T.value_target(F.col("node_ids"))))
-    found = fields.select(*key, F.explode(targets).alias("_target")).filter("_target is not null").join(last, ["doc_key", "_target"])
-    new = found.groupBy(*key).agg(F.max_by("_text", "_at").alias("_text"))
-    value = F.when(F.col("n._text").isNull(), F.col("f.value")).when(F.col("f.type") == "checkbox", F.when(F.col("n._text") == "☒", "true").otherwise("false")).otherwise(F.col("n._text"))
-    same = [F.col(f"f.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key if k != "doc_key"]
-    joined = fields.alias("f").join(new.alias("n"), [F.col("f.doc_key") == F.col("n.doc_key"), *same], "left")
-    return joined.select(*[value.alias("value") if c == "value" else F.col(f"f.{c}") for c in fields.columns])
+    asked = fields.select("*", F.posexplode_outer(targets).alias("_n", "_target"))
+    made = edits.filter("doc_key is not null and node_id is not null").select("doc_key", F.lit(-1).alias("_n"), F.col("node_id").alias("_target"), F.col("text").alias("_text"), order.alias("_at"))
+    every = asked.unionByName(made, allowMissingColumns=True)
+    node = Window.partitionBy("doc_key", "_target")
+    told = (every if dealt else every.repartition("doc_key")).withColumns({"_text": F.max_by("_text", "_at").over(node), "_at": F.max("_at").over(node)}).filter("_n is null or _n >= 0")
+    new = told.withColumn("_new", F.max_by("_text", "_at").over(Window.partitionBy(*key))).filter("_n is null or _n = 0")
+    value = F.when(F.col("_new").isNull(), F.col("value")).when(box, F.when(F.col("_new") == "☒", "true").otherwise("false")).otherwise(F.col("_new"))
+    return new.select(*[value.alias("value") if c == "value" else F.col(c) for c in fields.columns])
 
 
 def fields_to_patches(fields: DataFrame) -> DataFrame:
@@ -167,13 +176,18 @@ def resolve_positional_patches(patches: DataFrame, tokens: DataFrame) -> DataFra
     """
     null = F.lit(None).cast("int")
     at = lambda name, other: F.col(name) if name in tokens.columns else other
-    places = tokens.select("doc_key", F.col("block_ix").alias("block"), at("row_ix", null).alias("row"), at("cell_ix", null).alias("cell"), at("para_ix", F.lit(0)).alias("para"), at("run_no", F.col("run_ix")).alias("run"), "node_id").distinct()
+    places = tokens.select("doc_key", F.col("block_ix").alias("block"), at("row_ix", null).alias("row"), at("cell_ix", null).alias("cell"), at("para_ix", F.lit(0)).alias("para"), at("run_no", F.col("run_ix")).alias("run"), "node_id")
     named = patches
     for column, default in (("row", null), ("cell", null), ("para", F.lit(0)), ("run", F.lit(0))):
         named = named.withColumn(column, F.coalesce(F.col(column), default) if column in patches.columns else default)
-    p, t = named.alias("p"), places.alias("t")
-    same = [F.col("p.doc_key") == F.col("t.doc_key"), F.col("p.block") == F.col("t.block"), F.col("p.para") == F.col("t.para"), F.col("p.run") == F.col("t.run")]
-    inner = F.col("t.row").isNull() | ((F.col("p.row") == F.col("t.row")) & (F.col("p.cell") == F.col("t.cell")))
-    return p.join(t, [*same, inner]).filter("t.node_id is not null").select("p.*", "t.node_id")
+    # A patch asks at its block's plain runs and, if it names one, in its cell; a group is what is at one place.
+    key = ["doc_key", "block", "row", "cell", "para", "run"]
+    there = places.filter("node_id is not null and (row is null or cell is not null)").withColumn("cell", F.when(F.col("row").isNotNull(), F.col("cell")))
+    plain, inner = F.struct(null.alias("row"), null.alias("cell")), F.when(F.col("row").isNotNull() & F.col("cell").isNotNull(), F.struct("row", "cell"))
+    asked = named.select(F.struct(*named.columns).alias("_p"), F.explode(F.filter(F.array(plain, inner), lambda x: x.isNotNull())).alias("_at"))
+    asked = asked.select(*[F.col(f"_at.{c}" if c in ("row", "cell") else f"_p.{c}").alias(c) for c in key], "_p")
+    every = there.unionByName(asked, allowMissingColumns=True).filter("doc_key is not null and block is not null and run is not null and para is not null")
+    met = every.groupBy(*key).agg(F.collect_set("node_id").alias("_nodes"), F.collect_list("_p").alias("_patches"))
+    return met.select("_nodes", F.explode("_patches").alias("_p")).select("_p.*", F.explode("_nodes").alias("node_id"))
 
 
