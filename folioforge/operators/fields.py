@@ -74,12 +74,14 @@ def fields_from_tables(cells: DataFrame) -> DataFrame:
     )
 
 
-def extract_fields(tokens: DataFrame, cells: DataFrame) -> DataFrame:
+def extract_fields(tokens: DataFrame, cells: DataFrame, dealt: bool = False) -> DataFrame:
     """All rule fields of a document in order of block, row and rule, numbered from 1.
 
-    Both tables are dealt by document once; groups by paragraph and row and the numbering need no further shuffle.
+    Both tables are dealt by document once, or not at all if they are ``dealt`` in parts of one number already; groups by
+    paragraph and row and the numbering need no further shuffle.
     """
-    tokens, cells = tokens.repartition("doc_key"), cells.repartition("doc_key")
+    if not dealt:
+        tokens, cells = tokens.repartition("doc_key"), cells.repartition("doc_key")
     every = fields_from_paragraphs(paragraph_texts(tokens)).unionByName(fields_from_tables(cells))
     order = Window.partitionBy("doc_key").orderBy("block", "row", "rule")
     return every.withColumn("field_ord", F.row_number().over(order)).withColumn("id", T.field_id(F.col("field_ord"))).withColumn("origin", F.lit("rule"))
@@ -98,15 +100,16 @@ def parse_field_suggestions(responses: DataFrame) -> DataFrame:
     )
 
 
-def merge_fields(rules: DataFrame, suggested: DataFrame) -> DataFrame:
+def merge_fields(rules: DataFrame, suggested: DataFrame, dealt: bool = False) -> DataFrame:
     """All rule fields, then suggestions whose merge key is new, numbered anew.
 
     Rules and suggestions are one table from the start, so that the rules are made once; a suggestion is new if it is the
-    first row of its merge key, rules before suggestions.
+    first row of its merge key, rules before suggestions.  Rows are dealt by document unless both tables are ``dealt`` already.
     """
     one = rules.select("doc_key", F.lit(0).alias("_kind"), F.col("field_ord").alias("_ord"), "label", "type", "value", "confidence", "block", "para", F.lit("rule").alias("origin"))
     two = suggested.select("doc_key", F.lit(1).alias("_kind"), F.col("ord").alias("_ord"), "label", "type", _text("value"), "confidence", "block", "para", F.lit("ai").alias("origin"))
-    every = one.unionByName(two).withColumn("merge_key", T.merge_key(F.col("label"), F.col("block"), F.col("para"))).repartition("doc_key")
+    every = one.unionByName(two)
+    every = (every if dealt else every.repartition("doc_key")).withColumn("merge_key", T.merge_key(F.col("label"), F.col("block"), F.col("para")))
     place = F.row_number().over(Window.partitionBy("doc_key", "merge_key").orderBy("_kind", "_ord"))
     kept = every.withColumn("_n", place).filter("_kind = 0 or _n = 1")
     numbered = kept.withColumn("field_ord", F.row_number().over(Window.partitionBy("doc_key").orderBy("_kind", "_ord")))
