@@ -104,7 +104,8 @@ def parse_annotations(responses: DataFrame) -> DataFrame:
     """
     answer = responses.select("doc_id", F.from_json(T.extract_json(F.col("raw")), "document_type STRING, annotations STRING").alias("a"))
     rows = answer.select("doc_id", F.when(F.col("a.document_type").isin(*DOC_TYPES), F.col("a.document_type")).alias("document_type"), F.explode_outer(F.from_json("a.annotations", "MAP<STRING, STRING>")).alias("key", "h"))
-    typed = rows.withColumn("v", F.try_parse_json("h"))
+    # The parsed hint is made by a generator, below which no filter goes, so that it is made once.
+    typed = rows.select("doc_id", "document_type", "key", F.explode(F.array(F.try_parse_json("h"))).alias("v"))
     get = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
     spelt = lambda name: F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))
     text = lambda name: F.when(spelt(name) == "STRING", get(name, "string"))
@@ -137,13 +138,18 @@ def block_summaries(blocks: DataFrame, tokens: DataFrame, cells: DataFrame) -> D
     font_size_pt, bold, color; cells: doc_id, block_ix, row_ix, cell_ix, text.
     """
     key = ["doc_id", "block_ix"]
-    items = F.sort_array(F.collect_list(F.when(F.col("kind") == "text", F.struct("run_ix", "text"))))
-    style = F.min_by(F.struct("font_size_pt", "bold", "color"), "run_ix")
-    texts = tokens.groupBy(*key).agg(F.array_join(items["text"], "").alias("_text"), F.bool_or(F.col("kind") == "image").alias("has_image"), style.alias("run"))
     rows = cells.groupBy(*key, "row_ix").agg(F.count("*").alias("_cells"), F.sort_array(F.collect_list(F.struct("cell_ix", F.left("text", F.lit(40)).alias("t"))))["t"].alias("_sample"))
-    tables = rows.groupBy(*key).agg(F.count("*").alias("rows"), F.max("_cells").alias("cols"), F.min_by("_sample", "row_ix").alias("header_sample"))
+    # Blocks, runs and rows of tables meet in one group for each block, so what is by document already is not dealt again.
+    own = F.struct("block_type", "style_name", "alignment", "num_id", "ilvl").alias("_block")
+    placed = "doc_id is not null and block_ix is not null"
+    every = blocks.select(*key, own).unionByName(tokens.filter(placed).select(*key, F.struct("run_ix", "kind", "text", F.struct("font_size_pt", "bold", "color").alias("style")).alias("_run")), allowMissingColumns=True)
+    every = every.unionByName(rows.filter(placed).select(*key, F.struct("row_ix", "_cells", "_sample").alias("_row")), allowMissingColumns=True)
+    items = F.sort_array(F.collect_list(F.when(F.col("_run.kind") == "text", F.struct("_run.run_ix", "_run.text"))))
+    texts = [F.array_join(items["text"], "").alias("_text"), F.bool_or(F.col("_run.kind") == "image").alias("has_image"), F.min_by("_run.style", "_run.run_ix").alias("run")]
+    tables = [F.nullif(F.count("_row"), F.lit(0)).alias("rows"), F.max("_row._cells").alias("cols"), F.min_by("_row._sample", "_row.row_ix").alias("header_sample")]
+    met = every.groupBy(*key).agg(F.collect_list("_block").alias("_blocks"), *texts, *tables)
+    joined = met.select("*", F.explode("_blocks").alias("_block")).select("*", "_block.*")
     listed = F.col("num_id").isNotNull()
-    joined = blocks.join(texts, key, "left").join(tables, key, "left")
     para = F.col("block_type") == "paragraph"
     return joined.select(
         *key, "block_type", F.when(para, F.coalesce(F.left("_text", F.lit(300)), F.lit(""))).alias("text"), "style_name", "alignment", F.when(para, listed).alias("is_list"), F.when(para & listed, F.coalesce("ilvl", F.lit(0))).alias("list_level"),
