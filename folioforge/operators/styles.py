@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 
@@ -76,7 +77,11 @@ def paragraph_styles(nodes: DataFrame, styles: DataFrame, key: list[str] | None
         of("ind", "left").alias("indent_left"), of("ind", "right").alias("indent_right"), of("ind", "firstLine").alias("indent_first"), of("ind", "hanging").alias("indent_hanging"),
         has("pageBreakBefore").alias("page_break_before"), of("numId").alias("num_id"), of("ilvl").try_cast("int").alias("ilvl"),
     )
-    return flat.join(styles.select("doc_id", "style_id", "name"), ["doc_id", "style_id"], "left").withColumn("style_name", F.coalesce("name", "style_id")).drop("name")
+    # Names are rows beside the paragraphs of their style, so tables that are by document already are not dealt again.
+    names = styles.filter("doc_id is not null and style_id is not null").select("doc_id", "style_id", F.struct("name").alias("_name"))
+    beside = flat.withColumn("_own", F.lit(True)).unionByName(names, allowMissingColumns=True)
+    met = beside.withColumn("_name", F.collect_list("_name").over(Window.partitionBy("doc_id", "style_id"))).filter("_own").withColumn("_name", F.explode_outer("_name"))
+    return met.withColumn("style_name", F.coalesce("_name.name", "style_id")).drop("_name", "_own")
 
 
 def run_styles(nodes: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -122,8 +127,6 @@ def parse_annotations(responses: DataFrame) -> DataFrame:
 
 def annotate_blocks(page_blocks: DataFrame, annotations: DataFrame) -> DataFrame:
     """Hints joined by section and position; the position of body blocks is that in the page-split sequence."""
-    from pyspark.sql.window import Window
-
     order = Window.partitionBy("doc_id", "section_ix").orderBy("block_ix", "part")
     placed = page_blocks.withColumn("_pos", F.row_number().over(order) - 1)
     return placed.join(annotations.withColumnRenamed("block_ix", "_pos"), ["doc_id", "section_ix", "_pos"], "left").drop("_pos")

@@ -1,14 +1,41 @@
 """Rows of named elements, and edits of patches by one deal of each input."""
 
-import pytest
 from pyspark.sql import functions as F
 
-from folioforge.sources import docx_io, fixtures
+from folioforge.operators import structure, styles
+from folioforge.sources import docx_io, fixtures, scratch
 
-from .test_scale import DATA, exchanges
+from .test_scale import DATA, plan_of
 from .test_sources import form_archive, shredded
 
 
+def test_parts_follow_rows_however_tight_their_files_are(spark, monkeypatch):
+    parts = lambda: fixtures.view(spark, DATA, "fx_blocks").rdd.getNumPartitions()
+    assert parts() == 4
+    monkeypatch.setattr(scratch, "PART_ROWS", 500)
+    assert parts() == -(-sum(spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("orders", "lineitem")) // 500)
+
+
+def test_names_of_styles_are_rows_beside_paragraphs(spark):
+    for name in ("paragraph_css", "paragraph_styles"):
+        plan = plan_of(spark, name)
+        assert "Join" not in plan and "ENSURE_REQUIREMENTS" not in plan and "REPARTITION_BY_NUM" in plan
+    rows = [("d", 0, "pStyle", {"val": "A"}), ("d", 1, "pStyle", {"val": "B"}), ("d", 2, "jc", {"val": "end"}), ("e", 0, "pStyle", {"val": "A"})]
+    nodes = spark.createDataFrame(rows, "doc_id string, para int, tag string, attrs map<string,string>")
+    names = spark.createDataFrame([("d", "A", "one"), ("d", "A", "two"), ("d", None, "none"), ("d", "B", None)], "doc_id string, style_id string, name string")
+    got = styles.paragraph_styles(nodes, names).collect()
+    assert sorted((r.doc_id, r.para, r.style_id or "", r.style_name or "") for r in got) == [("d", 0, "A", "one"), ("d", 0, "A", "two"), ("d", 1, "B", "B"), ("d", 2, "", ""), ("e", 0, "A", "A")]
+
+
+def test_maps_of_attributes_are_not_sorted(spark):
+    for name in ("cell_styles", "cell_css"):
+        sorts = [line for line in plan_of(spark, name).split("SortAggregate") if "Sort [" in line]
+        assert sorts and "attrs" not in plan_of(spark, name).split("Sort [")[0]
+    rows = [("d", 0, 1, "jc", "paragraph", {"val": "b"}), ("d", 0, 0, "jc", "paragraph", {"val": "a"}), ("d", 0, 2, "jc", "run", {"val": "z"}), ("d", 1, 0, "jc", "paragraph", {"val": "a"}), ("d", 1, 1, "jc", "cell", {"val": "c"}), ("d", 1, 2, "shd", "cell", {"fill": "auto"}), ("d", 2, 0, "vAlign", "cell", {"val": "top"})]
+    got = structure.cell_styles(spark.createDataFrame(rows, "doc_id string, cell int, seq int, tag string, owner string, attrs map<string,string>")).collect()
+    assert sorted(map(tuple, got)) == [("d", 0, None, "a", None), ("d", 1, None, "c", None), ("d", 2, "top", None, None)]
+
+
 def order(df):
     return sorted(map(str, df.collect()))
 
