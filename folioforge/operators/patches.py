@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -112,6 +114,11 @@ def debounce_edits(edits: DataFrame, gap: str = "300 milliseconds") -> DataFrame
     return edits.groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(F.max_by(F.struct("node_id", "text"), F.struct("ts", "edit_id")).alias("e"), F.max("ts").alias("ts"), F.count("*").alias("edits")).select("session_id", "ts", "edits", "e.node_id", "e.text")
 
 
+#: Tags that ``render`` writes, with attributes as it writes them, and the text between them; other markup is left to the parser.
+_PLAIN = re.compile(r'<(/?)(p|span|strong|em|u|a|br|img|h[1-6]|li|ul|ol|table|colgroup|col|tr|td|div|sup|sub)((?: [a-z][a-z-]*="[^"<>]*")*+)>|([^<]++)')
+_DATA = re.compile(r' (data-[a-z-]+)="([^"]*)"')
+
+
 class _Nodes(HTMLParser):
     """Texts of elements that have a node id, whether they hold a checkbox, and which paragraphs hold runs."""
 
@@ -141,6 +148,27 @@ class _Nodes(HTMLParser):
         for node in filter(None, self.open):
             node["text"].append(data)
 
+    def plain(self, page: str) -> bool:
+        """Reads a page of nothing but _PLAIN, as ``feed`` does; false, if there is anything else."""
+        end = 0
+        for found in _PLAIN.finditer(page):
+            if found.start() != end:
+                return False
+            end = found.end()
+            closing, tag, attrs, text = found.groups()
+            if text is not None:
+                self.handle_data(unescape(text) if "&" in text else text)
+            elif not closing:
+                given = _DATA.findall(attrs) if "data-" in attrs else []
+                if any("&" in v for _, v in given):
+                    return False
+                self.handle_starttag(tag, given)
+            elif attrs:
+                return False
+            else:
+                self.handle_endtag(tag)
+        return end == len(page) and page.endswith(">")
+
     def patches(self) -> list[tuple]:
         out = []
         for node in self.found:
@@ -156,7 +184,9 @@ class _Nodes(HTMLParser):
 def _html_patches(pages: pd.Series) -> pd.Series:
     def read(page: str | None) -> list[tuple]:
         nodes = _Nodes()
-        nodes.feed(page or "")
+        if not nodes.plain(page or ""):
+            nodes = _Nodes()
+            nodes.feed(page or "")
         return [dict(zip(("node_id", "op", "text", "checked"), p, strict=True)) for p in nodes.patches()]
 
     return pages.map(read)
