@@ -86,12 +86,12 @@ def document_parts(nodes: DataFrame, images: DataFrame | None = None) -> dict[st
 
 def convert(blobs: DataFrame) -> DataFrame:
     """doc_key and html (a whole page of the web) of each document in blobs(doc_key, content); broken archives have none.  Archives are shredded once."""
-    return _converted(docx_io.shred_docx(blobs), docx_io.media_of(blobs))
+    return _converted(docx_io.shred_docx(blobs, docx_io.NODE_COLUMNS), docx_io.media_of(blobs))
 
 
 def convert_files(files: DataFrame) -> DataFrame:
     """``convert`` of files(doc_key) that tasks open themselves, members of one kind at a time (``read_documents`` without the contents)."""
-    return _converted(docx_io.shred_files(files), docx_io.media_files(files))
+    return _converted(docx_io.shred_files(files, docx_io.NODE_COLUMNS), docx_io.media_files(files))
 
 
 def _converted(shredded: DataFrame, media: DataFrame) -> DataFrame:
